@@ -1,0 +1,49 @@
+"""Tables that cut lineage, kept in the folder that the session's ``spark.checkpoint.dir`` names."""
+
+from __future__ import annotations
+
+import atexit
+import shutil
+import tempfile
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The shared checkpoint folder. Only a local session without the setting gets a folder of its own."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    made = tempfile.mkdtemp(prefix="lodestrand-")
+    atexit.register(shutil.rmtree, made, ignore_errors=True)
+    spark.conf.set("spark.checkpoint.dir", made)
+    return made
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """Write df as Parquet to the shared folder and read it back: a lost executor costs no recomputation beyond this."""
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/staged-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def with_rank(df: DataFrame, key: str, order: list[Column], rows: int, out: str = "rank", cell_rows: int = 2000, most_salts: int = 4096) -> DataFrame:
+    """Add the row's position (from 0) among the rows of its key.
+
+    A key may hold any share of the rows: its rows are dealt to salts by a hash of the order columns,
+    numbered inside each salt and shifted by the counts of the salts before.
+    """
+    salts = max(1, min(most_salts, -(-rows // cell_rows)))
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salts)).cast("int"))
+    cells = salted.groupBy(F.col(key).alias("_key"), F.col("_salt").alias("_cell")).agg(F.count("*").alias("_n"))
+    before = Window.partitionBy("_key").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.select("_key", "_cell", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy(key, "_salt").orderBy(*order))
+    ranked = salted.withColumn("_inside", inside)
+    joined = ranked.join(cells, (ranked[key] == cells["_key"]) & (ranked["_salt"] == cells["_cell"]))
+    return joined.withColumn(out, F.col("_before") + F.col("_inside") - 1).drop("_salt", "_key", "_cell", "_before", "_inside")
