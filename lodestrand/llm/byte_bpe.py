@@ -1,8 +1,7 @@
-"""Byte-level BPE encoding and decoding with a local rank file.
+"""Byte-level BPE encoding and decoding with a local vocabulary file.
 
 A text is cut before every space that a non-space follows. The split pattern always starts a new match
-there, so the pieces are encoded apart, and equal pieces are encoded once per worker. The cache only
-saves time; it is emptied when it is full.
+there, so the pieces are encoded apart, and equal pieces of a batch are encoded once.
 """
 
 from __future__ import annotations
@@ -10,81 +9,132 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Fixed value: where a text may be cut without changing any match of the split pattern.
 SAFE_CUT = re.compile(r" (?=\S)")
-CACHED = 200_000
-LONGEST_CACHED = 64
-
-
-class _CutNeeded(Exception):
-    """The piece after a space starts with white space: the cheap cut is not safe in this text."""
-
-
-class PieceTable(dict):
-    """The ids (unsigned 32-bit, little-endian bytes) of " " + piece, by piece."""
-
-    def __init__(self, encode: Callable[[str], list[int]], pattern: str):
-        super().__init__()
-        self.encode, self.matches, self.words = encode, regex.compile(pattern), {}
-
-    def word(self, match: str) -> bytes:
-        ids = self.words.get(match)
-        if ids is None:
-            ids = np.asarray(self.encode(match), dtype="<u4").tobytes()
-            if len(match) <= LONGEST_CACHED:
-                if len(self.words) >= CACHED:
-                    self.words.clear()
-                self.words[match] = ids
-        return ids
-
-    def apart(self, piece: str) -> bytes:
-        return b"".join(map(self.word, self.matches.findall(piece)))
-
-    def __missing__(self, piece: str) -> bytes:
-        if not piece or piece[0].isspace():
-            raise _CutNeeded
-        ids = self.apart(" " + piece)
-        if len(piece) <= LONGEST_CACHED and "\n" not in piece:
-            if len(self) >= CACHED:
-                self.clear()
-            self[piece] = ids
-        return ids
-
-    def ids(self, text: str) -> bytes:
-        """The ids of the whole text as little-endian unsigned 32-bit bytes."""
-        first, *rest = text.split(" ")
-        try:
-            return self.apart(first) + b"".join(map(self.__getitem__, rest))
-        except _CutNeeded:
-            first, *rest = SAFE_CUT.split(text)
-            return self.apart(first) + b"".join(map(self.__getitem__, rest))
-
-
-def read_ranks(path: str) -> dict[bytes, int]:
-    with open(path, "rb") as lines:
-        return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-
-
-def texts(column: pa.Array, step: int = 64) -> Iterator[str]:
-    """The strings of an Arrow column, null as empty, a few at a time; bytes that are not UTF-8 become U+FFFD."""
-    raw = column.cast(pa.large_binary())
-    for at in range(0, len(raw), step):
-        for value in raw.slice(at, step).to_pylist():
-            yield value.decode("utf-8", "replace") if value else ""
-
-
-def tiktoken_encoding(path: str, pattern: str):
-    import tiktoken
-
-    return tiktoken.Encoding("local", pat_str=pattern, mergeable_ranks=read_ranks(path), special_tokens={})
+#: Characters of a long text, and bytes of a batch of texts, that are handled at a time.
+SEGMENT, BATCH_BYTES, JOINED = 1 << 15, 8 << 20, 32
+
+
+def segments(text: str, size: int = SEGMENT) -> Iterator[str]:
+    """Cut a long text at safe places about every `size` characters."""
+    start = 0
+    while len(text) - start > size:
+        cut = SAFE_CUT.search(text, start + size)
+        if cut is None:
+            break
+        yield text[start : cut.start()]
+        start = cut.start()
+    yield text[start:]
+
+
+class TiktokenCodec:
+    """The tiktoken library with a rank file."""
+
+    def __init__(self, path: str, pattern: str):
+        import tiktoken
+
+        with open(path, "rb") as lines:
+            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+        self.encoding = tiktoken.Encoding("local", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.token_bytes = np.zeros(max(ranks.values()) + 1, dtype=np.int64)
+        for token, rank in ranks.items():
+            self.token_bytes[rank] = len(token)
+
+    def encode(self, text: str) -> np.ndarray:
+        return np.concatenate([np.asarray(self.encoding.encode_ordinary(x), dtype=np.uint32) for x in segments(text)])
+
+    def encode_joined(self, pieces: list[str]) -> np.ndarray:
+        """The ids of the pieces, a space before each."""
+        groups = [self.encoding.encode_ordinary(" " + " ".join(pieces[i : i + 4096])) for i in range(0, len(pieces), 4096)]
+        return np.concatenate([np.asarray(x, dtype=np.uint32) for x in groups])
+
+    def decode(self, ids: list[int]) -> bytes:
+        return self.encoding.decode_bytes(ids)
+
+
+class TokenizersCodec:
+    """The tokenizers library with a byte-level vocabulary; strings of special tokens are ordinary text."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
+        vocabulary = self.tokenizer.get_vocab()
+        self.token_bytes = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
+        for token, rank in vocabulary.items():
+            self.token_bytes[rank] = len(token)  # a character stands for a byte
+
+    def encode(self, text: str) -> np.ndarray:
+        return np.concatenate([np.asarray(self.tokenizer.encode(x, add_special_tokens=False).ids, dtype=np.uint32) for x in segments(text)])
+
+    def encode_joined(self, pieces: list[str]) -> np.ndarray:
+        groups = [" " + " ".join(pieces[i : i + JOINED]) for i in range(0, len(pieces), JOINED)]
+        found = [self.tokenizer.encode_batch_fast(groups[i : i + 256], add_special_tokens=False) for i in range(0, len(groups), 256)]
+        return np.concatenate([np.asarray(x.ids, dtype=np.uint32) for group in found for x in group])
+
+
+@cache
+def tiktoken_codec(path: str, pattern: str) -> TiktokenCodec:
+    """A worker's own codec, kept between its tasks."""
+    return TiktokenCodec(path, pattern)
+
+
+@cache
+def tokenizers_codec(path: str) -> TokenizersCodec:
+    return TokenizersCodec(path)
+
+
+def _slices(column: pa.Array, most: int = BATCH_BYTES) -> Iterator[pa.Array]:
+    """Slices of about `most` bytes of text (one row at least)."""
+    ends = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False))
+    start = 0
+    while start < len(column):
+        before = ends[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(ends, before + most, side="right")))
+        yield column.slice(start, end - start)
+        start = end
+
+
+def _encode_slice(column: pa.Array, codec) -> Iterator[np.ndarray]:
+    split = pc.split_pattern(column, " ")
+    starts = split.offsets.to_numpy()
+    pieces = split.flatten().dictionary_encode()
+    at = pieces.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    starts = starts - starts[0]
+    unique = pieces.dictionary.to_pylist()
+    unsafe = np.fromiter((not x or x[0].isspace() for x in unique), dtype=bool, count=len(unique))
+    first = np.zeros(len(at), dtype=bool)
+    first[starts[:-1]] = True
+    odd = np.add.reduceat(unsafe[at] & ~first, starts[:-1]) > 0  # here a space is followed by white space or the end
+    ids = codec.encode_joined(["x" if bad else x for x, bad in zip(unique, unsafe, strict=True)]) if unique else np.zeros(0, np.uint32)
+    byte_ends = np.cumsum([len(x.encode()) + 1 if not bad else 2 for x, bad in zip(unique, unsafe, strict=True)])
+    ends = np.searchsorted(np.cumsum(codec.token_bytes[ids]), byte_ends, side="left") + 1  # the token that ends a piece
+    table = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(ids))
+    for row in range(len(column)):
+        if odd[row]:
+            yield codec.encode(column[row].as_py())
+            continue
+        lo, hi = starts[row], starts[row + 1]
+        head = unique[at[lo]]
+        rest = table.take(pa.array(at[lo + 1 : hi])).flatten().to_numpy() if hi > lo + 1 else np.zeros(0, np.uint32)
+        yield np.concatenate([codec.encode(head), rest]) if head else rest
+
+
+def encode_texts(column: pa.Array, codec) -> Iterator[np.ndarray]:
+    """The ids (uint32) of each whole text; null counts as empty."""
+    column = pc.fill_null(column.cast(pa.string()), "")
+    for part in _slices(column):
+        yield from _encode_slice(part, codec)
 
 
 def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, keep_ids: bool = False) -> DataFrame:
@@ -102,13 +152,13 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, keep_ids: bool
         ddl += ", ids array<int>, decoded binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding = tiktoken_encoding(ranks_path, pattern)
-        table, written = PieceTable(encoding.encode_ordinary, pattern), list(map(str, range(encoding.n_vocab)))
+        codec = tiktoken_codec(ranks_path, pattern)
+        written = list(map(str, range(len(codec.token_bytes))))
         for batch in batches:
             rows: list[list] = [[] for _ in fields]
-            for text in texts(batch.column(1)):
-                ids = np.frombuffer(table.ids(text), dtype="<u4").tolist()
-                decoded = encoding.decode_bytes(ids)
+            for found in encode_texts(batch.column(1), codec):
+                ids = found.tolist()
+                decoded = codec.decode(ids)
                 row = [len(ids), hashlib.sha256(" ".join(map(written.__getitem__, ids)).encode()).hexdigest(), hashlib.sha256(decoded).hexdigest()]
                 for column, value in zip(rows, row + [ids, decoded] * keep_ids, strict=True):
                     column.append(value)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrand.llm.byte_bpe import PieceTable, texts
+from lodestrand.llm.byte_bpe import encode_texts, tokenizers_codec
 from lodestrand.llm.storage import staged, with_rank
 
 
@@ -88,7 +88,7 @@ def place(counts: dict[int, int], window: int) -> np.ndarray:
     return np.array(rows, dtype=np.int64).reshape(-1, 6)
 
 
-def tokenized(docs: DataFrame, vocabulary: str, pattern: str, window: int = 2048, end_id: int = 1, keep_ids: bool = False) -> DataFrame:
+def tokenized(docs: DataFrame, vocabulary: str, window: int = 2048, end_id: int = 1, keep_ids: bool = False) -> DataFrame:
     """Cut every document's ids, and the end id after them, into full windows and a rest.
 
     docs: doc_id, text; null text counts as empty. Returns a row for each piece: doc_id, start, length,
@@ -98,15 +98,11 @@ def tokenized(docs: DataFrame, vocabulary: str, pattern: str, window: int = 2048
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(vocabulary)
-        tokenizer.encode_special_tokens = True
-        table = PieceTable(lambda match: tokenizer.encode(match, add_special_tokens=False).ids, pattern)
+        codec = tokenizers_codec(vocabulary)
         for batch in batches:
             owner, start, length, crc, total, ids = [], [], [], [], [], []
-            for row, text in enumerate(texts(batch.column(1))):
-                raw = memoryview(table.ids(text) + end)
+            for row, found in enumerate(encode_texts(batch.column(1), codec)):
+                raw = memoryview(found.astype("<u4").tobytes() + end)
                 n = len(raw) // 4
                 for at in range(0, n, window):
                     piece = raw[4 * at : 4 * (at + window)]
@@ -160,6 +156,6 @@ def pack(pieces: DataFrame, window: int = 2048) -> DataFrame:
     return ranked.mapInArrow(locate, f"{ddl}, sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, vocabulary: str, pattern: str, window: int = 2048, end_id: int = 1, keep_ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, vocabulary: str, window: int = 2048, end_id: int = 1, keep_ids: bool = False) -> DataFrame:
     """Tokenize and pack whole documents; see tokenized() and pack()."""
-    return pack(tokenized(docs, vocabulary, pattern, window, end_id, keep_ids), window)
+    return pack(tokenized(docs, vocabulary, window, end_id, keep_ids), window)
