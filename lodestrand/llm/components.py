@@ -1,0 +1,48 @@
+"""Connected components of a link table, by alternating stars; every round is a table in the shared folder."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from lodestrand.llm.storage import staged
+
+
+def _large_star(edges: DataFrame) -> DataFrame:
+    both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("_u"), F.least("u", "m").alias("m"))
+    return both.join(least, F.col("u") == F.col("_u")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+
+
+def _small_star(edges: DataFrame) -> DataFrame:
+    least = edges.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("_u"), "m")
+    joined = edges.join(least, F.col("u") == F.col("_u"))
+    moved = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return moved.unionByName(least.select(F.col("_u").alias("u"), F.col("m").alias("v")))
+
+
+def _digest(edges: DataFrame) -> tuple:
+    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
+
+def components(links: DataFrame, rounds: int = 60) -> DataFrame:
+    """The smallest node that each linked node reaches.
+
+    links: u, v of one orderable type; either direction, repeats and self-links are allowed, rows with a null are
+    not links. Returns node, root for every node that has a link to another one. No links give no rows. The
+    number of rounds is logarithmic in the size of the largest component.
+    """
+    edges = staged(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    before = _digest(edges)
+    for _ in range(rounds):
+        if not before[0]:
+            break
+        edges = staged(_small_star(_large_star(edges).distinct()).distinct())
+        now = _digest(edges)
+        if now == before:
+            break
+        before = now
+    else:
+        raise RuntimeError(f"components did not settle in {rounds} rounds")
+    roots = edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)

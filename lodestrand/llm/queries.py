@@ -8,33 +8,106 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrand.llm import byte_bpe, packing, sharding
+from lodestrand.llm import byte_bpe, collisions, edits, packing, pivots, quality, revisits, sharding, simhash, toxicity
+from lodestrand.llm.samples import remainder
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def captures(pages: DataFrame) -> DataFrame:
+    """Capture records made from pages: a full response and three not-modified revisits of each, by a fixed rule."""
+    start, span = 1704067200, 2592000
+    responded = F.lit(start) + F.pmod(F.col("page_id") * 7919, F.lit(span))
+    etag = F.when(F.col("page_id") % 10 != 9, F.concat(F.lit('"'), F.md5("html"), F.lit('"')))
+    r = F.col("r")
+    pages = pages.select("page_id", "url", F.md5("html").alias("digest"), F.length("html").cast("long").alias("length"), etag.alias("tag"), responded.alias("responded"))
+    rows = pages.withColumn("r", F.explode(F.array(*(F.lit(i) for i in range(4)))))
+    captured = F.when(r == 0, F.col("responded")).otherwise(F.lit(start) + F.pmod(F.col("page_id") * 104729 + r * 611953, F.lit(span)))
+    joiner = F.when(F.col("url").contains("?"), "&").otherwise("?")
+    url = F.when(r == 2, F.concat("url", F.lit("#r2"))).when(r == 3, F.concat("url", joiner, F.lit("utm_campaign=r3"))).otherwise(F.col("url"))
+    stale = F.when((F.col("page_id") + r) % 6 == 0, '"stale"').when(r == 2, F.concat(F.lit("W/"), "tag")).otherwise(F.col("tag"))
+    modified = F.when((r == 0) | (F.col("page_id") % 4 != 0), (F.col("responded") - 3600).cast("string"))
+    response = F.map_from_arrays(F.array(F.lit("cache-control"), F.lit("content-length"), F.lit("content-type"), F.lit("date")), F.array(F.lit("max-age=60"), F.col("length").cast("string"), F.lit("text/html"), F.col("captured_at").cast("string")))
+    revisit = F.map_from_arrays(F.array(F.lit("cache-control"), F.lit("content-length"), F.lit("date"), F.lit("server")), F.array(F.concat(F.lit("max-age="), (r * 100).cast("string")), F.lit("0"), F.col("captured_at").cast("string"), F.lit("edge")))
+    return rows.withColumn("captured_at", captured).select(
+        (F.col("page_id") * 4 + r).alias("record_id"), url.alias("url"), "captured_at", F.when(r == 0, "response").otherwise("revisit").alias("kind"),
+        F.when(r == 0, F.col("tag")).otherwise(stale).alias("etag"), modified.alias("last_modified"),
+        F.when(r == 0, F.col("digest")).alias("payload_digest"), F.when(r == 0, F.col("length")).alias("payload_length"), F.when(r == 0, response).otherwise(revisit).alias("headers"),
+    )
+
+
+def op1_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = revisits.resolve_revisits(captures(table(spark, sf_dir, "pages")))
+    return found.withColumn("headers", revisits.header_text(F.col("headers")))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     packed = packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op3_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivots.top_k(table(spark, sf_dir, "embeddings"), every=50, k=5)
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return byte_bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op5_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collisions.search(table(spark, sf_dir, "embeddings"), every=100, k=10)
+
+
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, most=3)
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), remainder(5) != 0)
+    scored = quality.score(docs, model)
+    return scored.select("doc_id", (remainder(5) == 0).alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     dealt = sharding.shard_documents(table(spark, sf_dir, "documents"), shards=40)
     return dealt.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def edited(docs: DataFrame) -> DataFrame:
+    """Three edits of each document by a fixed rule: a replacement, an insertion and a removal."""
+    at = lambda i: F.pmod(F.xxhash64("doc_id", F.lit(i)), F.coalesce(F.length("text"), F.lit(0)).cast("long") + 1)
+    edit = lambda i, removed, inserted: F.struct(at(i).alias("position"), F.lit(removed).cast("long").alias("removed"), inserted.alias("inserted"))
+    return docs.withColumn("edits", F.array(edit(0, 17, F.concat(F.lit(" edit "), F.col("doc_id").cast("string"))), edit(1, 0, F.lit("\n\nIn addition, 3 more words.")), edit(2, 60, F.lit(""))))
+
+
+def op9_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = edited(table(spark, sf_dir, "documents"))
+    return edits.count_edited(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), remainder(3) != 1)
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", (remainder(3) == 1).alias("held_out"), F.col("toxicity_score").alias("score"), (F.col("toxicity_score") >= 0.7).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_revisits": op1_revisits,
     "op2_packing": op2_packing,
+    "op3_pivots": op3_pivots,
     "op4_byte_bpe": op4_byte_bpe,
+    "op5_collisions": op5_collisions,
+    "op6_simhash": op6_simhash,
+    "op7_quality": op7_quality,
     "op8_sharding": op8_sharding,
+    "op9_edits": op9_edits,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLE: dict[str, str] = {}

@@ -1 +1,269 @@
-PLACE
+"""SimHash near-duplicate groups with a pigeonring filter.
+
+A fingerprint of 64 bits is a ring of 8 segments. If two fingerprints differ in at most t bits, some segment
+of the ring starts a chain whose first l segments together differ in at most floor(l * t / 8) bits, for every l.
+Fingerprints meet where the part of such a chain that must be equal is equal; the whole chain is tested next,
+then the full distance. Links are told as stars inside a bucket, so copies never become all their pairs.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from lodestrand.llm.components import components
+from lodestrand.llm.storage import staged
+
+SEGMENTS, SEGMENT_BITS = 8, 8
+LANES = np.uint64(0x0101010101010101)
+BATCH_HASHES, PAIRS_AT_ONCE = 1 << 20, 1 << 20
+
+
+def shingle_hashes(text: bytes, words: int, seed: int = 42) -> np.ndarray:
+    """XXH64 of each shingle of whole words, repeats included; fewer words give the one whole sequence."""
+    found = text.lower().split()  # of bytes: A-Z only, and white space is 0x20 and 0x09-0x0D
+    if not found:
+        return np.zeros(0, dtype=np.uint64)
+    joined, digest = b" ".join(found), xxhash.xxh64_intdigest
+    if len(found) <= words:
+        return np.array([digest(joined, seed)], dtype=np.uint64)
+    ends = np.cumsum([len(x) + 1 for x in found]) - 1
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    pairs = zip(starts[: len(found) - words + 1].tolist(), ends[words - 1 :].tolist(), strict=True)
+    return np.array([digest(joined[a:b], seed) for a, b in pairs], dtype=np.uint64)
+
+
+def mixed(hashes: np.ndarray, block: int) -> np.ndarray:
+    """The hashes for a further block of 64 bits; block 0 keeps them."""
+    if not block:
+        return hashes
+    z = hashes + np.uint64(block * 0x9E3779B97F4A7C15 % 2**64)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
+def majority_bits(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A fingerprint for each run of hashes: the bits that over half of its hashes have. An empty run gives 0."""
+    out = np.zeros(len(sizes), dtype=np.uint64)
+    full = np.flatnonzero(sizes)
+    if not len(full):
+        return out
+    n = sizes[full]
+    pieces = -(-n // 255)  # a byte counts up to 255
+    first = np.concatenate([[0], np.cumsum(n)[:-1]])
+    at = np.repeat(first, pieces) + 255 * (np.arange(pieces.sum()) - np.repeat(np.concatenate([[0], np.cumsum(pieces)[:-1]]), pieces))
+    counts = np.stack([np.add.reduceat((hashes >> np.uint64(j)) & LANES, at) for j in range(8)], axis=1)
+    by_bit = counts.view(np.uint8).reshape(-1, 8, 8).transpose(0, 2, 1).reshape(-1, 64).astype(np.int64)
+    totals = np.add.reduceat(by_bit, np.concatenate([[0], np.cumsum(pieces)[:-1]]), axis=0)
+    out[full] = np.packbits(2 * totals > n[:, None], axis=1, bitorder="little").view("<u8")[:, 0]
+    return out
+
+
+def fingerprints(docs: DataFrame, words: int = 3, blocks: int = 1) -> DataFrame:
+    """doc_id and fingerprint (binary, 8 bytes for each block, most significant first) of every whole text.
+
+    Null text counts as empty: a fingerprint of zeros. Repeated rows give repeated rows.
+    """
+
+    def told(ids: list, hashes: list[np.ndarray]) -> pa.RecordBatch:
+        sizes = np.array([len(x) for x in hashes], dtype=np.int64)
+        every = np.concatenate(hashes)
+        bits = np.stack([majority_bits(mixed(every, b), sizes) for b in range(blocks)], axis=1)
+        raw = np.ascontiguousarray(bits.astype(">u8")).view(f"V{8 * blocks}")[:, 0]
+        return pa.RecordBatch.from_arrays([pa.concat_arrays(ids), pa.array([x.tobytes() for x in raw], pa.binary())], ["doc_id", "fingerprint"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            start, held, hashes = 0, 0, []
+            for row, text in enumerate(batch.column(1)):
+                hashes.append(shingle_hashes(text.as_py() or b"", words))
+                held += len(hashes[-1])
+                if held >= BATCH_HASHES or row + 1 == batch.num_rows:
+                    yield told([batch.column(0).slice(start, row + 1 - start)], hashes)
+                    start, held, hashes = row + 1, 0, []
+
+    ddl = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fingerprint binary"
+    return docs.select("doc_id", F.col("text").cast("string").cast("binary").alias("text")).mapInArrow(run, ddl)
+
+
+def budgets(most: int) -> np.ndarray:
+    """How many bits the first 1, 2, ... segments of a chain may differ in."""
+    return np.arange(1, SEGMENTS + 1) * most // SEGMENTS
+
+
+def key_masks(most: int) -> list[np.ndarray]:
+    """Bits that must be equal in a chain, as masks of its segments, one for each way to meet.
+
+    The segments with a budget of 0 are equal. Of those after them with a budget of 1, cut into parts, all
+    parts but one are equal.
+    """
+    budget = budgets(most)
+    base = np.where(budget == 0, 255, 0).astype(np.uint8)
+    loose = np.flatnonzero(budget == 1)
+    if not len(loose):
+        return [base]
+    if len(loose) == 1:
+        parts = [(loose[0], 0x0F), (loose[0], 0xF0)]
+        return [np.where(np.arange(SEGMENTS) == s, m, base).astype(np.uint8) for s, m in parts]
+    return [np.where(np.isin(np.arange(SEGMENTS), loose[loose != s]), 255, base).astype(np.uint8) for s in loose]
+
+
+def _bytes_of(column: pa.Array, width: int) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    raw = np.frombuffer(column.buffers()[2], dtype=np.uint8)
+    offsets = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset : column.offset + len(column) + 1]
+    return raw[offsets[0] : offsets[-1]].reshape(len(column), width)
+
+
+def chain_keys(nodes: DataFrame, blocks: int, most: int) -> DataFrame:
+    """key, fingerprint: a row for each place where a fingerprint can meet others (block, start in the ring, mask)."""
+    masks = key_masks(most)
+    ways = [(b, s, m) for b in range(blocks) for s in range(SEGMENTS) for m in range(len(masks))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.column(0).slice(at, 4096)
+                rows = _bytes_of(part, 8 * blocks)
+                keys = []
+                for way, (b, s, m) in enumerate(ways):
+                    chain = rows[:, 8 * b + (s + np.arange(SEGMENTS)) % SEGMENTS] & masks[m]
+                    kept = np.ascontiguousarray(chain[:, masks[m] > 0])
+                    value = np.zeros(len(rows), dtype=np.int64)
+                    for column in range(kept.shape[1]):
+                        value = value << 8 | kept[:, column]
+                    keys.append(value | way << 48)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.concat_arrays([part] * len(ways))], ["key", "fingerprint"])
+
+    if 8 * max(int((m > 0).sum()) for m in masks) > 48:
+        raise ValueError("keys of more than 48 bits are not supported")
+    return nodes.select("fingerprint").mapInArrow(run, "key long, fingerprint binary")
+
+
+def _stars(nodes: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links between node numbers as (node, least node of its component)."""
+    least = np.arange(len(nodes))
+    while True:
+        low = np.minimum(least[a], least[b])
+        now = least.copy()
+        np.minimum.at(now, a, low)
+        np.minimum.at(now, b, low)
+        np.minimum.at(now, least[a], low)
+        np.minimum.at(now, least[b], low)
+        now = now[now]
+        if (now == least).all():
+            break
+        least = now
+    moved = np.flatnonzero(least != np.arange(len(nodes)))
+    return moved, least[moved]
+
+
+def bucket_links(keyed: DataFrame, blocks: int, most: int, most_total: int, bucket_rows: int, share: int = 8) -> DataFrame:
+    """u, v: links as stars, from rows (key, fingerprint) that meet in a key.
+
+    A large bucket is dealt to chunks, and each pair of its chunks is a bucket of its own: memory stays bounded.
+    Large buckets are known from the share-th part of the fingerprints; what is missed is only slower.
+    """
+    budget, width, masks = budgets(most), 8 * blocks, len(key_masks(most))
+    part = keyed.where(F.pmod(F.xxhash64("fingerprint"), F.lit(share)) == 0)
+    large = part.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") * share > bucket_rows)
+    large = staged(large.select(F.col("key").alias("_key"), F.ceil(F.col("n") * share / bucket_rows).cast("int").alias("chunks")))
+    dealt = keyed.withColumn("cell", F.lit(0).cast("long"))
+    if not large.isEmpty():
+        chunk = F.pmod(F.xxhash64("fingerprint", F.lit(1)), F.col("chunks")).cast("int")
+        other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
+        hot = keyed.join(large, F.col("key") == F.col("_key")).withColumn("chunk", chunk).withColumn("other", other)
+        cell = (F.least("chunk", "other").cast("long") * 1_000_000 + F.greatest("chunk", "other") + 1).alias("cell")
+        cold = dealt.join(large, F.col("key") == F.col("_key"), "left_anti")
+        dealt = cold.unionByName(hot.select("key", "fingerprint", cell))
+    dealt = dealt.repartition("key", "cell").sortWithinPartitions("key", "cell")
+
+    def linked(keys: np.ndarray, cells: np.ndarray, rows: np.ndarray) -> pa.RecordBatch | None:
+        new = np.concatenate([[True], (keys[1:] != keys[:-1]) | (cells[1:] != cells[:-1])])
+        run_of = np.cumsum(new) - 1
+        ends = np.append(np.flatnonzero(new)[1:], len(keys))
+        partners = ends[run_of] - np.arange(len(keys)) - 1
+        found_a, found_b, before = [], [], np.concatenate([[0], np.cumsum(partners)])
+        way = keys >> 48
+        block, start = way // (SEGMENTS * masks), way // masks % SEGMENTS
+        for lo in range(0, int(before[-1]), PAIRS_AT_ONCE):
+            pair = np.arange(lo, min(lo + PAIRS_AT_ONCE, int(before[-1])))
+            a = np.searchsorted(before, pair, side="right") - 1
+            b = a + 1 + pair - before[a]
+            ring = (8 * block[a] + start[a])[:, None]
+            chain = 8 * block[a][:, None] + (start[a][:, None] + np.arange(SEGMENTS)) % SEGMENTS
+            differ = np.bitwise_count(np.take_along_axis(rows[a], chain, 1) ^ np.take_along_axis(rows[b], chain, 1))
+            passed = (np.cumsum(differ, axis=1) <= budget).all(axis=1)  # the last budget is the full distance
+            a, b = a[passed], b[passed]
+            del ring
+            if blocks > 1:
+                near = np.bitwise_count(rows[a] ^ rows[b]).sum(axis=1) <= most_total
+                a, b = a[near], b[near]
+            found_a.append(a)
+            found_b.append(b)
+        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (found_a, found_b))
+        if not len(a):
+            return None
+        kinds = np.ascontiguousarray(rows[np.concatenate([a, b])]).view(f"V{width}")[:, 0]
+        nodes, number = np.unique(kinds, return_inverse=True)
+        moved, least = _stars(nodes, number[: len(a)], number[len(a) :])
+        return pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in nodes[i]], pa.binary()) for i in (moved, least)], ["u", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            now = (batch.column(0).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(zero_copy_only=False), _bytes_of(batch.column(1), width))
+            if held is not None:
+                now = tuple(np.concatenate([x, y]) for x, y in zip(held, now, strict=True))
+            keys, cells, rows = now
+            last = int(np.flatnonzero((keys != keys[-1]) | (cells != cells[-1]))[-1]) + 1 if (keys[0], cells[0]) != (keys[-1], cells[-1]) else 0
+            held = (keys[last:], cells[last:], rows[last:])
+            if last and (out := linked(keys[:last], cells[:last], rows[:last])) is not None:
+                yield out
+        if held is not None and (out := linked(*held)) is not None:
+            yield out
+
+    return dealt.select("key", "fingerprint", "cell").mapInArrow(run, "u binary, v binary")
+
+
+def near_duplicates(docs: DataFrame, words: int = 3, most: int = 3, blocks: int = 1, most_total: int | None = None, bucket_rows: int = 2000) -> DataFrame:
+    """Every document's fingerprint and group.
+
+    docs: doc_id, text; other columns are ignored. Two fingerprints link if in one of their blocks at most
+    `most` (below 8) bits differ and, with more blocks, at most most_total bits differ over all. Returns doc_id, fingerprint
+    (lower-case hex), component_id: the smallest doc_id that links reach, itself included (null if all there
+    are null). Null and empty texts have the fingerprint zero and link like any other; repeated rows give
+    repeated rows; an empty table gives an empty table.
+    """
+    prints = staged(fingerprints(docs, words, blocks))
+    nodes = staged(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least")))
+    links = bucket_links(chain_keys(nodes, blocks, most), blocks, most, most_total or most, bucket_rows)
+    roots = staged(components(links))
+    grouped = nodes.join(roots, nodes["fingerprint"] == roots["node"]).select("fingerprint", "least", "root")
+    least = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
+    joined = grouped.join(least, "root").select(F.col("fingerprint").alias("_node"), "component_id")
+    alone = nodes.join(roots, nodes["fingerprint"] == roots["node"], "left_anti").select(F.col("fingerprint").alias("_node"), F.col("least").alias("component_id"))
+    groups = joined.unionByName(alone)
+    found = prints.join(groups, prints["fingerprint"] == groups["_node"])
+    return found.select("doc_id", F.lower(F.hex("fingerprint")).alias("fingerprint"), "component_id")
+
+
+def deduplicate(docs: DataFrame, words: int = 5, most: int = 7, blocks: int = 4, most_total: int = 40, bucket_rows: int = 4000) -> DataFrame:
+    """One document of each group of near copies: that with the smallest doc_id; repeated rows of it are kept once.
+
+    The defaults: shingles of five words and 256 bits of which at most 40 differ, which is the expected distance
+    at a similarity (Jaccard) of about 0.8. All columns of docs are kept. Rows without doc_id are kept.
+    """
+    keyed = docs.where("doc_id is not null")
+    groups = near_duplicates(keyed, words, most, blocks, most_total, bucket_rows)
+    stay = groups.where("doc_id = component_id").select("doc_id").distinct()
+    kept = keyed.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.where("doc_id is null"))
