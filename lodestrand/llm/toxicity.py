@@ -38,7 +38,7 @@ IDENTITY_TERMS = {
 }
 WORD = re.compile(r"[^\W\d_]+")
 SENTENCE = re.compile(r"[^.!?\n]+")
-PREFIXES, CACHED = (5, 7), 200_000
+PREFIXES, CACHED = (5,), 200_000
 
 
 def word_features(word: str) -> list[str]:
@@ -89,8 +89,11 @@ class ToxicityModel:
         return float(1 / (1 + np.exp(-np.clip(z, -50, 50))))
 
 
-def fit_weights(rows: list[tuple[set[str], int]], pairs: list[tuple[set[str], set[str]]], kept: list[str], strength: float, decay: float = 2e-4, steps: int = 400, rate: float = 0.1) -> ToxicityModel:
-    """Logistic loss, plus strength times the mean squared change of the score over the pairs."""
+def fit_weights(rows: list[tuple[set[str], int]], pairs: list[tuple[set[str], set[str]]], kept: list[str], strength: float, prior: dict[str, float] | None = None, decay: float = 1e-3, steps: int = 300, rate: float = 0.05) -> ToxicityModel:
+    """Logistic loss, plus strength times the mean squared change of the score over the pairs.
+
+    prior: the weights that features start from and are drawn to (0 for others); those that have one stay 0 or more.
+    """
     number = {x: i for i, x in enumerate(kept)}
     y = np.array([label for _, label in rows], dtype=np.float64)
     if not len(y) or y.min() == y.max():
@@ -106,12 +109,14 @@ def fit_weights(rows: list[tuple[set[str], int]], pairs: list[tuple[set[str], se
     r, c = matrix([s for s, _ in rows])
     ar, ac = matrix([a for a, _ in pairs])
     br, bc = matrix([b for _, b in pairs])
-    w, bias = np.zeros(size), float(np.log(y.mean() / (1 - y.mean())))
+    start = np.array([(prior or {}).get(x, 0.0) for x in kept])
+    least = np.where(start > 0, 0.0, -np.inf)
+    w, bias = start.copy(), float(np.log(y.mean() / (1 - y.mean()))) - 2
     m, v, mb, vb = np.zeros(size), np.zeros(size), 0.0, 0.0
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -50, 50)))
     for step in range(1, steps + 1):
         error = (sigmoid(np.bincount(r, w[c], n) + bias) - y) / n
-        grad, grad_b = np.bincount(c, error[r], size) + decay * w, error.sum()
+        grad, grad_b = np.bincount(c, error[r], size) + decay * (w - start), error.sum()
         if pairs:
             a, b = (sigmoid(np.bincount(i, w[j], len(pairs)) + bias) for i, j in ((ar, ac), (br, bc)))
             pull = 2 * strength * (a - b) / len(pairs)
@@ -121,7 +126,7 @@ def fit_weights(rows: list[tuple[set[str], int]], pairs: list[tuple[set[str], se
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         mb, vb = 0.9 * mb + 0.1 * grad_b, 0.999 * vb + 0.001 * grad_b**2
         at = rate * (1 - 0.9**step) ** -1
-        w = w - at * m / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+        w = np.maximum(w - at * m / (np.sqrt(v / (1 - 0.999**step)) + 1e-8), least)
         bias -= at * mb / (np.sqrt(vb / (1 - 0.999**step)) + 1e-8)
     return ToxicityModel({x: float(w[i]) for x, i in number.items() if w[i]}, float(bias))
 
@@ -158,6 +163,9 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from: Column, most_rows: int =
     rows = standing.select("feature", "toxic", "clean").orderBy((F.col("toxic") / (F.col("clean") + 1)).desc(), "feature").limit(20_000).collect()  # bounded, as the sample is
     toxic, clean = Counter({r["feature"]: r["toxic"] for r in rows}), Counter({r["feature"]: r["clean"] for r in rows})
     kept = chosen(toxic, clean, sizes[1], sizes[0]) if sizes[0] and sizes[1] else []
+    identity = {x for term in others for x in word_features(term)}
+    odds = lambda x: np.log((toxic[x] + 0.5) / (sizes[1] + 1)) - np.log((clean[x] + 0.5) / (sizes[0] + 1))
+    prior = {x: float(odds(x)) / 2 for x in kept if x not in identity}
     kept = sorted({*kept, *others})
     wanted = frozenset(kept)
 
@@ -174,7 +182,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from: Column, most_rows: int =
     found = sample.select("text", "label").mapInArrow(reduced, "present array<string>, label int, plain array<array<string>>, swapped array<array<string>>").collect()  # most_rows rows
     found = sorted(found, key=lambda r: (r["label"], r["present"]))
     pairs = [(set(a), set(b)) for r in found for a, b in zip(r["plain"], r["swapped"], strict=True)]
-    return fit_weights([(set(r["present"]), int(r["label"])) for r in found], pairs, kept, strength)
+    return fit_weights([(set(r["present"]), int(r["label"])) for r in found], pairs, kept, strength, prior)
 
 
 def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
