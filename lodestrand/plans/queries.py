@@ -42,23 +42,24 @@ def r6(x: Column) -> Column:
     return F.round(x.cast("double"), 6)
 
 
-BACKLOG = [F.col("importance").desc(), F.col("published_at").desc(), F.col("id")]
+def backlog_order() -> list[Column]:
+    return [F.col("importance").desc(), F.col("published_at").desc(), F.col("id")]
 
 
 @query(f"WITH {SQL_ITEMS} SELECT id, source_id, row_number() OVER (PARTITION BY source_id ORDER BY importance DESC, published_at DESC, id) AS turn FROM items")
 def fair_interleave(spark, sf):
-    return ordering.interleave_by_provider(items(spark, sf), "source_id", BACKLOG).select("id", "source_id", F.col("turn").cast("long").alias("turn"))
+    return ordering.interleave_by_provider(items(spark, sf), "source_id", backlog_order()).select("id", "source_id", F.col("turn").cast("long").alias("turn"))
 
 
 @query(f"WITH {SQL_ITEMS}, b AS (SELECT *, (({NOW_MS} - published_at) // 7200000)::BIGINT AS bucket FROM items WHERE NOT clickbait) SELECT id, bucket, row_number() OVER (PARTITION BY bucket, source_id ORDER BY importance DESC, published_at DESC, id) AS turn FROM b")
 def fair_recency_buckets(spark, sf):
     rows = items(spark, sf).where("not clickbait")
-    return ordering.interleave_by_provider(rows, "source_id", BACKLOG, ordering.recency_bucket(F.col("published_at"), NOW_MS)).select("id", F.col("bucket").cast("long").alias("bucket"), F.col("turn").cast("long").alias("turn"))
+    return ordering.interleave_by_provider(rows, "source_id", backlog_order(), ordering.recency_bucket(F.col("published_at"), NOW_MS)).select("id", F.col("bucket").cast("long").alias("bucket"), F.col("turn").cast("long").alias("turn"))
 
 
 @query(f"WITH {SQL_ITEMS}, r AS (SELECT * FROM items ORDER BY importance DESC, published_at DESC, id LIMIT 200) SELECT id FROM r WHERE clickbait = false")
 def top_local_backlog(spark, sf):
-    return items(spark, sf).orderBy(*BACKLOG).limit(200).where("not clickbait").select("id")
+    return items(spark, sf).orderBy(*backlog_order()).limit(200).where("not clickbait").select("id")
 
 
 @query(f"WITH {SQL_ITEMS} SELECT id, published_at FROM items WHERE NOT clickbait AND published_at >= {NOW_MS} - 7 * 86400000")
