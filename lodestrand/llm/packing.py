@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestrand.llm.byte_bpe import encode_texts, tokenizers_codec
-from lodestrand.llm.storage import staged, with_rank
+from lodestrand.storage import staged, with_rank
 
 
 class CapacityTree:

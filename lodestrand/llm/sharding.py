@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrand.llm.storage import staged, with_rank
+from lodestrand.storage import staged, with_rank
 
 
 def ring(shards: int, points: int) -> tuple[np.ndarray, np.ndarray]:
