@@ -100,13 +100,13 @@ def budgets(most: int) -> np.ndarray:
 def key_masks(most: int) -> list[np.ndarray]:
     """Bits that must be equal in a chain, as masks of its segments, one for each way to meet.
 
-    The segments with a budget of 0 are equal. Of those after them with a budget of 1, cut into parts, all
-    parts but one are equal.
+    The segments with a budget of 0 are equal (six of them are enough for a key). Of those after them with a
+    budget of 1, cut into parts, all parts but one are equal.
     """
     budget = budgets(most)
-    base = np.where(budget == 0, 255, 0).astype(np.uint8)
+    base = np.where((budget == 0) & (np.arange(SEGMENTS) < 6), 255, 0).astype(np.uint8)
     loose = np.flatnonzero(budget == 1)
-    if not len(loose):
+    if not len(loose) or (base > 0).sum() + len(loose) > 6:
         return [base]
     if len(loose) == 1:
         parts = [(loose[0], 0x0F), (loose[0], 0xF0)]
@@ -141,8 +141,6 @@ def chain_keys(nodes: DataFrame, blocks: int, most: int) -> DataFrame:
                     keys.append(value | way << 48)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.concat_arrays([part] * len(ways))], ["key", "fingerprint"])
 
-    if 8 * max(int((m > 0).sum()) for m in masks) > 48:
-        raise ValueError("keys of more than 48 bits are not supported")
     return nodes.select("fingerprint").mapInArrow(run, "key long, fingerprint binary")
 
 
@@ -196,12 +194,10 @@ def bucket_links(keyed: DataFrame, blocks: int, most: int, most_total: int, buck
             pair = np.arange(lo, min(lo + PAIRS_AT_ONCE, int(before[-1])))
             a = np.searchsorted(before, pair, side="right") - 1
             b = a + 1 + pair - before[a]
-            ring = (8 * block[a] + start[a])[:, None]
             chain = 8 * block[a][:, None] + (start[a][:, None] + np.arange(SEGMENTS)) % SEGMENTS
             differ = np.bitwise_count(np.take_along_axis(rows[a], chain, 1) ^ np.take_along_axis(rows[b], chain, 1))
             passed = (np.cumsum(differ, axis=1) <= budget).all(axis=1)  # the last budget is the full distance
             a, b = a[passed], b[passed]
-            del ring
             if blocks > 1:
                 near = np.bitwise_count(rows[a] ^ rows[b]).sum(axis=1) <= most_total
                 a, b = a[near], b[near]
