@@ -1,0 +1,4 @@
+"""Importing this package registers every query."""
+
+from lodestrand.plans import places, queries, replies, stories  # noqa: F401
+from lodestrand.plans.registry import ORACLE, QUERIES  # noqa: F401

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -12,9 +10,7 @@ from lodestrand.functions import numbers as N
 from lodestrand.functions import text as T
 from lodestrand.operators import aggregate, greedy, ordering, retrieve, select
 from lodestrand.plans.adapters import NOW_MS, geo_nodes, items, progress, table
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+from lodestrand.plans.registry import query
 
 SQL_ITEMS = f"""items AS (
   SELECT d.doc_id AS id, d.source AS source_id, split_part(d.text, chr(10), 1) AS title, substr(d.text, 1, 300) AS summary, d.text, d.lang,
@@ -28,16 +24,6 @@ SQL_BUCKET = "CASE WHEN lean IS NULL THEN 'non-political' WHEN lean <= -0.6 THEN
 SQL_HOST = "nullif(regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1)), '^www\\.', ''), '')"
 
 
-def query(sql: str | None = None) -> Callable:
-    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return add
-
-
 def r6(x: Column) -> Column:
     return F.round(x.cast("double"), 6)
 

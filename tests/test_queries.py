@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from lodestrand.plans import queries as plans
+from lodestrand import plans
 
 SF = "/root/testdata/sf0.001"
 
