@@ -12,10 +12,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestrand.llm import near_copies
+from lodestrand.llm.shingles import shingle_hashes
 from lodestrand.operators.graph import components
 from lodestrand.storage import staged
 
@@ -24,20 +25,6 @@ LANES = np.uint64(0x0101010101010101)
 BATCH_HASHES, PAIRS_AT_ONCE = 1 << 20, 1 << 20
 
 
-def shingle_hashes(text: bytes, words: int, seed: int = 42) -> np.ndarray:
-    """XXH64 of each shingle of whole words, repeats included; fewer words give the one whole sequence."""
-    found = text.lower().split()  # of bytes: A-Z only, and white space is 0x20 and 0x09-0x0D
-    if not found:
-        return np.zeros(0, dtype=np.uint64)
-    joined, digest = b" ".join(found), xxhash.xxh64_intdigest
-    if len(found) <= words:
-        return np.array([digest(joined, seed)], dtype=np.uint64)
-    ends = np.cumsum([len(x) + 1 for x in found]) - 1
-    starts = np.concatenate([[0], ends[:-1] + 1])
-    pairs = zip(starts[: len(found) - words + 1].tolist(), ends[words - 1 :].tolist(), strict=True)
-    return np.array([digest(joined[a:b], seed) for a, b in pairs], dtype=np.uint64)
-
-
 def mixed(hashes: np.ndarray, block: int) -> np.ndarray:
     """The hashes for a further block of 64 bits; block 0 keeps them."""
     if not block:
@@ -252,14 +239,14 @@ def near_duplicates(docs: DataFrame, words: int = 3, most: int = 3, blocks: int
     return found.select("doc_id", F.lower(F.hex("fingerprint")).alias("fingerprint"), "component_id")
 
 
-def deduplicate(docs: DataFrame, words: int = 5, most: int = 7, blocks: int = 4, most_total: int = 40, bucket_rows: int = 4000) -> DataFrame:
+def deduplicate(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
     """One document of each group of near copies: that with the smallest doc_id; repeated rows of it are kept once.
 
-    The defaults: shingles of five words and 256 bits of which at most 40 differ, which is the expected distance
-    at a similarity (Jaccard) of about 0.8. All columns of docs are kept. Rows without doc_id are kept.
+    Near copies are texts whose sets of shingles (five words) have a Jaccard of `least` or more; fingerprints don't decide.
+    All columns of docs are kept. Rows without doc_id are kept.
     """
     keyed = docs.where("doc_id is not null")
-    groups = near_duplicates(keyed, words, most, blocks, most_total, bucket_rows)
+    groups = near_copies.similar_groups(keyed, words, least)
     stay = groups.where("doc_id = component_id").select("doc_id").distinct()
     kept = keyed.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return kept.unionByName(docs.where("doc_id is null"))
