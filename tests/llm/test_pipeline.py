@@ -1,3 +1,7 @@
+import zlib
+
+import numpy as np
+
 import __spark_entry__
 import corpus_pipeline
 
@@ -23,3 +27,9 @@ def test_stages(spark, tmp_path):
 def test_registered():
     assert "pipeline" in __spark_entry__.queries()
     assert sorted(int(n[2:].split("_")[0]) for n in __spark_entry__.queries() if n.startswith("op") and n[2].isdigit()) == list(range(1, 11))
+
+
+def test_packed_rows_hold_their_token_ids(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(20)
+    rows = corpus_pipeline.packing_stage(spark, docs, SF).collect()
+    assert rows and all(len(r["ids"]) == r["length"] and zlib.crc32(np.array(r["ids"], dtype="<u4").tobytes()) == r["ids_crc32"] for r in rows)
