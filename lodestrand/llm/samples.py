@@ -20,10 +20,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn_from:
     """doc_id, text, label (0 or 1) of the labelled rows to learn from, whole texts, at most most_rows documents.
 
     The sample is drawn by a hash of doc_id. Rows without a label are left out; of repeated labels of a document
-    the largest counts; a document that occurs in several rows is learned from in each.
+    the largest counts; of several rows of a document the one with the least text is learned from.
     """
     marks = labels.select("doc_id", F.col(label).cast("int").alias("label")).where("label is not null and doc_id is not null").where(learn_from)
     marks = marks.groupBy("doc_id").agg(F.max("label").alias("label"))
     marks = staged(marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows))
-    found = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(marks), "doc_id")  # most_rows rows at most
+    texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    found = texts.join(F.broadcast(marks), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label"))  # most_rows rows at most
     return found.select("doc_id", "text", F.col("label").cast("int").alias("label"))
