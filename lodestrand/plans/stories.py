@@ -163,5 +163,4 @@ def interest_feeds(spark, sf):
     """A feed on one interest for the reader of each language."""
     rows = items(spark, sf).where("not clickbait").withColumn("minutes", N.read_minutes(F.col("text")).cast("double"))
     rows = rows.withColumn("relevance", F.round(N.base_score(F.col("importance"), F.col("published_at"), NOW_MS), 9))
-    rows = ordering.top_per_group(rows, ["lang"], [F.col("relevance").desc(), F.col("id")], 500)
     return greedy.interest_feeds(rows, "lang", 60.0, NOW_MS)

@@ -28,22 +28,32 @@ def shared_dir(spark: SparkSession) -> str:
 def staged(df: DataFrame) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: a lost executor costs no recomputation beyond this."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/staged-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    made = df.sparkSession.read.schema(df.schema).parquet(path)
+    made._staged_path = path
+    return made
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table that staged() wrote and nothing reads any more."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._staged_path)
+    path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
-def with_rank(df: DataFrame, key: str, order: list[Column], rows: int, out: str = "rank", cell_rows: int = 2000, most_salts: int = 4096) -> DataFrame:
+def with_rank(df: DataFrame, key: str, order: list[Column], counts: dict[int, int], out: str = "rank", cell_rows: int = 100_000) -> DataFrame:
     """Add the row's position (from 0) among the rows of its key.
 
-    A key may hold any share of the rows: its rows are dealt to salts by a hash of the order columns,
-    numbered inside each salt and shifted by the counts of the salts before.
+    counts: the rows of each key, a bounded number of keys. A key may hold any share of the rows: its rows are dealt to
+    as many salts as it has cell_rows, by a hash of the order columns, numbered inside each salt and shifted by the counts of the salts before.
     """
-    salts = max(1, min(most_salts, -(-rows // cell_rows)))
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salts)).cast("int"))
+    spark, kind = df.sparkSession, df.schema[key].dataType.simpleString()
+    salts = spark.createDataFrame([(k, -(-n // cell_rows)) for k, n in counts.items() if n > cell_rows], f"_of {kind}, _salts long")
+    salted = df.join(F.broadcast(salts), F.col(key) == F.col("_of"), "left")  # as many rows as the keys
+    salted = salted.withColumn("_salt", F.pmod(F.xxhash64(*order), F.coalesce("_salts", F.lit(1))).cast("int")).drop("_of", "_salts")
     cells = salted.groupBy(F.col(key).alias("_key"), F.col("_salt").alias("_cell")).agg(F.count("*").alias("_n"))
     before = Window.partitionBy("_key").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.select("_key", "_cell", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    cells = cells.select("_key", "_cell", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")).where("_cell > 0")
     inside = F.row_number().over(Window.partitionBy(key, "_salt").orderBy(*order))
     ranked = salted.withColumn("_inside", inside)
-    joined = ranked.join(cells, (ranked[key] == cells["_key"]) & (ranked["_salt"] == cells["_cell"]))
-    return joined.withColumn(out, F.col("_before") + F.col("_inside") - 1).drop("_salt", "_key", "_cell", "_before", "_inside")
+    joined = ranked.join(cells, (ranked[key] == cells["_key"]) & (ranked["_salt"] == cells["_cell"]), "left")
+    return joined.withColumn(out, F.coalesce("_before", F.lit(0)) + F.col("_inside") - 1).drop("_salt", "_key", "_cell", "_before", "_inside")

@@ -41,8 +41,8 @@ def test_a_story_is_claimed_once(spark):
 
 
 def test_interest_feed_fills_the_quota():
-    rows = pd.DataFrame({"lean": [-0.5, -0.5, None], "minutes": [5.0, 5.0, 5.0], "published_at": [0, 0, 0], "relevance": [0.9, 0.85, 0.8], "topic": [1, 1, 2], "source_id": ["a", "a", "b"]})
-    assert greedy.interest_feed(rows, 10.0, 0) == [0, 2]
+    rows = pd.DataFrame({"lean": [-0.5, -0.5, None], "minutes": [5.0, 5.0, 5.0], "base": [0.9, 0.85, 0.8], "topic": [1, 1, 2], "source_id": ["a", "a", "b"]})
+    assert greedy.interest_feed(rows, 10.0) == [0, 2]
 
 
 def test_deal_tops_up_from_the_deck(spark):
