@@ -1,7 +1,8 @@
-"""Vectors in packed blocks: a block holds rows of one cell, and a set of queries meets only the cells that it asks for.
+"""Vectors in packed blocks: a block holds rows of one cell, and a query meets only the cells that it asks for.
 
-Both sides are packed into blocks of bounded size before they are joined by cell, so a join row is one matrix
-product, and a cell of any size is many blocks.
+A cell is dealt to parts of a bounded number of rows. Each part is a task's key: its data blocks are shipped to it once
+and held, and the blocks of the queries that ask for the cell stream past them. So a cell of any size, and any number of queries, is
+many keys of bounded memory.
 """
 
 from __future__ import annotations
@@ -9,11 +10,16 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+#: Rows of a block of data, of a part of a cell, of a block of queries; queries that one copy of a part serves.
+DATA_ROWS, PART_ROWS, QUERY_ROWS, SERVED = 2048, 32_768, 512, 1 << 17
+BLOCK = "cell int, part int, kind int, ids binary, vectors binary, extra binary"
+
 
 def valid_vectors(table: DataFrame, non_zero: bool = False) -> DataFrame:
     """vec_id (long), vector (array of double) of the rows that take part.
@@ -39,74 +45,112 @@ def matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
 
 
-def packed(rows: DataFrame, extra: list[str], block_rows: int, salts: int = 1, order: Column | None = None) -> DataFrame:
-    """cell, n, ids, vectors and the extra columns (doubles), the last three as binary: blocks of at most block_rows rows of a cell.
+def parts_of(cell_rows: np.ndarray) -> np.ndarray:
+    """How many parts each cell has."""
+    return np.maximum(1, -(-cell_rows.astype(np.int64) // PART_ROWS))
 
-    rows: cell (int), vec_id, vector (array of double) and the extra columns. salts: into how many parts a cell is dealt before it is packed.
-    """
-    salt = F.pmod(F.xxhash64("vec_id"), F.lit(salts)).cast("int")
-    dealt = rows.withColumn("_salt", salt).repartition("cell", "_salt").sortWithinPartitions("cell", "_salt", *([order] if order is not None else []), "vec_id")
 
-    def told(cell: int, held: list[tuple]) -> dict:
-        ids, vectors, *more = (np.concatenate(x) for x in zip(*held, strict=True))
-        return {"cell": [cell], "n": [len(ids)], "ids": [ids.astype("<i8").tobytes()], "vectors": [vectors.astype("<f8").tobytes()], **{k: [v.astype("<f8").tobytes()] for k, v in zip(extra, more, strict=True)}}
+def data_blocks(rows: DataFrame, parts: np.ndarray, extra: Callable[[np.ndarray], bytes]) -> DataFrame:
+    """The rows (cell, vec_id, vector) as blocks; extra: what else a block keeps of its vectors."""
+
+    @F.pandas_udf("int")
+    def part_of(cell: pd.Series, mixed: pd.Series) -> pd.Series:
+        return pd.Series(mixed.to_numpy() % parts[cell.to_numpy()]).astype("int32")
+
+    dealt = rows.withColumn("part", part_of("cell", F.xxhash64("vec_id"))).repartition("cell", "part").sortWithinPartitions("cell", "part", "vec_id")
 
-    schema = pa.schema([("cell", pa.int32()), ("n", pa.int32()), ("ids", pa.binary()), ("vectors", pa.binary()), *((x, pa.binary()) for x in extra)])
+    def told(key: tuple[int, int], held: list[tuple]) -> pa.RecordBatch:
+        ids, vectors = (np.concatenate(x) for x in zip(*held, strict=True))
+        columns = [[key[0]], [key[1]], [0], [ids.astype("<i8").tobytes()], [vectors.astype("<f8").tobytes()], [extra(vectors)]]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int32()] * 3 + [pa.binary()] * 3, strict=True)], ["cell", "part", "kind", "ids", "vectors", "extra"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell, held, n = None, [], 0
+        key, held, n = None, [], 0
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cells = batch.column(0).to_numpy(zero_copy_only=False)
-            ids, vectors = batch.column(1).to_numpy(zero_copy_only=False), matrix(batch.column(2))
-            more = [batch.column(3 + i).to_numpy(zero_copy_only=False).astype(np.float64) for i in range(len(extra))]
-            cuts = [0, *(np.flatnonzero(cells[1:] != cells[:-1]) + 1).tolist(), len(cells)]
+            cells, parts_, ids = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            vectors = matrix(batch.column(3))
+            cuts = [0, *(np.flatnonzero((cells[1:] != cells[:-1]) | (parts_[1:] != parts_[:-1])) + 1).tolist(), len(cells)]
             for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-                if cell is not None and cells[lo] != cell and held:
-                    yield pa.RecordBatch.from_pydict(told(cell, held), schema)
+                now = int(cells[lo]), int(parts_[lo])
+                if held and now != key:
+                    yield told(key, held)
                     held, n = [], 0
-                cell = int(cells[lo])
+                key = now
                 while lo < hi:
-                    take = min(hi - lo, block_rows - n)
-                    held.append((ids[lo : lo + take], vectors[lo : lo + take], *(x[lo : lo + take] for x in more)))
+                    take = min(hi - lo, DATA_ROWS - n)
+                    held.append((ids[lo : lo + take], vectors[lo : lo + take]))
                     n, lo = n + take, lo + take
-                    if n == block_rows:
-                        yield pa.RecordBatch.from_pydict(told(cell, held), schema)
+                    if n == DATA_ROWS:
+                        yield told(key, held)
                         held, n = [], 0
         if held:
-            yield pa.RecordBatch.from_pydict(told(cell, held), schema)
+            yield told(key, held)
 
-    ddl = "cell int, n int, ids binary, vectors binary" + "".join(f", {x} binary" for x in extra)
-    return dealt.select("cell", "vec_id", "vector", *extra).mapInArrow(run, ddl)
+    return dealt.select("cell", "part", "vec_id", "vector").mapInArrow(run, BLOCK)
 
 
-def unpacked(row: dict, side: str, extra: list[str]) -> tuple[np.ndarray, ...]:
-    """ids, vectors and the extra columns of one side of a joined row."""
-    ids = np.frombuffer(row[f"{side}_ids"], dtype="<i8")
-    vectors = np.frombuffer(row[f"{side}_vectors"], dtype="<f8").reshape(len(ids), -1)
-    return ids, vectors, *(np.frombuffer(row[f"{side}_{x}"], dtype="<f8") for x in extra)
+def query_blocks(asked: DataFrame, numbers: list[str], wanted: Callable[..., np.ndarray], parts: np.ndarray, chunks: int) -> DataFrame:
+    """Blocks of the queries (vec_id, vector and the numbers, doubles), one for each part of each cell that one of them wants.
 
+    wanted(vectors, *numbers): a row for each query, a column for each cell. The first number goes with the block.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, QUERY_ROWS):
+                part = batch.slice(at, QUERY_ROWS)
+                ids, vectors = part.column(0).to_numpy(zero_copy_only=False), matrix(part.column(1))
+                told = [part.column(2 + i).to_numpy(zero_copy_only=False) for i in range(len(numbers))]
+                want = wanted(vectors, *told)
+                chunk = int(ids[0]) // QUERY_ROWS % chunks
+                for cell in np.flatnonzero(want.any(axis=0)).tolist():
+                    mine = np.flatnonzero(want[:, cell])
+                    payload = [ids[mine].astype("<i8").tobytes(), vectors[mine].astype("<f8").tobytes(), told[0][mine].astype("<f8").tobytes()]
+                    n = int(parts[cell])
+                    columns = [[cell] * n, list(range(n)), [1] * n, *([x] * n for x in payload), [chunk] * n]
+                    kinds = [pa.int32()] * 3 + [pa.binary()] * 3 + [pa.int32()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["cell", "part", "kind", "ids", "vectors", "extra", "chunk"])
 
-def meet(data: DataFrame, queries: DataFrame, kernel: Callable[[dict], tuple[np.ndarray, np.ndarray, np.ndarray]], parts: int) -> DataFrame:
-    """query_id, vec_id, value: what kernel finds in each pair of a data block and a query block of one cell."""
-    left = data.select("cell", *(F.col(c).alias(f"d_{c}") for c in data.columns if c != "cell"))
-    right = queries.select("cell", *(F.col(c).alias(f"q_{c}") for c in queries.columns if c != "cell"))
+    return asked.select("vec_id", "vector", *numbers).mapInArrow(run, f"{BLOCK}, chunk int")
+
+
+Kernel = Callable[[tuple[np.ndarray, np.ndarray, bytes], tuple[np.ndarray, np.ndarray, np.ndarray]], tuple[np.ndarray, np.ndarray, np.ndarray]]
+
+
+def meet(data: DataFrame, queries: DataFrame, kernel: Kernel, chunks: int, value: str = "double") -> DataFrame:
+    """query_id, vec_id, value: what kernel finds for each block of queries in each data block of its part.
+
+    A part is shipped once for each chunk of the queries (of about SERVED).
+    """
+    copies = data.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    both = copies.unionByName(queries).repartition("cell", "part", "chunk").sortWithinPartitions("cell", "part", "chunk", "kind")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
         for batch in batches:
+            keys = list(zip(*(batch.column(i).to_pylist() for i in (0, 1, 6)), strict=True))
+            kinds = batch.column(2).to_pylist()
             for i in range(batch.num_rows):
-                row = {name: batch.column(j)[i].as_py() for j, name in enumerate(batch.schema.names)}
-                query, vec, value = kernel(row)
-                if len(query):
-                    yield pa.RecordBatch.from_arrays([pa.array(query), pa.array(vec), pa.array(value)], ["query_id", "vec_id", "value"])
-
-    pairs = left.join(right.hint("shuffle_hash"), "cell").repartition(parts)
-    return pairs.mapInArrow(run, "query_id long, vec_id long, value double")
+                if keys[i] != key:
+                    key, held = keys[i], []
+                ids = np.frombuffer(batch.column(3)[i].as_buffer(), dtype="<i8")
+                vectors = np.frombuffer(batch.column(4)[i].as_buffer(), dtype="<f8").reshape(len(ids), -1)
+                extra = batch.column(5)[i].as_py()
+                if kinds[i] == 0:
+                    held.append((ids.copy(), vectors.copy(), extra))
+                    continue
+                for block in held:
+                    found = kernel(block, (ids, vectors, np.frombuffer(extra, dtype="<f8")))
+                    if len(found[0]):
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["query_id", "vec_id", "value"])
+
+    return both.select("cell", "part", "kind", "ids", "vectors", "extra", "chunk").mapInArrow(run, f"query_id long, vec_id long, value {value}")
 
 
 def best(found: DataFrame, k: int, largest: bool) -> DataFrame:
-    """The k best values of each query, ties to the smaller vec_id; rank from 1. Equal rows count once."""
+    """The k best values of each query, ties to the smaller vec_id; rank from 1. A vec_id that was found twice counts once."""
     value = F.col("value").desc() if largest else F.col("value").asc()
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(value, "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+    return found.dropDuplicates(["query_id", "vec_id"]).withColumn("rank", rank).where(F.col("rank") <= k)

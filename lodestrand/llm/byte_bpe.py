@@ -24,11 +24,11 @@ SAFE_CUT = re.compile(r" (?=\S)")
 SEGMENT, BATCH_BYTES, JOINED = 1 << 15, 8 << 20, 32
 
 
-def segments(text: str, size: int = SEGMENT) -> Iterator[str]:
+def segments(text: str, size: int = SEGMENT, safe: re.Pattern = SAFE_CUT) -> Iterator[str]:
     """Cut a long text at safe places about every `size` characters."""
     start = 0
     while len(text) - start > size:
-        cut = SAFE_CUT.search(text, start + size)
+        cut = safe.search(text, start + size)
         if cut is None:
             break
         yield text[start : cut.start()]
@@ -62,20 +62,21 @@ class TiktokenCodec:
 
 
 class TokenizersCodec:
-    """The tokenizers library with a byte-level vocabulary; strings of special tokens are ordinary text."""
+    """The tokenizers library with a byte-level vocabulary; the letters of a special token in a text are that token."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        special = "|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.safe = re.compile(rf" (?=\S)(?!(?:{special}))" if special else SAFE_CUT.pattern)  # white space before a special token ends a text of its own
         vocabulary = self.tokenizer.get_vocab()
         self.token_bytes = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
         for token, rank in vocabulary.items():
             self.token_bytes[rank] = len(token)  # a character stands for a byte
 
     def encode(self, text: str) -> np.ndarray:
-        return np.concatenate([np.asarray(self.tokenizer.encode(x, add_special_tokens=False).ids, dtype=np.uint32) for x in segments(text)])
+        return np.concatenate([np.asarray(self.tokenizer.encode(x, add_special_tokens=False).ids, dtype=np.uint32) for x in segments(text, safe=self.safe)])
 
     def encode_joined(self, pieces: list[str]) -> np.ndarray:
         groups = [" " + " ".join(pieces[i : i + JOINED]) for i in range(0, len(pieces), JOINED)]

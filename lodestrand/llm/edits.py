@@ -2,7 +2,8 @@
 
 Every document keeps a segment tree. Its leaves are runs of whole pre-tokens, its nodes the sums of characters
 and tokens below. An edit finds its leaves by the sums, and only those, with the run before where their first
-pre-token may have changed, are encoded again; then the sums above them are updated.
+pre-token may have changed, are encoded again; then the sums above them are updated. The trees are a table (the leaves'
+texts and counts of each document): a batch of edits reads it, encodes what the edits touch, and gives the table for the next batch.
 """
 
 from __future__ import annotations
@@ -22,19 +23,29 @@ LEAF = 256
 class TokenTree:
     """The text of one document under edits, with its token count."""
 
-    def __init__(self, text: str, encode, leaf: int = LEAF):
+    def __init__(self, texts: list[str], encode, leaf: int = LEAF, counts: list[int] | None = None):
+        """counts: the leaves' token counts, where they are known; else every leaf is encoded."""
         self.encode, self.leaf, self.encoded_chars = encode, leaf, 0
-        self._build(text)
+        self._build(texts, [self._count(x) for x in texts] if counts is None else counts)
 
-    def _build(self, text: str) -> None:
-        self.texts = list(segments(text, self.leaf))
-        self.size = 1 << max(0, len(self.texts) - 1).bit_length()
+    @classmethod
+    def of(cls, text: str, encode, leaf: int = LEAF) -> TokenTree:
+        return cls(list(segments(text, leaf)), encode, leaf)
+
+    def _build(self, texts: list[str], counts: list[int]) -> None:
+        self.texts = texts
+        self.size = 1 << max(0, len(texts) - 1).bit_length()
         self.chars, self.tokens = [0] * (2 * self.size), [0] * (2 * self.size)
-        for i, x in enumerate(self.texts):
-            self.chars[self.size + i], self.tokens[self.size + i] = len(x), self._count(x)
+        for i, (x, n) in enumerate(zip(texts, counts, strict=True)):
+            self.chars[self.size + i], self.tokens[self.size + i] = len(x), n
         for node in range(self.size - 1, 0, -1):
             self._sum(node)
 
+    def leaves(self) -> tuple[list[str], list[int]]:
+        """Texts and token counts of the leaves that hold text (one leaf at least)."""
+        both = [(x, n) for x, n in zip(self.texts, self.tokens[self.size :], strict=False) if x] or [("", 0)]
+        return [x for x, _ in both], [n for _, n in both]
+
     def _count(self, text: str) -> int:
         self.encoded_chars += len(text)
         return len(self.encode(text)) if text else 0
@@ -103,52 +114,62 @@ class TokenTree:
         kept = self.tokens[self.size : self.size + len(self.texts)]
         tokens = kept[:first] + counts + kept[last + 1 :]
         both = [(x, n) for x, n in zip(texts, tokens, strict=True) if x] or [("", 0)]
-        self.texts, tokens = [x for x, _ in both], [n for _, n in both]
-        self.size = 1 << max(0, len(self.texts) - 1).bit_length()
-        self.chars, self.tokens = [0] * (2 * self.size), [0] * (2 * self.size)
-        for i, (x, n) in enumerate(zip(self.texts, tokens, strict=True)):
-            self.chars[self.size + i], self.tokens[self.size + i] = len(x), n
-        for node in range(self.size - 1, 0, -1):
-            self._sum(node)
+        self._build([x for x, _ in both], [n for _, n in both])
 
 
 EDIT = "array<struct<position:bigint,removed:bigint,inserted:string>>"
 
 
-def count_edited(docs: DataFrame, ranks_path: str, pattern: str, keep_text: bool = False, leaf: int = LEAF) -> DataFrame:
-    """Token counts of every whole text before and after its edits.
+TREE = "leaves array<string>, counts array<int>"
+
+
+def build_trees(docs: DataFrame, ranks_path: str, pattern: str, leaf: int = LEAF) -> DataFrame:
+    """doc_id, leaves, counts: the tree of every whole text (null: empty) as a row. Repeated rows give repeated rows; other columns are ignored."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = tiktoken_codec(ranks_path, pattern).encoding.encode_ordinary
+        for batch in batches:
+            leaves = [list(segments(x.as_py() or "", leaf)) for x in batch.column(1)]
+            counts = [[len(encode(x)) for x in y] for y in leaves]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(leaves, pa.list_(pa.string())), pa.array(counts, pa.list_(pa.int32()))], ["doc_id", "leaves", "counts"])
+
+    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {TREE}")
+
+
+def apply_edits(trees: DataFrame, ranks_path: str, pattern: str, leaf: int = LEAF) -> DataFrame:
+    """The trees after their edits, and what that took. Only leaves that an edit touches, with the context their ends need, are encoded.
 
-    docs: doc_id, text, edits (array of position, removed, inserted: in order, in characters of the text as the edits before left
-    it); other columns are ignored. Positions and lengths are cut to the text; a null edit, or one with a null position,
-    changes nothing; a null length removes nothing, a null insertion inserts nothing; null edits are none. Null text counts as empty.
-    Repeated rows give repeated rows; an empty table gives an empty table. Returns doc_id, n_tokens, edited_tokens, n_edits, encoded_again (characters
-    that the edits made encode again), edited_chars, and with keep_text the edited text.
+    trees: doc_id, leaves, counts (of build_trees, or of an apply_edits before), edits (array of position, removed, inserted: in
+    order, in characters of the text as the edits before left it); other columns are ignored. Positions and lengths are cut to the text; a null edit,
+    or one with a null position, changes nothing; a null length removes nothing, a null insertion inserts nothing; null edits are none.
+    Repeated rows give repeated rows; an empty table gives an empty table. Returns doc_id, leaves, counts, n_tokens (before),
+    edited_tokens, n_edits, encoded_again (characters that the edits made encode again), edited_chars.
     """
     names = ["n_tokens", "edited_tokens", "n_edits", "encoded_again", "edited_chars"]
-    ddl = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, " + ", ".join(f"{x} long" for x in names) + ", edited_text string" * keep_text
+    ddl = f"doc_id {trees.schema['doc_id'].dataType.simpleString()}, {TREE}, " + ", ".join(f"{x} long" for x in names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tiktoken_codec(ranks_path, pattern).encoding.encode_ordinary
         for batch in batches:
-            rows, texts = [], []
-            for text, edits in zip(batch.column(1), batch.column(2), strict=True):
-                tree = TokenTree(text.as_py() or "", encode, leaf)
-                n, before, done = tree.n_tokens, tree.encoded_chars, 0
+            rows, kept = [], []
+            for leaves, counts, edits in zip(*(batch.column(i) for i in (1, 2, 3)), strict=True):
+                tree = TokenTree(leaves.as_py(), encode, leaf, counts.as_py())
+                n, done = tree.n_tokens, 0
                 for edit in edits.as_py() or []:
                     if edit and edit["position"] is not None:
                         tree.edit(edit["position"], edit["removed"] or 0, edit["inserted"] or "")
                         done += 1
-                rows.append((n, tree.n_tokens, done, tree.encoded_chars - before, tree.chars[1]))
-                if keep_text:
-                    texts.append(tree.text())
+                rows.append((n, tree.n_tokens, done, tree.encoded_chars, tree.chars[1]))
+                kept.append(tree.leaves())
             numbers = np.array(rows, dtype=np.int64).reshape(-1, len(names))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(numbers[:, i]) for i in range(len(names))), *[pa.array(texts, pa.string())] * keep_text], ["doc_id", *names, *["edited_text"] * keep_text])
+            new = [pa.array([x for x, _ in kept], pa.list_(pa.string())), pa.array([n for _, n in kept], pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *new, *(pa.array(numbers[:, i]) for i in range(len(names)))], ["doc_id", "leaves", "counts", *names])
 
-    return docs.select("doc_id", F.col("text").cast("string"), F.col("edits").cast(EDIT)).mapInArrow(run, ddl)
+    return trees.select("doc_id", "leaves", "counts", F.col("edits").cast(EDIT)).mapInArrow(run, ddl)
 
 
-def with_edits(docs: DataFrame, edits: DataFrame) -> DataFrame:
-    """docs with the edits of a table (doc_id, seq, position, removed, inserted) as the array that count_edited takes."""
+def with_edits(trees: DataFrame, edits: DataFrame) -> DataFrame:
+    """trees with the edits of a table (doc_id, seq, position, removed, inserted) as the array that apply_edits takes."""
     of = edits.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("seq", "position", "removed", "inserted"))).alias("_all"))
     told = of.select("doc_id", F.transform("_all", lambda e: F.struct(e["position"].alias("position"), e["removed"].alias("removed"), e["inserted"].alias("inserted"))).alias("edits"))
-    return docs.drop("edits").join(told, "doc_id", "left")
+    return trees.drop("edits").join(told, "doc_id", "left")

@@ -91,8 +91,9 @@ def place(counts: dict[int, int], window: int) -> np.ndarray:
 def tokenized(docs: DataFrame, vocabulary: str, window: int = 2048, end_id: int = 1, keep_ids: bool = False) -> DataFrame:
     """Cut every document's ids, and the end id after them, into full windows and a rest.
 
-    docs: doc_id, text; null text counts as empty. Returns a row for each piece: doc_id, start, length,
-    ids_crc32, doc_tokens, and with keep_ids the ids. vocabulary: a tokenizers JSON file on every executor.
+    docs: doc_id, text; other columns are ignored. Null text counts as empty, a null doc_id stays null, repeated rows give repeated pieces.
+    Ids are those of a plain encode without the added special tokens; where a text holds the letters of a special token, that is its id.
+    Returns a row for each piece: doc_id, start, length, ids_crc32, doc_tokens, and with keep_ids the ids. vocabulary: a tokenizers JSON file on every executor.
     """
     ddl = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * keep_ids
     end = np.array([end_id], dtype="<u4").tobytes()
@@ -132,7 +133,7 @@ def pack(pieces: DataFrame, window: int = 2048) -> DataFrame:
     for at, length in enumerate(plan[:, 0].tolist()):
         first.setdefault(length, at)
     order = [F.col("doc_id"), F.col("start"), F.col("ids_crc32")]
-    ranked = with_rank(pieces, "length", order, sum(counts.values()))
+    ranked = with_rank(pieces, "length", order, counts)
     # ranks and lengths in one key: successive lengths lie far apart, so one sorted search finds the row of the plan
     lengths = np.array(sorted(counts), dtype=np.int64)
     base = np.concatenate([[0], np.cumsum([counts[int(x)] for x in lengths])]).astype(np.int64)

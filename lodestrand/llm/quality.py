@@ -191,8 +191,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from: Column, most_rows: int =
     return QualityModel(vectors, fit_network(x, np.array([r["label"] for r in rows], dtype=np.float64)))
 
 
-def score(docs: DataFrame, model: QualityModel) -> DataFrame:
-    """docs with a column quality_score (0 to 1) in place of any of that name, from the whole text alone.
+def score(docs: DataFrame, model: QualityModel, out: str = "quality_score") -> DataFrame:
+    """docs with a column `out` (0 to 1) in place of any of that name, from the whole text alone.
 
     Null text counts as empty, and empty texts get a score. Repeated rows give repeated rows; other columns are kept.
     """
@@ -205,4 +205,4 @@ def score(docs: DataFrame, model: QualityModel) -> DataFrame:
             yield pd.Series(shared.value.scores(list(column), words), dtype="float64")
 
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
-    return docs.withColumn("quality_score", scores(text))
+    return docs.withColumn(out, scores(text))

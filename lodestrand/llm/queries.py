@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lodestrand.llm import byte_bpe, collisions, edits, packing, pivots, quality, revisits, sharding, simhash, toxicity
 from lodestrand.llm.samples import remainder
+from lodestrand.storage import staged
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,16 +79,20 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-def edited(docs: DataFrame) -> DataFrame:
+def edited(trees: DataFrame, batch: int) -> DataFrame:
     """Three edits of each document by a fixed rule: a replacement, an insertion and a removal."""
-    at = lambda i: F.pmod(F.xxhash64("doc_id", F.lit(i)), F.coalesce(F.length("text"), F.lit(0)).cast("long") + 1)
+    chars = F.aggregate("leaves", F.lit(0).cast("long"), lambda n, x: n + F.length(x))
+    at = lambda i: F.pmod(F.xxhash64("doc_id", F.lit(3 * batch + i)), chars + 1)
     edit = lambda i, removed, inserted: F.struct(at(i).alias("position"), F.lit(removed).cast("long").alias("removed"), inserted.alias("inserted"))
-    return docs.withColumn("edits", F.array(edit(0, 17, F.concat(F.lit(" edit "), F.col("doc_id").cast("string"))), edit(1, 0, F.lit("\n\nIn addition, 3 more words.")), edit(2, 60, F.lit(""))))
+    return trees.withColumn("edits", F.array(edit(0, 17, F.concat(F.lit(" edit "), F.col("doc_id").cast("string"))), edit(1, 0, F.lit("\n\nIn addition, 3 more words.")), edit(2, 60, F.lit(""))))
 
 
 def op9_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = edited(table(spark, sf_dir, "documents"))
-    return edits.count_edited(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    """Two batches of edits: the second reads the trees that the first left, and encodes only what it touches."""
+    ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    trees = edits.build_trees(table(spark, sf_dir, "documents"), ranks, pattern)
+    once = staged(edits.apply_edits(edited(trees, 0), ranks, pattern))
+    return edits.apply_edits(edited(once, 1), ranks, pattern).drop("leaves", "counts")
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,4 +115,25 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLE: dict[str, str] = {}
+_URL = "regexp_replace(trim(url), '#.*$', '')"
+_PART = lambda n: f"regexp_extract({_URL}, '{revisits.URL_PARTS}', {n})"
+_HOST = f"regexp_replace(regexp_replace(lower({_PART(1)}), '^www\\.', ''), ':(80|443)$', '')"
+_PATH = f"coalesce(nullif(regexp_replace({_PART(2)}, '/+$', ''), ''), '/')"
+_QUERY = f"array_to_string(list_sort(list_filter(string_split({_PART(3)}, '&'), lambda p: p <> '' AND NOT regexp_matches(p, '{revisits.IGNORED_PARAMETER}'))), '&')"
+
+ORACLE: dict[str, str] = {
+    "op1_revisits": f"""WITH p AS (SELECT page_id, url, md5(html) AS digest, length(html)::BIGINT AS length, CASE WHEN page_id % 10 <> 9 THEN '"' || md5(html) || '"' END AS tag, 1704067200 + (page_id * 7919) % 2592000 AS responded FROM pages),
+    r AS (SELECT *, unnest([0, 1, 2, 3]) AS r FROM p), u AS (SELECT *, page_id * 4 + r AS record_id, CASE WHEN r = 0 THEN responded ELSE 1704067200 + (page_id * 104729 + r * 611953) % 2592000 END AS captured_at,
+    CASE WHEN r = 0 THEN tag WHEN (page_id + r) % 6 = 0 THEN '"stale"' WHEN r = 2 THEN 'W/' || tag ELSE tag END AS etag, CASE WHEN r = 0 OR page_id % 4 <> 0 THEN (responded - 3600)::VARCHAR END AS modified,
+    CASE r WHEN 2 THEN url || '#r2' WHEN 3 THEN url || CASE WHEN contains(url, '?') THEN '&' ELSE '?' END || 'utm_campaign=r3' ELSE url END AS told FROM r),
+    k AS (SELECT * EXCLUDE (url, told), CASE WHEN regexp_matches({_URL}, '{revisits.URL_PARTS}') THEN {_HOST} || {_PATH} || CASE WHEN {_QUERY} = '' THEN '' ELSE '?' || {_QUERY} END ELSE trim(url) END AS canonical_url FROM (SELECT * EXCLUDE (url), told AS url FROM u)),
+    j AS (SELECT v.record_id, v.canonical_url, v.captured_at, v.r, v.etag, v.modified, b.record_id AS response_id, b.etag AS base_etag, b.modified AS base_modified, b.digest, b.length FROM k v LEFT JOIN (SELECT * FROM k WHERE r = 0) b
+    ON v.canonical_url = b.canonical_url AND b.captured_at < v.captured_at WHERE v.r > 0 QUALIFY row_number() OVER (PARTITION BY v.record_id ORDER BY b.captured_at DESC, b.record_id DESC) = 1),
+    s AS (SELECT *, CASE WHEN etag IS NOT NULL AND base_etag IS NOT NULL THEN 'etag' WHEN modified IS NOT NULL AND base_modified IS NOT NULL THEN 'last_modified' END AS validator FROM j),
+    t AS (SELECT *, CASE WHEN response_id IS NULL THEN 'missing' WHEN validator IS NULL THEN 'unchecked' WHEN CASE WHEN validator = 'etag' THEN replace(etag, 'W/', '') = base_etag ELSE modified = base_modified END THEN 'resolved' ELSE 'mismatch' END AS status FROM s)
+    SELECT record_id, canonical_url, captured_at, status, validator, response_id, CASE WHEN status = 'resolved' THEN digest END AS payload_digest, CASE WHEN status = 'resolved' THEN length END AS payload_length,
+    CASE WHEN status = 'resolved' THEN 'cache-control=max-age=' || (r * 100) || '; content-length=' || length || '; content-type=text/html; date=' || captured_at END AS headers FROM t""",
+    "op3_pivots": """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (SELECT q.vec_id AS query_id, v.vec_id, list_dot_product(q.v, v.v)::BIGINT AS score FROM v q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0)
+    SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s QUALIFY rank <= 5""",
+}

@@ -14,14 +14,15 @@ from pyspark.sql.window import Window
 #: Headers that a not-modified answer may update (RFC 9110, 15.4.5, and Last-Modified).
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary")
 #: Query parameters that don't tell pages apart.
-IGNORED_PARAMETER = r"^(utm_[^=]*|ref|fbclid|gclid)(=.*)?$"
+IGNORED_PARAMETER = r"^(utm_[^=]*|fbclid|gclid)(=.*)?$"
 URL_PARTS = r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?]*)([^?]*)\??(.*)$"
 
 
 def canonical_url(url: Column) -> Column:
     """Host in lower case without www. and default port, path without closing slashes, the telling parameters sorted.
 
-    Scheme and fragment don't count. Null gives null; what isn't an absolute URL stays as it is, trimmed.
+    Scheme and fragment don't count (as in the keys of web archives); a page that answers otherwise there has other validators and is told as
+    "mismatch". Null gives null; what isn't an absolute URL stays as it is, trimmed.
     """
     bare = F.regexp_replace(F.trim(url), r"#.*$", "")
     part = lambda n: F.regexp_extract(bare, URL_PARTS, n)
@@ -54,8 +55,8 @@ def resolve_revisits(records: DataFrame, bucket_seconds: int = 3600) -> DataFram
 
     records: record_id, url, captured_at (epoch seconds, long), kind ("response" or "revisit"), etag,
     last_modified (strings), payload_digest (string), payload_length (long), headers (map of lower-case names). Other columns are
-    ignored. A response without payload_digest isn't full. The latest full response strictly before the revisit counts;
-    of several at that instant, the one with the largest record_id.
+    ignored. A response without payload_digest isn't full, and rows of any other or no kind are neither responses nor revisits: both are passed over.
+    The latest full response strictly before the revisit counts; of several at that instant, the one with the largest record_id, then payload_digest.
 
     Returns a row for each revisit: record_id, canonical_url, captured_at, status, validator, response_id,
     payload_digest, payload_length, headers. status: "resolved"; "mismatch" (the etag, compared weakly, or else the
@@ -74,11 +75,11 @@ def resolve_revisits(records: DataFrame, bucket_seconds: int = 3600) -> DataFram
     names = ["record_id", "captured_at", "etag", "last_modified", "payload_digest", "payload_length", "headers"]
     held = F.struct(*names)
     placed = placed.withColumn("bucket", F.floor(F.col("captured_at") / bucket_seconds))
-    latest = placed.where("is_response").groupBy("canonical_url", "bucket").agg(F.max_by(held, F.struct("captured_at", "record_id")).alias("latest"))
+    latest = placed.where("is_response").groupBy("canonical_url", "bucket").agg(F.max_by(held, F.struct("captured_at", "record_id", "payload_digest")).alias("latest"))
     buckets = placed.select("canonical_url", "bucket").distinct().join(latest, ["canonical_url", "bucket"], "left")
     before = Window.partitionBy("canonical_url").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     carried = buckets.select("canonical_url", "bucket", F.last("latest", ignorenulls=True).over(before).alias("carried"))
-    inside = Window.partitionBy("canonical_url", "bucket").orderBy("captured_at", "is_response", "record_id").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("canonical_url", "bucket").orderBy("captured_at", "is_response", "record_id", "payload_digest").rowsBetween(Window.unboundedPreceding, -1)
     near = placed.withColumn("near", F.last(F.when(F.col("is_response"), held), ignorenulls=True).over(inside)).where("not is_response")
     found = near.join(carried, ["canonical_url", "bucket"], "left").withColumn("base", F.coalesce("near", "carried"))
     own_tag, base_tag = _tag(F.col("etag")), _tag(F.col("base.etag"))

@@ -14,10 +14,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lodestrand.llm import near_copies
 from lodestrand.llm.shingles import shingle_hashes
-from lodestrand.operators.graph import components
+from lodestrand.operators.graph import components, stars
 from lodestrand.storage import staged
 
 SEGMENTS, SEGMENT_BITS = 8, 8
@@ -131,24 +132,6 @@ def chain_keys(nodes: DataFrame, blocks: int, most: int) -> DataFrame:
     return nodes.select("fingerprint").mapInArrow(run, "key long, fingerprint binary")
 
 
-def _stars(nodes: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links between node numbers as (node, least node of its component)."""
-    least = np.arange(len(nodes))
-    while True:
-        low = np.minimum(least[a], least[b])
-        now = least.copy()
-        np.minimum.at(now, a, low)
-        np.minimum.at(now, b, low)
-        np.minimum.at(now, least[a], low)
-        np.minimum.at(now, least[b], low)
-        now = now[now]
-        if (now == least).all():
-            break
-        least = now
-    moved = np.flatnonzero(least != np.arange(len(nodes)))
-    return moved, least[moved]
-
-
 def bucket_links(keyed: DataFrame, blocks: int, most: int, most_total: int, bucket_rows: int, share: int = 8) -> DataFrame:
     """u, v: links as stars, from rows (key, fingerprint) that meet in a key.
 
@@ -195,7 +178,7 @@ def bucket_links(keyed: DataFrame, blocks: int, most: int, most_total: int, buck
             return None
         kinds = np.ascontiguousarray(rows[np.concatenate([a, b])]).view(f"V{width}")[:, 0]
         nodes, number = np.unique(kinds, return_inverse=True)
-        moved, least = _stars(nodes, number[: len(a)], number[len(a) :])
+        moved, least = stars(len(nodes), number[: len(a)], number[len(a) :])
         return pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in nodes[i]], pa.binary()) for i in (moved, least)], ["u", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,13 +223,21 @@ def near_duplicates(docs: DataFrame, words: int = 3, most: int = 3, blocks: int
 
 
 def deduplicate(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
-    """One document of each group of near copies: that with the smallest doc_id; repeated rows of it are kept once.
+    """One document of each group of near copies: that with the smallest doc_id (without one only if no other is there).
 
-    Near copies are texts whose sets of shingles (five words) have a Jaccard of `least` or more; fingerprints don't decide.
-    All columns of docs are kept. Rows without doc_id are kept.
+    Near copies are texts whose sets of shingles (five words) have a Jaccard of `least` or more; fingerprints don't decide. Rows of one doc_id
+    whose texts are no near copies all stay; if they are near copies, the one with the least hash of its text stays, and of rows equal in
+    doc_id and text the one whose other columns come first as JSON. Null and empty texts are one group. All columns of docs are kept;
+    an empty table gives an empty table.
     """
-    keyed = docs.where("doc_id is not null")
-    groups = near_copies.similar_groups(keyed, words, least)
-    stay = groups.where("doc_id = component_id").select("doc_id").distinct()
-    kept = keyed.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null"))
+    groups = staged(near_copies.similar_groups(docs, words, least))
+    by = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
+    first = groups.groupBy("component").agg(F.min(by).alias("b")).select(F.col("b.doc_id").alias("id"), F.col("b.text_key").alias("key"))
+    repeated = groups.groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).agg(F.count("*").alias("n"))
+    stay = first.join(repeated, F.col("id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key"))).select("id", "key", "n")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))  # whole rows: their names can't clash
+    rows = rows.withColumn("_key", near_copies.text_key(F.col("row.text")))
+    kept = rows.join(stay, F.col("row.doc_id").eqNullSafe(F.col("id")) & (F.col("_key") == F.col("key")))
+    place = F.row_number().over(Window.partitionBy("id", "key").orderBy(F.to_json("row")))
+    more = kept.where("n > 1").withColumn("place", place).where("place = 1")
+    return kept.where("n = 1").select("row.*").unionByName(more.select("row.*"))

@@ -11,8 +11,9 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lodestrand.llm import byte_bpe, collisions, edits, packing, pivots, quality, queries, revisits, sharding, simhash, toxicity
+from lodestrand.llm import blocks, byte_bpe, collisions, edits, packing, pivots, quality, queries, revisits, sharding, simhash, toxicity
 from lodestrand.llm.samples import remainder
+from lodestrand.storage import staged
 
 SF = "/root/testdata/sf0.001"
 RANKS, VOCABULARY, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN
@@ -89,7 +90,7 @@ def test_simhash_odd_rows(spark, odd):
     assert simhash.near_duplicates(odd.limit(0)).count() == 0
     kept = simhash.deduplicate(odd)
     assert kept.columns == odd.columns
-    assert sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None) == [0, 3, 4, 6, 7, 8, 9]
+    assert sorted((r["doc_id"] is None, r["doc_id"]) for r in kept.collect()) == [(False, i) for i in (0, 3, 4, 6, 7, 8, 9)] + [(True, None)]
 
 
 def test_dedup_catches_near_copies_and_keeps_others(spark):
@@ -109,8 +110,8 @@ def test_dedup_catches_near_copies_and_keeps_others(spark):
 
 def test_packing(spark, odd, documents):
     tokenizer = Tokenizer.from_file(VOCABULARY)
-    tokenizer.encode_special_tokens = True
-    for docs in (odd.where("doc_id is not null").dropDuplicates(["doc_id"]), documents):
+    special = spark.createDataFrame([(1, "a  <|endoftext|> b"), (2, "<|endoftext|>"), (3, "word " * 9000 + "   <|endoftext|> x")], "doc_id long, text string")
+    for docs in (odd.where("doc_id is not null").dropDuplicates(["doc_id"]), documents, special):
         texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
         rows = packing.pack_documents(docs, VOCABULARY, keep_ids=True).collect()
         pieces = {}
@@ -133,6 +134,9 @@ def test_packing(spark, odd, documents):
         total = sum(r["length"] for r in rows)
         assert len(windows) <= -(-total // 2048) * 1.02 + 1
     assert packing.pack_documents(odd.limit(0), VOCABULARY).count() == 0
+    every = packing.pack_documents(odd, VOCABULARY).groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("length").alias("tokens"), F.first("doc_tokens").alias("each")).collect()
+    by = {r["doc_id"]: r for r in every}
+    assert by[3]["n"] == 2 and by[3]["tokens"] == 2 * by[3]["each"] and by[None]["n"] == 1 and len(every) == 11
 
 
 def test_best_fit_decreasing():
@@ -175,42 +179,124 @@ def vectors(spark):
     return spark.createDataFrame(rows, "vec_id long, embedding array<float>, cell int"), rows[:402] + [rows[406]]
 
 
-def test_pivots_are_exact(spark):
-    table, valid = vectors(spark)
-    ids, x = np.array([r[0] for r in valid]), np.floor(256 * np.array([r[1] for r in valid], dtype=np.float32).astype(float))
+def plain_scores(ids, x, query, k):
+    """The k best whole-number inner products, by Python's own integers."""
+    at = ids.index(query)
+    scored = sorted((-sum(a * b for a, b in zip(x[at], v, strict=True)), i) for i, v in zip(ids, x, strict=True) if i != query)
+    return [(n + 1, i, -s) for n, (s, i) in enumerate(scored[:k])]
+
+
+def found_rows(df):
     found = {}
-    for r in pivots.top_k(table, every=50, k=5, pivots=8, annuli=4).collect():
+    for r in df.collect():
         found.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
-    assert sorted(found) == [int(i) for i in ids if i % 50 == 0]
+    return {q: sorted(rows) for q, rows in found.items()}
+
+
+@pytest.mark.parametrize("settings", [{}, {"pivots": 8, "annuli": 4, "expansions": (1, 2)}, {"pivots": 50, "annuli": 8}])
+def test_pivots_are_exact(spark, settings):
+    table, valid = vectors(spark)
+    ids, x = [r[0] for r in valid], np.floor(256 * np.array([r[1] for r in valid], dtype=np.float32).astype(float)).astype(int).tolist()
+    found = found_rows(pivots.top_k(table, every=50, k=5, **settings))
+    assert found == {i: plain_scores(ids, x, i, 5) for i in ids if i % 50 == 0}
+    if not settings:
+        assert pivots.top_k(table.limit(0)).count() == 0
+        assert len(pivots.top_k(table.where("vec_id in (0, 50, 3)")).collect()) == 4
+
+
+def test_pivots_on_embeddings(spark):
+    rows = spark.read.parquet(f"{SF}/embeddings.parquet").collect()
+    ids, x = [r["vec_id"] for r in rows], [np.floor(256 * np.array(r["embedding"], dtype=float)).astype(int).tolist() for r in rows]
+    assert found_rows(queries.op3_pivots(spark, SF)) == {i: plain_scores(ids, x, i, 5) for i in ids if i % 50 == 0}
+
+
+def test_pivots_take_large_components(spark):
+    """Products beyond what a double holds exactly, and scores beyond the range of long."""
+    rng = np.random.default_rng(4)
+    x = (rng.integers(-(2**30), 2**30, (120, 6)) + (rng.random((120, 6)) < 0.3)).astype(float)
+    x[100:] = np.sign(x[100:]) * 1e15
+    x[110:112] = 1e300
+    x[1:40:2] = x[:39:2] + 1  # scores that differ in their last digits
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    whole = [[max(-(2**63), min(2**63, int(np.floor(256 * c)))) if abs(c) < 1e299 else 2**63 for c in v] for v in x]
+    found = found_rows(pivots.top_k(table, every=5, k=5, pivots=4, expansions=(3,)))
+    clip = lambda s: max(-(2**63), min(2**63 - 1, s))
     for query, rows in found.items():
-        at = int(np.flatnonzero(ids == query)[0])
-        score = x @ x[at]
-        order = [j for j in np.lexsort((ids, -score)) if j != at][:5]
-        assert sorted(rows) == [(k + 1, int(ids[j]), int(score[j])) for k, j in enumerate(order)]
-    assert pivots.top_k(table.limit(0)).count() == 0
-    few = pivots.top_k(table.where("vec_id in (0, 50, 3)")).collect()
-    assert len(few) == 4
+        scored = sorted((-clip(sum(a * b for a, b in zip(whole[query], v, strict=True))), i) for i, v in enumerate(whole) if i != query)
+        assert rows == [(n + 1, i, -s) for n, (s, i) in enumerate(scored[:5])]
+    assert len(found) == 24
+
+
+def plain_neighbours(ids, x, query, k):
+    d = np.sqrt(((x - x[ids.index(query)]) ** 2).sum(1))
+    return [(int(ids[j]), float(d[j])) for j in np.lexsort((ids, d)) if ids[j] != query][:k]
 
 
 def test_collisions_find_neighbours(spark):
     table, valid = vectors(spark)
     valid = valid[:402]
-    ids, x = np.array([r[0] for r in valid]), np.array([r[1] for r in valid], dtype=np.float32).astype(float)
-    found = {}
-    for r in collisions.search(table, every=100, k=10).collect():
-        found.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
-    hits = 0
+    ids, x = [r[0] for r in valid], np.array([r[1] for r in valid], dtype=np.float32).astype(float)
+    found, hits = found_rows(collisions.search(table, every=100, k=10)), 0
     for query, rows in found.items():
-        d = np.sqrt(((x - x[np.flatnonzero(ids == query)[0]]) ** 2).sum(1))
-        order = [j for j in np.lexsort((ids, d)) if ids[j] != query][:10]
-        assert len(rows) == 10 and all(s == d[np.flatnonzero(ids == v)[0]] for _, v, s in rows)
-        assert [v for _, v, _ in sorted(rows)] == [v for _, v, _ in sorted(rows, key=lambda r: (r[2], r[1]))]
-        hits += len({v for _, v, _ in rows} & {int(ids[j]) for j in order})
+        true = plain_neighbours(ids, x, query, 10)
+        by_id = dict(plain_neighbours(ids, x, query, 500))
+        assert len(rows) == 10 and all(s == by_id[v] for _, v, s in rows)
+        assert [v for _, v, _ in rows] == [v for _, v, _ in sorted(rows, key=lambda r: (r[2], r[1]))]
+        hits += len({v for _, v, _ in rows} & {v for v, _ in true})
     assert len(found) == 5 and hits >= 45
     assert collisions.search(table.limit(0)).count() == 0
     assert len(collisions.search(table.where("vec_id in (0, 100, 3)")).collect()) == 4
 
 
+def test_collision_recall_on_embeddings(spark):
+    folder = "/root/testdata/sf0.1"
+    rows = spark.read.parquet(f"{folder}/embeddings.parquet").collect()
+    ids, x = [r["vec_id"] for r in rows], np.array([r["embedding"] for r in rows], dtype=np.float32).astype(float)
+    found = found_rows(queries.op5_collisions(spark, folder))
+    assert sorted(found) == [i for i in sorted(ids) if i % 100 == 0] and all(len(r) == 10 for r in found.values())
+    hits = [len({v for _, v, _ in found[q]} & {v for v, _ in plain_neighbours(ids, x, q, 10)}) for q in found]
+    assert sum(hits) >= 0.9 * 10 * len(hits)
+
+
+def test_collisions_grow_their_windows(spark):
+    """A first radius that is far too small: the same sorted arrays serve the next ones, and what is found is as good."""
+    table, valid = vectors(spark)
+    ids, x = [r[0] for r in valid[:402]], np.array([r[1] for r in valid[:402]], dtype=np.float32).astype(float)
+    for groups in (1, 8):
+        found = found_rows(collisions.search(table, every=100, k=10, radius=0.05, groups=groups))
+        hits = [len({v for _, v, _ in found[q]} & {v for v, _ in plain_neighbours(ids, x, q, 10)}) for q in found]
+        assert len(hits) == 5 and sum(hits) >= 45
+
+
+def test_only_collisions_are_verified():
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(500, 16))
+    a = collisions.projections(16, 48)
+    values, order = collisions.read_projections(collisions.sorted_projections(x, a), 48)
+    q = (x[:3] @ a).astype("<f4")
+    p = (x @ a).astype("<f4")
+    found = dict(collisions.collisions(values, order, q - 2.0, q + 2.0, 34))
+    for i in range(3):
+        inside = ((p >= q[i] - 2.0) & (p <= q[i] + 2.0)).sum(1) >= 34
+        assert found[i].tolist() == np.flatnonzero(inside).tolist() and 0 < len(found[i]) < 250
+
+
+def test_collisions_with_large_and_small_components(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(60, 4))
+    plain = found_rows(collisions.search(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), every=10, k=3))
+    for factor in (2.0**600, 2.0**-600):
+        rows = found_rows(collisions.search(spark.createDataFrame([(i, (v * factor).tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), every=10, k=3))
+        assert {q: [(n, v, s * factor) for n, v, s in r] for q, r in plain.items()} == rows
+
+
+def test_vectors_that_take_part(spark):
+    """Repeated ids: the smallest vector; several lengths: the commonest."""
+    rows = [(1, [1.0, 2.0]), (1, [0.0, 5.0]), (2, [1.0, 1.0]), (2, [1.0, 1.0]), (3, [1.0, 1.0, 1.0]), (4, []), (5, [float("inf"), 0.0])]
+    found = {r["vec_id"]: r["vector"] for r in blocks.valid_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert found == {1: [0.0, 5.0], 2: [1.0, 1.0]}
+
+
 def test_sharding(spark, odd, documents):
     for docs in (odd, documents):
         rows = sharding.shard_documents(docs, shards=7).collect()
@@ -223,15 +309,59 @@ def test_sharding(spark, odd, documents):
     assert sharding.shard_documents(odd.limit(0)).count() == 0
 
 
+def sharded(keys, shards, points, slack=0.0):
+    """The shard of each of the sorted keys: each arc's keys in ring order, in the runs that settle() gives."""
+    positions, owners = sharding.ring(shards, points)
+    arc = np.searchsorted(positions, keys, side="left") % len(positions)
+    order = np.argsort(arc, kind="stable")
+    plan = sharding.settle(np.bincount(arc, minlength=len(positions)), owners, sharding.bounds(len(keys), shards, slack))
+    out = np.empty(len(keys), dtype=int)
+    out[order] = plan[np.searchsorted(plan[:, 0], np.arange(len(keys)), side="right") - 1, 2]
+    return out
+
+
 def test_sharding_moves_little():
-    counts = np.random.default_rng(0).integers(0, 50, 10 * 16)
-    places = []
-    for shards in (10, 11):
-        _, owners = sharding.ring(shards, 16)
-        arcs = counts if shards == 10 else np.append(counts, np.zeros(16, dtype=int))
-        plan = sharding.settle(arcs, owners, sharding.bounds(int(arcs.sum()), shards, 0.25))
-        places.append(sum(r[1] for r in plan))
-    assert places[0] == places[1] == counts.sum()
+    """One shard more: 1 / 41 of the keys must move; with the points of production it is little more; where one text is a third of all rows, its overflow moves on as well."""
+    rng = np.random.default_rng(0)
+    keys = np.sort(rng.integers(-(2**63), 2**63 - 1, 100_000))
+    for sample, most in ((keys, 0.035), (np.sort(np.concatenate([keys, np.repeat(keys[5], 50_000)])), 0.1)):
+        before, after = sharded(sample, 40, 1024), sharded(sample, 41, 1024)
+        assert np.ptp(np.bincount(before)) <= 1 and np.ptp(np.bincount(after)) <= 1
+        assert 1 / 41 - 0.001 <= (before != after).mean() <= most
+
+
+def plain_shards(points, shards, virtual):
+    """Keys clockwise, one by one: first all that fit their own shard, then, walking round, those over to the next with room."""
+    positions, owners = sharding.ring(shards, virtual)
+    room, out, over = [len(points) // shards + (s < len(points) % shards) for s in range(shards)], [None] * len(points), []
+    arc = np.searchsorted(positions, points, side="left") % len(positions)
+    for i in np.lexsort((points, arc)):
+        if room[owners[arc[i]]]:
+            out[i] = owners[arc[i]]
+            room[owners[arc[i]]] -= 1
+        else:
+            over.append(i)
+    waiting, at = [], 0
+    for step in range(2 * len(positions)):
+        here = step % len(positions)
+        while waiting and room[owners[here]]:
+            i = waiting.pop(0)
+            out[i] = owners[here]
+            room[owners[here]] -= 1
+        if step < len(positions):
+            while at < len(over) and arc[over[at]] == here:
+                waiting.append(over[at])
+                at += 1
+    return out
+
+
+def test_shards_of_documents(spark, documents):
+    rows = {r["doc_id"]: r for r in documents.select("doc_id", "text", F.xxhash64("text").alias("point")).collect()}
+    ids = sorted(rows, key=lambda i: (rows[i]["point"], i))
+    expected = dict(zip(ids, plain_shards(np.array([rows[i]["point"] for i in ids]), 40, 1024), strict=True))
+    found = queries.op8_sharding(spark, SF).collect()
+    assert {r["doc_id"]: r["shard"] for r in found} == expected
+    assert all(r["size"] == len(rows[r["doc_id"]]["text"].encode()) + 16 and r["text_crc32"] == zlib.crc32(rows[r["doc_id"]]["text"].encode()) for r in found)
 
 
 def test_edits(spark, odd, documents):
@@ -240,20 +370,40 @@ def test_edits(spark, odd, documents):
     texts = [t or "" for t in TEXTS[:9]] + [r["text"] for r in documents.orderBy("doc_id").limit(40).collect()]
     pieces = ["", " ", "\n", "x", " new words here ", "'s", "123", "   ", "é!", " a" * 40]
     for text in texts:
-        tree = edits.TokenTree(text, encode, leaf=32)
+        tree = edits.TokenTree.of(text, encode, leaf=32)
         for _ in range(12):
             at, gone, new = int(rng.integers(0, len(text) + 2)), int(rng.integers(0, 90)), pieces[int(rng.integers(len(pieces)))]
             tree.edit(at, gone, new)
             at = min(at, len(text))
             text = text[:at] + new + text[at + gone :]
             assert tree.text() == text and tree.n_tokens == len(encode(text)) and tree.chars[1] == len(text)
-    rows = edits.count_edited(queries.edited(odd.drop("edits")), RANKS, PATTERN, keep_text=True).collect()
-    assert len(rows) == 12 and all(r["edited_tokens"] == len(encode(r["edited_text"])) for r in rows)
+    trees = edits.build_trees(odd, RANKS, PATTERN)
+    rows = edits.apply_edits(queries.edited(trees, 0), RANKS, PATTERN).collect()
+    assert len(rows) == 12 and all(r["edited_tokens"] == len(encode("".join(r["leaves"]))) == sum(r["counts"]) for r in rows)
     long = [r for r in rows if r["doc_id"] == 9][0]
     assert long["encoded_again"] < 5000
     changes = spark.createDataFrame([(4, 2, 0, 3, "two"), (4, 1, 0, 3, None), (5, 1, None, 1, "x")], "doc_id long, seq int, position long, removed long, inserted string")
-    told = {r["doc_id"]: r for r in edits.count_edited(edits.with_edits(odd, changes), RANKS, PATTERN, keep_text=True).collect()}
-    assert told[4]["edited_text"] == "twoo three four five six"[:0] + "two" + " two three four five six"[3:] and told[5]["n_edits"] == 0
+    told = {r["doc_id"]: r for r in edits.apply_edits(edits.with_edits(trees, changes), RANKS, PATTERN).collect()}
+    assert "".join(told[4]["leaves"]) == "two" + " two three four five six"[3:] and told[5]["n_edits"] == 0
+    none = edits.build_trees(odd.limit(0), RANKS, PATTERN)
+    assert edits.apply_edits(queries.edited(none, 0), RANKS, PATTERN).count() == 0
+
+
+def test_edits_go_on_from_kept_trees(spark, documents, monkeypatch):
+    """The second batch reads the table of the first: it encodes what its edits touch, and counts as a whole encoding does."""
+    encode = byte_bpe.tiktoken_codec(RANKS, PATTERN).encoding.encode_ordinary
+    docs = documents.where("length(text) > 3000")
+    once = edits.apply_edits(queries.edited(edits.build_trees(docs, RANKS, PATTERN), 0), RANKS, PATTERN)
+    kept = staged(once)
+    twice = edits.apply_edits(queries.edited(kept, 1), RANKS, PATTERN).collect()
+    before = {r["doc_id"]: r for r in kept.collect()}
+    assert len(twice) == docs.count() > 10
+    for r in twice:
+        assert r["n_tokens"] == before[r["doc_id"]]["edited_tokens"] and r["edited_tokens"] == len(encode("".join(r["leaves"])))
+        assert 0 < r["encoded_again"] < 0.7 * r["edited_chars"]
+    spoiled = kept.withColumn("counts", F.transform("counts", lambda n: n + 1))  # counts that no encoding gives are kept where nothing is edited
+    one = {r["doc_id"]: r for r in edits.apply_edits(spoiled.withColumn("edits", F.array().cast(edits.EDIT)), RANKS, PATTERN).collect()}
+    assert all(one[i]["edited_tokens"] == r["edited_tokens"] + len(r["counts"]) and one[i]["encoded_again"] == 0 for i, r in before.items())
 
 
 def record(i, url, at, kind, etag=None, modified=None, digest=None, headers=None):

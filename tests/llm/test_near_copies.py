@@ -71,5 +71,14 @@ def test_groups_and_common_passages_against_brute_force(spark):
     expected = kept_by_brute_force(texts)
     assert kept(spark, texts) == expected
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    stars = near_copies.similar_groups(docs, direct=4).where("doc_id = component_id").collect()
-    assert {r["doc_id"] for r in stars} == expected
+    stars = near_copies.similar_groups(docs, direct=4).groupBy("component").agg({"doc_id": "min"}).collect()
+    assert {r["min(doc_id)"] for r in stars} == expected
+
+
+def test_rows_of_one_document(spark):
+    """Repeated rows stay once; unlike texts of one doc_id all stay; without a doc_id a row stays only if no other of its group is there."""
+    a, b = " ".join(f"a{i}" for i in range(20)), " ".join(f"b{i}" for i in range(20))
+    rows = [(1, a, "x"), (1, a, "x"), (1, a, "w"), (1, b, "y"), (2, a, "z"), (None, b, "n"), (None, "one of its own", "n"), (None, "one of its own", "m"), (3, None, "e"), (4, "", "e")]
+    kept = simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string, _n string"))
+    assert kept.columns == ["doc_id", "text", "_n"]
+    assert sorted(kept.collect(), key=repr) == sorted([(1, a, "w"), (1, b, "y"), (None, "one of its own", "m"), (3, None, "e")], key=repr)
