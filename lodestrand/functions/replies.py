@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodestrand.functions.text import degenerate
 
 #: Topics and kinds that have a meaning of their own.
-TOPICS = ["politics", "technology", "science", "health", "economics", "culture", "sports", "history"]
+TOPICS = ["world", "politics", "economics", "science", "technology", "history", "health", "culture"]
 EVENT_CATEGORIES = ["conflict", "diplomacy", "unrest", "health", "tech", "disaster", "economy", "other"]
 FENCE = r"(?is)```(?:json)?\s*(.*?)```"
 #: What is left of a JSON document when its words are gone.
@@ -161,23 +161,35 @@ ENTITIES = {
     "amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "hellip": "…", "mdash": "—", "ndash": "–", "rsquo": "’", "lsquo": "‘",
     "rdquo": "”", "ldquo": "“", "laquo": "«", "raquo": "»", "deg": "°", "eacute": "é",
 }
-ENTITY = r"&(?:#[xX][0-9a-fA-F]+|#[0-9]+|[a-zA-Z][a-zA-Z0-9]*);"
+#: The three kinds of entities, in the order in which a pass decodes them.
+HEX, DECIMAL, NAMED = r"&#[xX][0-9a-fA-F]+;", r"&#[0-9]+;", r"&[a-zA-Z][a-zA-Z0-9]*;"
 
 
-def _entity(found: Column) -> Column:
-    """One entity as text. A code point out of range is empty."""
-    name = F.lower(F.substring(found, F.lit(2), F.length(found) - 2))
-    code = F.when(name.rlike("^#x[0-9a-f]{1,8}$"), F.conv(F.substring(name, 3, 8), 16, 10)).when(name.rlike("^#[0-9]{1,10}$"), F.substring(name, 2, 10)).try_cast("bigint")
+def bound(value: Column, then) -> Column:
+    """then(value), with value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def _letter(code: Column) -> Column:
+    """The letter of a code point; empty out of range."""
     usable = ((code > 0) & (code < 0xD800)) | ((code > 0xDFFF) & (code <= 0x10FFFF))
-    letter = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
-    named = F.element_at(F.create_map(*(F.lit(x) for pair in ENTITIES.items() for x in pair)), name)
-    return F.when(usable, letter).when(F.startswith(name, F.lit("#")), "").otherwise(F.coalesce(named, found))
+    return F.when(usable, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise("")
+
+
+def _replaced(text: Column, pattern: str, told) -> Column:
+    """text with what each match of the pattern is told as."""
+    pairs = lambda t: F.zip_with(F.split(t, pattern, -1), F.transform(F.regexp_extract_all(t, F.lit(pattern), 0), told), lambda rest, x: F.concat(rest, F.coalesce(x, F.lit(""))))
+    return bound(text, lambda t: F.array_join(pairs(t), ""))
 
 
 def _decode_once(text: Column) -> Column:
-    letters = F.transform(F.regexp_extract_all(text, F.lit(ENTITY), 0), _entity)
-    pairs = F.zip_with(F.split(text, ENTITY, -1), letters, lambda rest, letter: F.concat(rest, F.coalesce(letter, F.lit(""))))
-    return F.array_join(pairs, "")
+    """Hexadecimal, then decimal, then named entities."""
+    inside = lambda x, skip: F.substring(x, F.lit(skip + 1), F.length(x) - skip - 1)
+    digits = lambda x: F.when(F.length(x) <= 12, x)  # noqa: E731  (longer ones are out of range)
+    text = _replaced(text, HEX, lambda x: _letter(F.conv(digits(inside(x, 3)), 16, 10).try_cast("bigint")))
+    text = _replaced(text, DECIMAL, lambda x: _letter(digits(inside(x, 2)).try_cast("bigint")))
+    names = F.create_map(*(F.lit(x) for pair in ENTITIES.items() for x in pair))
+    return _replaced(text, NAMED, lambda x: F.coalesce(F.element_at(names, F.lower(inside(x, 1))), x))
 
 
 def decode_entities(text: Column, passes: int = 3) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 
 from pyspark.sql import Column
@@ -22,6 +23,8 @@ EVENT_KEYWORDS = {
     "tech": ["artificial intelligence", "semiconductor", "quantum", "satellite", "rocket", "spacecraft", "breakthrough", "robot", "startup", "chipmaker", "ai model"],
     "economy": ["inflation", "recession", "stock market", "tariff", "trade war", "gdp", "currency", "interest rate", "bankrupt", "oil price", "economic"],
 }
+#: Letters with accents and what they are without, from the character tables.
+_FOLDED = {chr(c): unicodedata.normalize("NFD", chr(c))[0] for c in range(0xC0, 0x250) if len(unicodedata.normalize("NFD", chr(c))) > 1 and unicodedata.normalize("NFD", chr(c))[0].isascii()}
 #: Fixed value: words that begin the excluded part of a query.
 NEGATION = r"(?i)\b(?:not|no|without|except|excluding|minus|sans|avoid)\b"
 
@@ -71,8 +74,16 @@ def fnv1a(text: Column) -> Column:
     return _hashed(text, 2166136261, lambda h, c: (h.bitwiseXOR(c) * 16777619) % 4294967296)
 
 
-def slug(text: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-"), F.lit("-"))
+def fold(text: Column) -> Column:
+    """Text without accents on Latin letters, composed or combining."""
+    return F.regexp_replace(F.translate(text, "".join(_FOLDED), "".join(_FOLDED.values())), r"[̀-ͯ]", "")
+
+
+def slug(text: Column, most: int | None = None, empty: str = "") -> Column:
+    """Lower-case ASCII words without accents, with hyphens between; cut to `most` letters, and `empty` where nothing is left."""
+    told = F.trim(F.regexp_replace(F.lower(fold(text)), "[^a-z0-9]+", "-"), F.lit("-"))
+    told = told if most is None else F.substring(told, 1, most)
+    return F.when(told == "", empty).otherwise(told)
 
 
 def parse_negation(query: Column) -> tuple[Column, Column]:
@@ -146,7 +157,7 @@ def vtt_text(vtt: Column) -> Column:
 
 
 def degenerate(text: Column) -> Column:
-    """Whether a text is a run of one sign, or hardly any letters."""
+    """Whether a text is blank, a run of one sign, or hardly any letters. The patterns are fixed values."""
     bare = F.regexp_replace(text, r"\s", "")
     letters = F.length(F.regexp_replace(bare, r"[^\p{L}]", ""))
-    return text.rlike(r"([^\p{L}\p{N}\s])\1{3,}") | text.rlike(r"[^\p{L}\p{N}\s]{6,}") | ((F.length(bare) > 0) & (letters / F.length(bare) < 0.4))
+    return text.rlike(r"([^\p{L}\p{N}\s])\1{3,}") | text.rlike(r"[^\p{L}\p{N}\s]{6,}") | (F.length(bare) == 0) | (letters / F.greatest(F.length(bare), F.lit(1)) < 0.4)

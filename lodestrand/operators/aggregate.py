@@ -33,6 +33,17 @@ def majority(items: DataFrame, group: str, value: str, position: str) -> DataFra
     return counts.withColumn("_rank", rank).where("_rank = 1").select(group, value, "n")
 
 
+#: Stages of work, the one that is told first when several run.
+STAGES = ("analyzing", "triage", "transcripts", "embedding", "synthesizing", "fetching")
+
+
+def dominant(tasks: DataFrame, group: str, stage: str, task: str) -> DataFrame:
+    """group, stage, task: of each group's running tasks the one whose stage comes first in STAGES, its first by task; unknown stages aren't told."""
+    place = F.array_position(F.array(*(F.lit(s) for s in STAGES)), F.col(stage))
+    best = F.min_by(F.struct(stage, task), F.struct(place.alias("p"), F.col(task).alias("t")))
+    return tasks.where(F.col(stage).isin(*STAGES)).groupBy(group).agg(best.alias("b")).select(group, f"b.{stage}", f"b.{task}")
+
+
 def lean_minutes(lean: Column, minutes: Column) -> list[Column]:
     """Minutes left, right, centre and non-political."""
     total = lambda c: F.coalesce(F.sum(F.when(c, minutes)), F.lit(0.0))

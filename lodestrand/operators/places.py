@@ -2,25 +2,19 @@
 
 from __future__ import annotations
 
-import unicodedata
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestrand.functions.text import unicode_tokens
+from lodestrand.functions.text import fold, unicode_tokens
 from lodestrand.operators.ordering import first_per_key
 
 #: What a hit counts at each level.
 LEVEL_WEIGHT = {"locality": 3, "region": 2, "country": 1}
+#: Fixed value: words of collections that are about a topic or a test.
+UNFIT = r"(?i)\b(topic|issue|research|experiment|test|sample|covid|climate|election\b|twitter|reddit|facebook)\b"
 MOST_NAMES = 2000
-#: Letters with accents and what they are without, from the character tables.
-_FOLDED = {chr(c): unicodedata.normalize("NFD", chr(c))[0] for c in range(0xC0, 0x250) if len(unicodedata.normalize("NFD", chr(c))) > 1 and unicodedata.normalize("NFD", chr(c))[0].isascii()}
-
-
-def fold(text: Column) -> Column:
-    """Text without accents on Latin letters, composed or combining."""
-    return F.regexp_replace(F.translate(text, "".join(_FOLDED), "".join(_FOLDED.values())), r"[̀-ͯ]", "")
 
 
 def place_key(name: Column) -> Column:
@@ -28,6 +22,23 @@ def place_key(name: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(fold(F.coalesce(name, F.lit("")))), "[^a-z0-9]+", " "))
 
 
+def paths(nodes: DataFrame, most: int = 32) -> DataFrame:
+    """node, nodes, labels from the root's child down to each node that a root reaches. nodes: node, parent, level, label.
+
+    A level is one join with the level above; a node that is its own ancestor isn't followed. A tree of places is a bounded dimension, `most` levels at most.
+    """
+    known = nodes.select("node").distinct()
+    level = nodes.join(known.withColumnRenamed("node", "parent"), "parent", "left_anti").select("node", F.array("node").alias("nodes"), F.array("label").alias("labels"))
+    found = level
+    for _ in range(most):
+        below = nodes.select("node", "parent", "label").join(level.withColumnRenamed("node", "parent"), "parent").where(~F.array_contains("nodes", F.col("node")))
+        level = below.select("node", F.array_append("nodes", F.col("node")).alias("nodes"), F.array_append("labels", F.col("label")).alias("labels"))
+        if level.isEmpty():
+            break
+        found = found.unionByName(level)
+    return found
+
+
 def alias_hits(text: Column, aliases: list[str]) -> Column:
     """How many of the aliases a text has: single words as words, others anywhere."""
     told = list(dict.fromkeys(a for a in (x.lower().strip() for x in aliases) if a))
@@ -169,8 +180,7 @@ def cover_provinces(provinces: DataFrame, coverage: DataFrame) -> DataFrame:
 
 def pick_collections(collections: DataFrame, place: str) -> DataFrame:
     """Collections that name a place and don't look like a topic or a test. collections: id, name, description."""
-    unfit = r"(?i)\b(topic|issue|research|experiment|test|sample|covid|climate|election\b|twitter|reddit|facebook)\b"  # fixed value
-    return collections.where(F.contains(F.lower("name"), F.lit(place.lower())) & ~F.concat_ws(" ", "name", "description").rlike(unfit))
+    return collections.where(F.contains(F.lower("name"), F.lit(place.lower())) & ~F.concat_ws(" ", "name", "description").rlike(UNFIT))
 
 
 def by_host(candidates: DataFrame) -> DataFrame:

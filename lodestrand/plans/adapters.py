@@ -17,7 +17,7 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").select("doc_id", "quality")
     n = F.col("doc_id")
     return docs.join(labels, "doc_id", "left").select(
-        n.alias("id"), F.col("source").alias("source_id"), F.split("text", "\n")[0].alias("title"), F.substring("text", 1, 300).alias("summary"), F.col("text"), "lang",
+        n.alias("id"), F.col("source").alias("source_id"), F.split("text", "\n")[0].alias("title"), F.col("text").alias("summary"), F.col("text"), "lang",
         (n % 8).alias("topic"), (n % 3).alias("kind"), (F.lit(NOW_MS) - (n * 7919) % 1209600 * 1000).alias("published_at"),
         F.when(n % 5 != 0, (n * 37) % 201 / 100.0 - 1).alias("lean"), ((n * 53) % 101 / 100.0).alias("importance"),
         F.nullif((n * 31) % 4, F.lit(0)).alias("covered_by"), F.coalesce(F.col("quality") == 0, F.lit(False)).alias("clickbait"),

@@ -18,9 +18,9 @@ def _sql_score(text: str) -> str:
     return f"(SELECT {has('the')} + {has('free')} + 2 * ({has('casino')} + {has('der')}) + 3 * (contains(' ' || lower({text}) || ' ', 'of the')::INT + {has('thing')}) FROM (SELECT string_split_regex(lower({text}), '[^\\p{{L}}\\p{{N}}]+') AS w))"
 
 
-@query(f"WITH {SQL_ITEMS}, s AS (SELECT id, importance, {_sql_score('text')}::BIGINT AS score FROM items WHERE text IS NOT NULL) SELECT id, score, round(CASE WHEN score > 0 THEN least(1, importance + 0.5 * least(1, score / 3) * (1 - importance)) ELSE importance END, 6) AS relevance FROM s")
+@query(f"WITH {SQL_ITEMS}, s AS (SELECT id, importance, {_sql_score("coalesce(text, '')")}::BIGINT AS score FROM items) SELECT id, score, round(CASE WHEN score > 0 THEN least(1, importance + 0.5 * least(1, score / 3) * (1 - importance)) ELSE importance END, 6) AS relevance FROM s")
 def place_scores(spark, sf):
-    told = items(spark, sf).where("text is not null").select("id", "importance", places.place_score(F.col("text"), CHAIN).cast("long").alias("score"))
+    told = items(spark, sf).select("id", "importance", places.place_score(F.col("text"), CHAIN).cast("long").alias("score"))
     return told.select("id", "score", r6(places.boosted(F.col("importance"), F.col("score"))).alias("relevance"))
 
 
@@ -125,7 +125,7 @@ def covered_provinces(spark, sf):
     return places.cover_provinces(provinces, coverage)
 
 
-@query("SELECT p_partkey AS id FROM part WHERE contains(lower(p_name), 'a') AND NOT regexp_matches(p_name || ' ' || p_type, '(?i)\\b(topic|issue|research|experiment|test|sample|covid|climate|election\\b|twitter|reddit|facebook)\\b')")
+@query(f"SELECT p_partkey AS id FROM part WHERE contains(lower(p_name), 'a') AND NOT regexp_matches(p_name || ' ' || p_type, '{places.UNFIT}')")
 def picked_collections(spark, sf):
     return places.pick_collections(table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_type").alias("description")), "A").select("id")
 

@@ -8,12 +8,13 @@ from pyspark.sql.window import Window
 
 from lodestrand.functions import numbers as N
 from lodestrand.functions import text as T
-from lodestrand.operators import aggregate, greedy, ordering, retrieve, select
+from lodestrand.functions.replies import TOPICS
+from lodestrand.operators import aggregate, greedy, ordering, places, retrieve, select
 from lodestrand.plans.adapters import NOW_MS, geo_nodes, items, progress, table
 from lodestrand.plans.registry import query
 
 SQL_ITEMS = f"""items AS (
-  SELECT d.doc_id AS id, d.source AS source_id, split_part(d.text, chr(10), 1) AS title, substr(d.text, 1, 300) AS summary, d.text, d.lang,
+  SELECT d.doc_id AS id, d.source AS source_id, split_part(d.text, chr(10), 1) AS title, d.text AS summary, d.text, d.lang,
     d.doc_id % 8 AS topic, d.doc_id % 3 AS kind, {NOW_MS} - (d.doc_id * 7919) % 1209600 * 1000 AS published_at,
     CASE WHEN d.doc_id % 5 <> 0 THEN ((d.doc_id * 37) % 201)::DOUBLE / 100 - 1 END AS lean, ((d.doc_id * 53) % 101)::DOUBLE / 100 AS importance,
     nullif((d.doc_id * 31) % 4, 0) AS covered_by, coalesce(l.quality = 0, false) AS clickbait
@@ -24,6 +25,10 @@ SQL_BUCKET = "CASE WHEN lean IS NULL THEN 'non-political' WHEN lean <= -0.6 THEN
 SQL_HOST = "nullif(regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1)), '^www\\.', ''), '')"
 
 
+def _case(column: str, values: dict[str, str]) -> str:
+    return f"CASE {column} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in values.items()) + " END"
+
+
 def r6(x: Column) -> Column:
     return F.round(x.cast("double"), 6)
 
@@ -175,7 +180,7 @@ def token_jaccard_pairs(spark, sf):
 )
 def cosine_topk(spark, sf):
     pool = table(spark, sf, "embeddings")
-    asked = pool.where("vec_id = 0").select("embedding").first()["embedding"]  # one row
+    asked = pool.where("vec_id = 0").agg(F.min(F.col("embedding").cast("array<double>")).alias("v")).first()["v"] or []  # one row
     return retrieve.nearest(pool, asked, 20).select("vec_id", r6(F.col("score")).alias("score"))
 
 
@@ -184,7 +189,7 @@ def cosine_topk(spark, sf):
 )
 def semantic_match(spark, sf):
     pool = table(spark, sf, "embeddings")
-    asked = pool.where("vec_id = 0").select(F.col("embedding").alias("e"))
+    asked = pool.where("vec_id = 0").agg(F.min("embedding").alias("e"))
     return pool.join(F.broadcast(asked)).select("vec_id", r6(N.semantic_match(N.cosine(F.col("embedding"), F.col("e")))).alias("match"))  # one row
 
 
@@ -228,10 +233,9 @@ def retention_prune(spark, sf):
     return ordering.prune(items(spark, sf), NOW_MS, 10 * N.DAY_MS, 20, "source_id").select("id", "source_id")
 
 
-@query(f"WITH {SQL_ITEMS} SELECT id, source_id, round(importance, 2) AS importance FROM items QUALIFY row_number() OVER (PARTITION BY substr(text, 1, 40) ORDER BY importance DESC, id) = 1")
+@query(f"WITH {SQL_ITEMS} SELECT id, source_id, round(importance, 2) AS importance FROM items QUALIFY row_number() OVER (PARTITION BY title ORDER BY importance DESC, id) = 1")
 def first_per_headline(spark, sf):
-    rows = items(spark, sf).withColumn("head", F.substring("text", 1, 40))
-    return ordering.first_per_key(rows, ["head"], [F.col("importance").desc(), F.col("id")]).select("id", "source_id", F.round("importance", 2).alias("importance"))
+    return ordering.first_per_key(items(spark, sf), ["title"], [F.col("importance").desc(), F.col("id")]).select("id", "source_id", F.round("importance", 2).alias("importance"))
 
 
 SQL_GEO = "nodes AS (SELECT 'r' || r_regionkey AS node, 'world' AS parent, 'continent' AS level, r_name AS label FROM region UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, 'country', n_name FROM nation)"
@@ -246,10 +250,7 @@ def geo_tree(spark, sf):
 
 @query(f"WITH RECURSIVE {SQL_GEO}, p AS (SELECT node, parent, label AS path, 1 AS depth FROM nodes WHERE parent = 'world' UNION ALL SELECT n.node, n.parent, p.path || ' > ' || n.label, p.depth + 1 FROM nodes n JOIN p ON n.parent = p.node WHERE p.depth < 8) SELECT node, path FROM p")
 def geo_path(spark, sf):
-    nodes = geo_nodes(spark, sf)
-    top = nodes.where("parent = 'world'").select("node", F.col("label").alias("path"))
-    below = nodes.join(top.select(F.col("node").alias("parent"), "path"), "parent").select("node", F.concat_ws(" > ", "path", "label").alias("path"))
-    return top.unionByName(below)
+    return places.paths(geo_nodes(spark, sf)).select("node", F.array_join("labels", " > ").alias("path"))
 
 
 @query("SELECT n_regionkey AS continent, s_nationkey AS country, s_suppkey AS outlet FROM supplier JOIN nation ON s_nationkey = n_nationkey QUALIFY row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) <= 6")
@@ -347,10 +348,21 @@ def event_activity(spark, sf):
     return told.select("event_type", F.unix_millis("w.start").alias("start_ms"), "n", "total")
 
 
-@query("SELECT user_id, event_type, n FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY user_id, event_type) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n DESC, event_type) = 1")
+#: The driver's kinds of events as stages.
+STAGE_OF = {"purchase": "analyzing", "signup": "triage", "error": "embedding", "click": "synthesizing", "view": "fetching"}
+
+
+@query(
+    f"""WITH t AS (SELECT user_id, event_id, {_case('event_type', STAGE_OF)} AS stage FROM events WHERE event_id % 3 = 0), p AS (SELECT *, list_position(['analyzing', 'triage', 'transcripts', 'embedding', 'synthesizing', 'fetching'], stage) AS p FROM t)
+    SELECT u.user_id, stage, event_id FROM (SELECT DISTINCT user_id FROM events) u LEFT JOIN (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY p, event_id) = 1) USING (user_id)"""
+)
 def dominant_activity(spark, sf):
-    counts = table(spark, sf, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
-    return ordering.first_per_key(counts, ["user_id"], [F.col("n").desc(), F.col("event_type")])
+    """The stage that is told of each reader: of the running tasks (every third event) the first stage in the fixed order, its first task; null without any."""
+    events = table(spark, sf, "events")
+    stage = F.element_at(F.create_map(*(F.lit(x) for pair in STAGE_OF.items() for x in pair)), F.col("event_type"))
+    tasks = events.where("event_id % 3 = 0").select("user_id", "event_id", stage.alias("stage"))
+    told = aggregate.dominant(tasks, "user_id", "stage", "event_id")
+    return events.select("user_id").distinct().join(told, "user_id", "left")
 
 
 @query(f"WITH {SQL_ITEMS} SELECT lang, {SQL_BUCKET} AS bucket, grouping_id(lang, bucket) AS level, count(*) AS n FROM items GROUP BY ROLLUP (lang, bucket)")
@@ -361,7 +373,7 @@ def topic_lean_rollup(spark, sf):
 
 @query()
 def event_categories(spark, sf):
-    topic = F.element_at(F.array(*(F.lit(x) for x in ("politics", "technology", "science", "health", "economics", "culture", "sports", "history"))), (F.col("topic") + 1).cast("int"))
+    topic = F.element_at(F.array(*(F.lit(x) for x in TOPICS)), (F.col("topic") + 1).cast("int"))
     told = items(spark, sf).withColumn("category", T.event_category(F.concat_ws(" ", "title", "summary"), topic))
     return told.groupBy("category").agg(F.count("*").alias("n"))
 

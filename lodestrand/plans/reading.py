@@ -6,30 +6,31 @@ from pyspark.sql import functions as F
 
 from lodestrand.functions import reading as R
 from lodestrand.functions import text as T
+from lodestrand.functions.replies import ENTITIES
 from lodestrand.operators import ordering
 from lodestrand.plans.adapters import NOW_MS, items, table
 from lodestrand.plans.queries import SQL_ITEMS, r6
 from lodestrand.plans.registry import query
 
 STOP = ", ".join(f"'{w}'" for w in R.INTEREST_STOP)
-SQL_WORDS = f"list_filter(string_split_regex(lower(title || ' ' || summary), '[^a-z0-9]+'), lambda t: length(t) >= 2 AND t NOT IN ({STOP}))"
+SQL_WORDS = f"list_filter(string_split_regex(lower(coalesce(title, '') || ' ' || coalesce(summary, '')), '[^a-z0-9]+'), lambda t: length(t) >= 2 AND t NOT IN ({STOP}))"
 SQL_MATCH = f"""((list_has_any(w, ['energy', {', '.join(repr(x) for x in R.SYNONYMS['energy'])}]) OR len(list_filter(w, lambda x: length(x) >= 5 AND (starts_with(x, 'energy') OR starts_with('energy', x)))) > 0)::INT + list_contains(w, 'die')::INT
     + (list_contains(w, 'things') OR len(list_filter(w, lambda x: length(x) >= 5 AND (starts_with(x, 'things') OR starts_with('things', x)))) > 0)::INT) / 3"""
 
 
 @query(
-    f"""WITH {SQL_ITEMS}, m AS (SELECT id, importance, {SQL_WORDS} AS w FROM items WHERE title IS NOT NULL), s AS (SELECT id, {SQL_MATCH} AS match, CASE WHEN id % 4 = 0 THEN least(0.6, CASE WHEN id % 8 = 0 THEN 0.9 ELSE 0.4 END) ELSE importance END AS weight FROM m)
+    f"""WITH {SQL_ITEMS}, m AS (SELECT id, importance, {SQL_WORDS} AS w FROM items), s AS (SELECT id, {SQL_MATCH} AS match, CASE WHEN id % 4 = 0 THEN least(0.6, CASE WHEN id % 8 = 0 THEN 0.9 ELSE 0.4 END) ELSE importance END AS weight FROM m)
     SELECT id, round(match, 6) AS match, round(greatest(0, least(1, 0.6 * match + 0.4 * weight)), 6) AS relevance FROM s"""
 )
 def interest_relevance(spark, sf):
-    rows = items(spark, sf).where("title is not null").withColumn("words", R.interest_words(F.concat_ws(" ", "title", "summary")))
+    rows = items(spark, sf).withColumn("words", R.interest_words(F.concat_ws(" ", "title", "summary")))
     rows = rows.withColumn("match", R.interest_match("the energy of die things", F.col("words")))
     score = R.relevance(F.col("importance"), F.col("match"), F.col("id") % 4 == 0, F.when(F.col("id") % 8 == 0, 0.9))
     return rows.select("id", r6(F.col("match")).alias("match"), r6(score).alias("relevance"))
 
 
 @query(
-    f"""WITH {SQL_ITEMS}, s AS (SELECT id, (CASE WHEN topic IN (1, 5) THEN 3 ELSE 0 END) + contains(lower(title || ' ' || summary), 'thing')::INT + contains(lower(title || ' ' || summary), 'free')::INT + 0.5 * importance AS score FROM items WHERE id % 3 <> 0)
+    f"""WITH {SQL_ITEMS}, s AS (SELECT id, (CASE WHEN topic IN (1, 5) THEN 3 ELSE 0 END) + contains(lower(coalesce(title, '') || ' ' || coalesce(summary, '')), 'thing')::INT + contains(lower(coalesce(title, '') || ' ' || coalesce(summary, '')), 'free')::INT + 0.5 * importance AS score FROM items WHERE id % 3 <> 0)
     SELECT id, round(score, 6) AS score FROM s WHERE score > 0 ORDER BY score DESC, id LIMIT 12"""
 )
 def knowledge_picks(spark, sf):
@@ -44,12 +45,12 @@ SQL_SIGN = f"array_to_string(list_sort(list_filter(string_split_regex(lower(q),
 
 
 @query(
-    f"""WITH {SQL_ITEMS}, h AS (SELECT id, importance, published_at, trim(substr(trim(regexp_replace(trim(substr(title, 1, 60)), '\\s+[-–—|]\\s+[^-–—|]{{1,40}}$', '')), 1, 120)) AS q FROM items WHERE NOT clickbait AND importance >= 0.5 AND title IS NOT NULL),
+    f"""WITH {SQL_ITEMS}, h AS (SELECT id, importance, published_at, trim(substr(trim(regexp_replace(trim(regexp_replace(trim(coalesce(title, '')), '^["''“”]+|["''“”]+$', '', 'g')), '\\s+[-–—|]\\s+[^-–—|]{{1,40}}$', '')), 1, 120)) AS q FROM items WHERE NOT clickbait AND importance >= 0.5),
     s AS (SELECT *, {SQL_SIGN} AS sign FROM h WHERE length(q) >= 8) SELECT id, q FROM (SELECT * FROM s WHERE sign <> '' QUALIFY row_number() OVER (PARTITION BY sign ORDER BY importance DESC, published_at DESC, id) = 1) ORDER BY importance DESC, published_at DESC, id LIMIT 6"""
 )
 def search_seeds(spark, sf):
     order = [F.col("importance").desc(), F.col("published_at").desc(), F.col("id")]
-    rows = items(spark, sf).where("not clickbait and importance >= 0.5 and title is not null").withColumn("q", R.headline_query(F.substring("title", 1, 60))).where("length(q) >= 8")
+    rows = items(spark, sf).where("not clickbait and importance >= 0.5").withColumn("q", R.headline_query(F.col("title"))).where("length(q) >= 8")
     rows = rows.withColumn("sign", F.array_join(F.slice(F.array_sort(R.interest_words(F.col("q"))), 1, 8), " ")).where("sign <> ''")
     return ordering.first_per_key(rows, ["sign"], order).orderBy(*order).limit(6).select("id", "q")
 
@@ -62,12 +63,12 @@ def relative_ages(spark, sf):
 
 
 @query(
-    """SELECT doc_id AS id, CASE WHEN doc_id % 3 = 0 THEN greatest(1, floor((doc_id % 7 * 60 + doc_id % 60) / 60 + 0.5))::BIGINT WHEN doc_id % 2 = 0 THEN CASE WHEN doc_id % 5 = 0 THEN 4 ELSE greatest(1, floor(len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')) / 200 + 0.5))::BIGINT END
-    WHEN doc_id % 7 = 0 THEN 35 ELSE 12 END AS minutes FROM documents WHERE doc_id % 420 <> 0 AND (doc_id % 3 <> 0 OR doc_id % 7 * 60 + doc_id % 60 > 0)"""
+    """SELECT doc_id AS id, CASE WHEN doc_id % 3 = 0 AND doc_id % 7 * 60 + doc_id % 60 > 0 THEN greatest(1, floor((doc_id % 7 * 60 + doc_id % 60) / 60 + 0.5))::BIGINT WHEN doc_id % 2 = 0 THEN CASE WHEN doc_id % 5 = 0 THEN 4 ELSE greatest(1, floor(len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')) / 200 + 0.5))::BIGINT END
+    WHEN doc_id % 7 = 0 THEN 35 ELSE 12 END AS minutes FROM documents"""
 )
 def item_minutes(spark, sf):
     n = F.col("doc_id")
-    rows = table(spark, sf, "documents").where("doc_id % 420 <> 0 and (doc_id % 3 <> 0 or doc_id % 7 * 60 + doc_id % 60 > 0)")
+    rows = table(spark, sf, "documents")
     kind = F.when(n % 2 == 0, "news").when(n % 7 == 0, "podcast").otherwise("video")
     said = F.when(n % 3 == 0, F.concat((n % 7).cast("string"), F.lit(":"), F.lpad((n % 60).cast("string"), 2, "0")))
     return rows.select(n.alias("id"), R.minutes(kind, said, F.when(n % 5 != 0, F.col("text"))).cast("long").alias("minutes"))
@@ -92,10 +93,18 @@ def first_issue(spark, sf):
     return rows.select("id").join(tagged.groupBy("id").agg(F.min("issue").alias("issue")), "id", "left")
 
 
-@query("SELECT page_id, coalesce(nullif(trim(regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '<[^>]*>', '', 'g')), ''), trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1))) AS title FROM pages WHERE NOT regexp_matches(html, '(?i)og:title') AND NOT regexp_matches(html, '(?is)<(h1|title)[^>]*>[^<]*&')")
+def sql_decoded(text: str) -> str:
+    """Named entities decoded three times over, the ampersand last in each pass, so that none is decoded twice in one."""
+    for _ in range(3):
+        for name, sign in reversed(ENTITIES.items()):
+            text = f"regexp_replace({text}, '&{name};', '{sign.replace(chr(39), chr(39) * 2)}', 'gi')"
+    return text
+
+
+@query(f"""SELECT page_id, trim({sql_decoded("t")}) AS title FROM (SELECT page_id, coalesce(nullif(regexp_extract(html, '(?i)<meta[^>]+property=["'']og:title["''][^>]+content=["'']([^"'']+)["'']', 1), ''),
+    nullif(regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '<[^>]*>', '', 'g'), ''), regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '') AS t FROM pages)""")
 def page_titles(spark, sf):
-    rows = table(spark, sf, "pages").where(r"not rlike(html, '(?i)og:title') and not rlike(html, '(?is)<(h1|title)[^>]*>[^<]*&')")
-    return rows.select("page_id", R.page_title(F.col("html")).alias("title"))
+    return table(spark, sf, "pages").select("page_id", R.page_title(F.col("html")).alias("title"))
 
 
 @query(
@@ -121,7 +130,7 @@ def markdown_pages(spark, sf):
 def related_items(spark, sf):
     """Items that share words with one item, its topic counting half a word."""
     rows = items(spark, sf).select("id", "topic", F.array_distinct(T.ascii_tokens(F.col("title"), 2)).alias("w"))
-    one = rows.where("id = 2").select(F.col("id").alias("_id"), F.col("topic").alias("_topic"), F.col("w").alias("_w"))
+    one = rows.where("id = 2").limit(1).select(F.col("id").alias("_id"), F.col("topic").alias("_topic"), F.col("w").alias("_w"))
     shared = F.size(F.array_intersect("w", "_w"))
     told = rows.join(F.broadcast(one), F.col("id") != F.col("_id")).where(shared > 0)  # one row
     return told.select("id", r6(shared + F.when(F.col("topic") == F.col("_topic"), 0.5).otherwise(0.0)).alias("score")).orderBy(F.col("score").desc(), "id").limit(20)

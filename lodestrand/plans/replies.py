@@ -19,7 +19,7 @@ GATHERINGS = (
     """{"place":"Alone","iso2":"ch","parties":["us"]},{"kind":"","place":"Rome","iso2":"it","parties":["it","fr","x"],"coords":"0.001,0"},{"kind":"forum","place":"rome","iso2":"it","parties":["it","de"]}]'"""
 )
 ANALYSIS = (
-    f"""'{{"topic":"' || CASE WHEN doc_id % 3 = 0 THEN 'Sports' ELSE 'gossip' END || '","lean":' || CASE WHEN doc_id % 4 = 0 THEN 'null' ELSE '' || (doc_id % 5 - 2) END || ',"importance":' || (doc_id % 7) || ',"""
+    f"""'{{"topic":"' || CASE doc_id % 3 WHEN 0 THEN 'World' WHEN 1 THEN 'sports' ELSE 'gossip' END || '","lean":' || CASE WHEN doc_id % 4 = 0 THEN 'null' ELSE '' || (doc_id % 5 - 2) END || ',"importance":' || (doc_id % 7) || ',"""
     f""""summary":"' || CASE WHEN doc_id % 6 = 0 THEN '????????' ELSE 'It   is a fine day.' END || '","keywords":[" Alpha ",3,"!!!!!!","beta' || (doc_id % 10) || '"],"countries":["' || {LANG} || '","US","us","usa"]}}'"""
 )
 IDS = """'[' || (doc_id % 50) || ',"' || (doc_id % 7) || 'th",99,3,"x",3]'"""
@@ -58,7 +58,7 @@ def reply_gatherings(spark, sf):
 
 
 @query(
-    f"""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'sports' ELSE 'culture' END AS topic, CASE WHEN doc_id % 4 = 0 THEN 0.25 ELSE greatest(-1, least(1, doc_id % 5 - 2)) END::DOUBLE AS lean, doc_id % 4 <> 0 AS refined,
+    f"""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'world' ELSE 'culture' END AS topic, CASE WHEN doc_id % 4 = 0 THEN 0.25 ELSE greatest(-1, least(1, doc_id % 5 - 2)) END::DOUBLE AS lean, doc_id % 4 <> 0 AS refined,
     least(1, doc_id % 7)::DOUBLE AS importance, CASE WHEN doc_id % 6 = 0 THEN '' ELSE 'It is a fine day.' END AS summary, 'alpha,beta' || (doc_id % 10) AS keywords,
     CASE WHEN {LANG} <> 'us' AND regexp_full_match({LANG}, '[a-z]{{2}}') THEN {LANG} || ',us' ELSE 'us' END AS countries FROM documents"""
 )

@@ -8,7 +8,7 @@ from lodestrand.functions import numbers as N
 from lodestrand.functions import text as T
 from lodestrand.operators import greedy, ordering, stories
 from lodestrand.plans.adapters import NOW_MS, items, table
-from lodestrand.plans.queries import SQL_ITEMS, r6
+from lodestrand.plans.queries import SQL_ITEMS, r6, with_vectors
 from lodestrand.plans.registry import query
 
 #: In the form that Spark and DuckDB both read.
@@ -137,7 +137,7 @@ def assigned_seeds(spark, sf):
     return stories.assign_seeds(rows, seeds, least_cosine=0.1).select("country", "id", "seed", r6(F.col("score")).alias("score"))
 
 
-SQL_WORDS = "list_sort(list_distinct(list_filter(string_split_regex(lower(substr(text, 1, 400)), '[^a-z0-9]+'), lambda t: length(t) >= 6)))"
+SQL_WORDS = "list_sort(list_distinct(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda t: length(t) >= 6)))"
 
 
 @query(
@@ -145,17 +145,24 @@ SQL_WORDS = "list_sort(list_distinct(list_filter(string_split_regex(lower(substr
     SELECT story, other, round(i / (n + m - i), 6) AS score FROM p WHERE i > 0 QUALIFY row_number() OVER (PARTITION BY story ORDER BY i / (n + m - i) DESC, other) <= 4"""
 )
 def related_stories(spark, sf):
-    docs = table(spark, sf, "documents").select(F.expr("doc_id div 12").alias("world"), F.col("doc_id").alias("story"), F.array_distinct(T.ascii_tokens(F.substring("text", 1, 400), 6)).alias("tokens"))
+    docs = table(spark, sf, "documents").select(F.expr("doc_id div 12").alias("world"), F.col("doc_id").alias("story"), F.array_distinct(T.ascii_tokens(F.col("text"), 6)).alias("tokens"))
     return stories.related(docs).select("story", "other", r6(F.col("score")).alias("score"))
 
 
+def issue_inputs(spark, sf):
+    """The events (of sixty items in a row) of each source with their words, the sum and number of their vectors, coverage and span."""
+    rows = with_vectors(spark, sf, items(spark, sf)).withColumn("cluster", F.expr("id div 60"))
+    add = F.reduce(F.collect_list("embedding"), F.lit(None).cast("array<double>"), lambda a, v: F.when(a.isNull(), v).otherwise(F.zip_with(a, v, lambda x, y: x + y)))
+    return rows.groupBy("source_id", "cluster").agg(
+        F.array_distinct(F.flatten(F.collect_list(T.title_tokens(F.col("title"))))).alias("tokens"), add.alias("vector_sum"), F.count("embedding").alias("vector_n"),
+        F.count_distinct("id").alias("coverage"), F.min("published_at").alias("first_at"), F.max("published_at").alias("last_at"),
+    )
+
+
 @query()
 def issue_groups(spark, sf):
-    """Events of each source grouped to issues by the words of their titles."""
-    rows = items(spark, sf).withColumn("cluster", F.expr("id div 3")).withColumn("token", F.explode_outer(T.title_tokens(F.substring("title", 1, 200))))
-    told = rows.groupBy("source_id", "cluster").agg(F.collect_set("token").alias("tokens"), F.count_distinct("id").alias("coverage"), F.min("published_at").alias("first_at"), F.max("published_at").alias("last_at"))
-    told = told.withColumn("vector_sum", F.lit(None).cast("array<double>")).withColumn("vector_n", F.lit(0).cast("long"))
-    return greedy.issues(told, "source_id")
+    """Events of each source grouped to issues by their members' mean vectors, else by the words of their titles."""
+    return greedy.issues(issue_inputs(spark, sf), "source_id")
 
 
 @query()

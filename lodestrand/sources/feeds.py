@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestrand.operators.ordering import first_per_key
 from lodestrand.functions.text import html_paragraphs, html_title, item_hash, url_host, vtt_text
 
 RSS = """struct<channel:struct<item:array<struct<title:string,link:string,description:string,pubDate:string,guid:string,enclosure:struct<_url:string>>>>>"""
@@ -32,11 +33,11 @@ def feed_entries(xml: DataFrame) -> DataFrame:
 
 
 def search_hits(lines: DataFrame) -> DataFrame:
-    """video_id, title, channel, seconds of a search's JSON lines (line); malformed, private and wrongly named rows go."""
+    """video_id, title, channel, seconds, position of a search's JSON lines (position, line), the first fit line of each video; malformed, private and wrongly named rows go."""
     row = F.from_json("line", "id string, title string, channel string, uploader string, duration double", {"mode": "PERMISSIVE"})
-    told = lines.select(row.alias("r")).select(F.col("r.id").alias("video_id"), F.trim("r.title").alias("title"), F.coalesce("r.channel", "r.uploader").alias("channel"), F.floor(F.col("r.duration") + 0.5).alias("seconds"))
+    told = lines.select("position", row.alias("r")).select("position", F.col("r.id").alias("video_id"), F.trim("r.title").alias("title"), F.coalesce("r.channel", "r.uploader").alias("channel"), F.floor(F.col("r.duration") + 0.5).alias("seconds"))
     told = told.where(F.col("video_id").rlike(r"^[\w-]{11}$") & F.col("title").isNotNull() & ~F.col("title").isin("[Private video]", "[Deleted video]"))
-    return told.where("seconds is null or (seconds >= 180 and seconds <= 14400)").dropDuplicates(["video_id"])
+    return first_per_key(told.where("seconds is null or (seconds >= 180 and seconds <= 14400)"), ["video_id"], [F.col("position")])
 
 
 def captions(vtt: DataFrame) -> DataFrame:

@@ -37,6 +37,7 @@ def test_captions(spark):
 
 
 def test_degenerate_and_category(spark):
+    assert one(spark, T.degenerate(F.lit(" "))) and one(spark, T.slug(F.lit(" Àé-Bç! "))) == "ae-bc" and one(spark, T.slug(F.lit("!"), 40, "src")) == "src"
     assert one(spark, T.degenerate(F.lit("!!!!!!"))) and not one(spark, T.degenerate(F.lit("a fine line.")))
     assert one(spark, T.event_category(F.lit("War and election talks: troops"), F.lit("politics"))) == "conflict"
     assert one(spark, T.event_category(F.lit("nothing"), F.lit("health"))) == "health"
@@ -53,8 +54,9 @@ def test_feeds(spark):
 
 def test_search_hits(spark):
     lines = ['{"id":"abcdefghijk","title":"ok","duration":200.4,"uploader":"u"}', "{broken", '{"id":"abcdefghijl","title":"[Private video]"}', '{"id":"abcdefghijm","title":"short","duration":10}']
-    rows = feeds.search_hits(spark.createDataFrame([(x,) for x in lines], "line string")).collect()
-    assert [(r["video_id"], r["seconds"]) for r in rows] == [("abcdefghijk", 200)]
+    lines += ['{"id":"abcdefghijm","title":"long enough","duration":200}', '{"id":"abcdefghijk","title":"again","duration":300}']
+    rows = feeds.search_hits(spark.createDataFrame(list(enumerate(lines)), "position int, line string")).orderBy("position").collect()
+    assert [(r["video_id"], r["seconds"], r["title"]) for r in rows] == [("abcdefghijk", 200, "ok"), ("abcdefghijm", 200, "long enough")]
 
 
 def test_components(spark):
