@@ -1,4 +1,4 @@
 """Importing this package registers every query."""
 
-from lodestrand.plans import globe, places, queries, reading, replies, stories  # noqa: F401
+from lodestrand.plans import assembly, globe, places, queries, reading, replies, stories, worldview  # noqa: F401
 from lodestrand.plans.registry import ORACLE, QUERIES  # noqa: F401

@@ -24,6 +24,18 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items as the stores of their pools keep them, with what became of them; every fifth is in the front pool too."""
+    n, rows = F.col("id"), items(spark, sf_dir)
+    base = rows.withColumns({
+        "analyzed": n % 9 != 0, "clone_of": F.when(n % 13 == 0, n - 1), "global": F.when(n % 6 == 0, True).when(n % 6 == 1, False), "prescreen": F.when(n % 3 != 0, (n * 29) % 101 / 100.0),
+        "zone": F.when(n % 7 == 0, "ua"), "thumbnail": F.when(n % 3 == 0, F.concat(F.lit("https://img/"), n.cast("string"))).when(n % 3 == 1, "data:x"),
+        "countries": F.when(n % 2 == 0, F.array("lang")).otherwise(F.array("lang", F.lit("us"))),
+    })
+    pool = F.when(n % 4 == 0, "front").when(n % 4 == 1, F.concat(F.lit("place-"), "lang")).when(n % 4 == 2, F.concat(F.lit("geo-n"), (n % 25).cast("string"))).otherwise("geo-r1")
+    return base.withColumn("pool", pool).unionByName(base.where("id % 5 = 0 and id % 4 <> 0").withColumn("pool", F.lit("front")))
+
+
 def progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as a reader's consumed minutes, with a lean."""
     n = F.col("event_id")
