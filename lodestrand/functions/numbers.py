@@ -15,6 +15,19 @@ def lean_bucket(lean: Column) -> Column:
     )
 
 
+def lean_bucket_label(bucket: Column) -> Column:
+    """A bucket as a reader is shown it."""
+    return F.concat(F.upper(F.substring(bucket, 1, 1)), F.when(bucket == "non-political", "on-political").otherwise(F.translate(F.substring(bucket, 2, 20), "-", " ")))
+
+
+def lean_label(lean: Column) -> Column:
+    """A lean as a model is told it: other bounds than those of the buckets."""
+    return (
+        F.when(lean.isNull() | F.isnan(lean), "non-political").when(lean <= -0.6, "left").when(lean < -0.15, "center-left")
+        .when(lean <= 0.15, "center").when(lean < 0.6, "center-right").otherwise("right")
+    )
+
+
 def political(lean: Column) -> Column:
     return lean.isNotNull() & ~F.isnan(lean)
 

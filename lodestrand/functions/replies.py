@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lodestrand.functions.text import degenerate
+from lodestrand.functions.text import bound, degenerate
 
 #: Topics and kinds that have a meaning of their own.
 TOPICS = ["world", "politics", "economics", "science", "technology", "history", "health", "culture"]
@@ -133,6 +133,73 @@ def gatherings(array: Column, most: int = 3) -> Column:
     return _first_of_each(kept, lambda r: F.concat(r["iso2"], F.lit("|"), F.lower(r["place"])), most)
 
 
+def _pieces(array: Column) -> Column:
+    """The texts among an array's elements, clean; those that aren't prose are dropped."""
+    told = F.transform(F.filter(array, lambda x: F.schema_of_variant(x) == "STRING"), lambda x: clean(F.try_variant_get(x, "$", "string")))
+    return F.filter(told, lambda x: x != "")
+
+
+def strings(array: Column, most: int) -> Column:
+    """The first `most` texts that are prose."""
+    return F.slice(_pieces(array), 1, most)
+
+
+def protagonist(reply: Column) -> Column:
+    """struct(name, iso2) of the central actor; null without a name, iso2 null unless it is two letters."""
+    name, code = clean(text_of(reply, "$.protagonist.name")), F.lower(F.trim(text_of(reply, "$.protagonist.iso2")))
+    return F.when(name != "", F.struct(name.alias("name"), F.when(code.rlike("^[a-z]{2}$"), code).alias("iso2")))
+
+
+def category(reply: Column) -> Column:
+    """struct(category, icon): a known category or a name of its own, which keeps its icon; null without one."""
+    told = kind(text_of(reply, "$.category"))
+    own = F.nullif(icon(text_of(reply, "$.categoryIcon")), F.lit(""))
+    return F.when(told != "", F.struct(told.alias("category"), F.when(~told.isin(EVENT_CATEGORIES), own).alias("icon")))
+
+
+def spectrum(reply: Column) -> Column:
+    """struct(left, center, right), empty where nothing is told."""
+    return F.struct(*(clean(text_of(reply, f"$.spectrum.{x}")).alias(x) for x in ("left", "center", "right")))
+
+
+def angles(array: Column, most: int = 6) -> Column:
+    """array of struct(outlet, framing): the first rows that have both."""
+    rows = F.transform(elements(array), lambda r: F.struct(clean(text_of(r, "$.outlet")).alias("outlet"), clean(text_of(r, "$.framing")).alias("framing")))
+    return F.slice(F.filter(rows, lambda r: (r["outlet"] != "") & (r["framing"] != "")), 1, most)
+
+
+def sides(array: Column, outlets: Column, most: int = 5) -> Column:
+    """array of struct(label, framing, outlets, zones): the sides of a dispute, with the zones of those outlets that are members.
+
+    outlets: array of struct(title, zone) of the story's members; an outlet means the member of its whole name, else the first whose name holds it or
+    is held by it; a member without a zone is international, an outlet that is no member keeps its name. Sides without outlets are dropped; without
+    a zone among the members, or with one side only, there are none.
+    """
+
+    def member(name: Column) -> Column:
+        want = F.lower(name)
+        exact = F.filter(outlets, lambda o: F.lower(o["title"]) == want)
+        near = F.filter(outlets, lambda o: F.contains(F.lower(o["title"]), want) | F.contains(want, F.lower(o["title"])))
+        return F.coalesce(F.get(exact, F.lit(0)), F.get(near, F.lit(0)))
+
+    def side(r: Column) -> Column:
+        named = F.transform(_pieces(elements(r, "$.outlets")), lambda name: F.struct(name.alias("name"), member(name).alias("member")))
+        zones = F.transform(F.filter(named, lambda x: x["member"].isNotNull()), lambda x: F.coalesce(x["member"]["zone"], F.lit("international")))
+        return F.struct(
+            clean(text_of(r, "$.label")).alias("label"), clean(text_of(r, "$.framing")).alias("framing"),
+            F.array_distinct(F.transform(named, lambda x: F.coalesce(x["member"]["title"], x["name"]))).alias("outlets"), F.array_distinct(zones).alias("zones"),
+        )
+
+    kept = F.slice(F.filter(F.transform(elements(array), side), lambda s: (s["label"] != "") & (s["framing"] != "") & (F.size(s["outlets"]) > 0)), 1, most)
+    return bound(kept, lambda k: F.when(F.exists(outlets, lambda o: o["zone"].isNotNull()) & (F.size(k) >= 2), k))
+
+
+def threads(array: Column, most: int = 5) -> Column:
+    """array of struct(title, detail): the first rows that have either."""
+    rows = F.transform(elements(array), lambda r: F.struct(*(F.trim(F.coalesce(text_of(r, f"$.{x}"), F.lit(""))).alias(x) for x in ("title", "detail"))))
+    return F.slice(F.filter(rows, lambda r: (r["title"] != "") | (r["detail"] != "")), 1, most)
+
+
 def ids(array: Column, count: int, most: int) -> Column:
     """Distinct whole numbers from 1 to count, in order."""
     told = F.transform(elements(array), lambda x: F.coalesce(F.try_variant_get(x, "$", "bigint"), F.regexp_extract(text_of(x), r"^\s*(-?\d+)", 1).try_cast("bigint")))
@@ -165,11 +232,6 @@ ENTITIES = {
 HEX, DECIMAL, NAMED = r"&#[xX][0-9a-fA-F]+;", r"&#[0-9]+;", r"&[a-zA-Z][a-zA-Z0-9]*;"
 
 
-def bound(value: Column, then) -> Column:
-    """then(value), with value computed once however often it is used."""
-    return F.get(F.transform(F.array(value), then), F.lit(0))
-
-
 def _letter(code: Column) -> Column:
     """The letter of a code point; empty out of range."""
     usable = ((code > 0) & (code < 0xD800)) | ((code > 0xDFFF) & (code <= 0x10FFFF))

@@ -29,6 +29,11 @@ _FOLDED = {chr(c): unicodedata.normalize("NFD", chr(c))[0] for c in range(0xC0,
 NEGATION = r"(?i)\b(?:not|no|without|except|excluding|minus|sans|avoid)\b"
 
 
+def bound(value: Column, then) -> Column:
+    """then(value), with value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def ascii_tokens(text: Column, least: int = 3, stop: list[str] | tuple[str, ...] = ()) -> Column:
     """Lower-case ASCII words of at least `least` characters, repeats kept. Null gives none."""
     split = F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+")
@@ -127,18 +132,87 @@ def host_is_under(host: Column, domains: list[str]) -> Column:
     return F.coalesce(reduce(lambda a, b: a | b, [(host == d) | host.endswith(f".{d}") for d in domains]), F.lit(False))
 
 
+#: Publishers whose pages are behind a paywall.
+PAYWALLED = (
+    "nytimes.com wsj.com ft.com economist.com bloomberg.com washingtonpost.com newyorker.com theatlantic.com wired.com businessinsider.com thetimes.co.uk telegraph.co.uk "
+    "theinformation.com foreignpolicy.com seekingalpha.com"
+).split()
+#: What a page that asks for a proof of being human says.
+CHALLENGES = [
+    "just a moment", "attention required! | cloudflare", "cf-browser-verification", "cf-challenge", "/cdn-cgi/challenge-platform", "g-recaptcha", "h-captcha", "px-captcha",
+    "enable javascript and cookies to continue", "verifying you are human", "request unsuccessful. incapsula",
+]
+
+
+def challenge_page(html: Column) -> Column:
+    """Whether a page asks for a proof of being human: one of the signs in its first 4000 letters."""
+    head = F.lower(F.substring(html, 1, 4000))
+    return F.coalesce(reduce(lambda a, b: a | b, [F.contains(head, F.lit(c)) for c in CHALLENGES]), F.lit(False))
+
+
+def flag(code: Column) -> Column:
+    """The flag of a two-letter country code, as its two regional letters; empty for other codes."""
+    told = F.lower(F.trim(F.coalesce(code, F.lit(""))))
+    letter = lambda i: F.decode(F.unhex(F.lpad(F.hex(F.ascii(F.substring(told, i, 1)) - 97 + 0x1F1E6), 8, "0")), "UTF-32")
+    return F.when(told.rlike("^[a-z]{2}$"), F.concat(letter(1), letter(2))).otherwise("")
+
+
+def country_label(code: Column, label: Column) -> Column:
+    """The registry's label of a code, else the code in capitals; International without one."""
+    return F.when(code.isNull() | code.isin("", "international"), "International").otherwise(F.coalesce(label, F.upper(code)))
+
+
+def country_code(*codes: Column) -> Column:
+    """The first of the codes that is two letters, in lower case."""
+    return F.coalesce(*(F.when(c.rlike("^[A-Za-z]{2}$"), F.lower(c)) for c in codes))
+
+
+def clean_aliases(names: Column) -> Column:
+    """Distinct names in lower case of three letters or more, with a letter, that are no address."""
+    told = F.transform(names, lambda x: F.lower(F.trim(x)))
+    return F.array_distinct(F.filter(told, lambda x: (F.length(x) >= 3) & x.rlike(r"\p{L}") & ~x.rlike("^https?:")))
+
+
+def translated(key: Column, own: Column, english: Column, params: dict[str, Column]) -> Column:
+    """A message in a reader's language, else in English, else its key, with {name} filled in."""
+    text = F.coalesce(own, english, key)
+    for name, value in params.items():
+        text = F.replace(text, F.lit("{" + name + "}"), value.cast("string"))
+    return text
+
+
+def plain_entities(text: Column) -> Column:
+    """The few entities of a page's text, decoded once, one after the other."""
+    for pattern, told in ((r"(?i)&nbsp;", " "), (r"(?i)&amp;", "&"), (r"(?i)&lt;", "<"), (r"(?i)&gt;", ">"), (r"(?i)&quot;", '"'), (r"(?i)&#39;|&apos;", "'")):
+        text = F.regexp_replace(text, pattern, told)
+    code = lambda d: F.when(F.length(d) <= 10, d).try_cast("bigint")
+    usable = lambda c: ((c > 0) & (c < 0xD800)) | ((c > 0xDFFF) & (c <= 0x10FFFF))
+    letter = lambda d: F.when(usable(code(d)), F.decode(F.unhex(F.lpad(F.hex(code(d)), 8, "0")), "UTF-32")).otherwise("")
+    pairs = lambda t: F.zip_with(F.split(t, "&#[0-9]+;", -1), F.transform(F.regexp_extract_all(t, F.lit("&#([0-9]+);"), 1), letter), lambda rest, x: F.concat(rest, F.coalesce(x, F.lit(""))))
+    return bound(text, lambda t: F.array_join(pairs(t), ""))
+
+
+def title_case(text: Column) -> Column:
+    return F.initcap(text)
+
+
 def html_title(html: Column) -> Column:
     """The first title, without white space around it."""
     return F.trim(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1))
 
 
+#: Elements that aren't what a page is about.
+BOILERPLATE = ("script", "style", "nav", "header", "footer", "aside", "form", "noscript", "svg", "figure", "iframe")
+
+
 def html_paragraphs(html: Column, least: int = 40) -> Column:
     """Paragraphs of at least `least` characters, without boilerplate elements, tags and comments."""
     bare = F.regexp_replace(html, r"(?is)<!--.*?-->", " ")
-    for element in ("script", "style", "nav", "header", "footer", "aside", "form", "noscript", "svg", "figure", "iframe"):
+    for element in BOILERPLATE:
         bare = F.regexp_replace(bare, rf"(?is)<{element}\b[^>]*>.*?</{element}>", " ")
-    broken = F.regexp_replace(bare, r"(?i)</(p|div|h[1-6]|li|section|article|blockquote)>|<br\s*/?>", "\n")
-    told = F.transform(F.split(F.regexp_replace(broken, r"<[^>]+>", " "), "\n"), lambda p: F.trim(F.regexp_replace(p, r"[ \t\r\f]+", " ")))
+    broken = F.regexp_replace(F.regexp_replace(bare, r"(?i)</(p|div|section|li|h[1-6]|br|tr)>", "\n\n"), r"(?i)<br\s*/?>", "\n")
+    told = F.split(plain_entities(F.regexp_replace(broken, r"<[^>]*>", " ")), r"\n{2,}")
+    told = F.transform(told, lambda p: F.trim(F.regexp_replace(F.regexp_replace(p, r"[ \t]+", " "), r"\s*\n\s*", " ")))
     return F.filter(told, lambda p: F.length(p) >= least)
 
 

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from lodestrand.functions.numbers import cosine
+from lodestrand.functions.numbers import cosine, lean_label
 from lodestrand.functions.replies import clean, decode_entities
 from lodestrand.functions.text import story_hash
 from lodestrand.operators import aggregate
@@ -157,3 +158,28 @@ def assign_seeds(candidates: DataFrame, seeds: DataFrame, least_shared: int = 2,
     scored = scored.withColumn("score", F.round(2 * F.col("near") + 0.1 * F.col("shared"), 9))
     best = F.max_by("seed", F.struct("score", (-F.col("position")).alias("p")))
     return scored.groupBy("country", "id").agg(best.alias("seed"), F.max("score").alias("score"))
+
+
+def developing_stories(members: DataFrame, story: str, most: int = 10) -> DataFrame:
+    """A developing story for each issue without a model: the fallback story, a little graver, with its beginning and timeline. members: as for fallback_stories and timeline."""
+    base = fallback_stories(members, story).withColumn("severity", F.least(F.lit(1.0), F.col("severity") + 0.15)).withColumn("developing", F.lit(True))
+    told = timeline(members, None, most)
+    lines = told.groupBy("story").agg(F.array_sort(F.collect_list(F.struct("started_at", "event", "title", "detail"))).alias("timeline"))
+    began = members.groupBy("story").agg(F.min("published_at").alias("started_at"))
+    return base.join(lines, "story").join(began, "story")
+
+
+def event_payloads(members: DataFrame, most_events: int = 10, most_outlets: int = 6, most_headlines: int = 3) -> DataFrame:
+    """story, event, place, date, outlets, leans, headlines, summary: what a model is told of the newest events of a story, in time order.
+
+    members: story, event, id, title, summary, source_title, importance, published_at, lean. An event's members are bounded by its cluster.
+    """
+    strongest = F.array_sort(F.collect_list(F.struct((-F.col("importance")).alias("by"), "id", "title", "summary", "source_title", lean_label(F.col("lean")).alias("lean"))))
+    told = members.groupBy("story", "event").agg(F.min("published_at").alias("at"), strongest.alias("m"))
+    told = top_per_group(told, ["story"], [F.col("at").desc(), F.col("event")], most_events)
+    each = lambda name: F.transform("m", lambda x: x[name])
+    place = F.row_number().over(Window.partitionBy("story").orderBy("at", "event")) - 1
+    return told.select(
+        "story", "event", place.alias("place"), F.date_format(F.timestamp_millis("at"), "yyyy-MM-dd").alias("date"), F.slice(F.array_distinct(each("source_title")), 1, most_outlets).alias("outlets"),
+        F.array_distinct(each("lean")).alias("leans"), F.slice(each("title"), 1, most_headlines).alias("headlines"), F.substring(F.coalesce(F.get(each("summary"), F.lit(0)), F.lit("")), 1, 220).alias("summary"),
+    )

@@ -298,10 +298,12 @@ def html_title(spark, sf):
 
 def _sql_paragraphs() -> str:
     bare = "regexp_replace(html, '(?is)<!--.*?-->', ' ', 'g')"
-    for e in ("script", "style", "nav", "header", "footer", "aside", "form", "noscript", "svg", "figure", "iframe"):
+    for e in T.BOILERPLATE:
         bare = f"regexp_replace({bare}, '(?is)<{e}\\b[^>]*>.*?</{e}>', ' ', 'g')"
-    broken = f"regexp_replace({bare}, '(?i)</(p|div|h[1-6]|li|section|article|blockquote)>|<br\\s*/?>', chr(10), 'g')"
-    return f"list_filter(list_transform(string_split(regexp_replace({broken}, '<[^>]+>', ' ', 'g'), chr(10)), lambda p: trim(regexp_replace(p, '[ \\t\\r\\f]+', ' ', 'g'))), lambda p: length(p) >= 40)"
+    text = f"regexp_replace(regexp_replace(regexp_replace({bare}, '(?i)</(p|div|section|li|h[1-6]|br|tr)>', chr(10) || chr(10), 'g'), '(?i)<br\\s*/?>', chr(10), 'g'), '<[^>]*>', ' ', 'g')"
+    for entity, sign in (("nbsp", " "), ("amp", "&"), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "''")):
+        text = f"regexp_replace({text}, '&{entity};', '{sign}', 'gi')"
+    return f"list_filter(list_transform(string_split_regex({text}, '\\n{{2,}}'), lambda p: trim(regexp_replace(regexp_replace(p, '[ \\t]+', ' ', 'g'), '\\s*\\n\\s*', ' ', 'g'))), lambda p: length(p) >= 40)"
 
 
 @query(f"SELECT page_id, len(p)::BIGINT AS paragraphs, md5(array_to_string(p, chr(10))) AS digest FROM (SELECT page_id, {_sql_paragraphs()} AS p FROM pages)")

@@ -19,6 +19,16 @@ def activity(stream: DataFrame, time: str = "ts", width: str = "2 hours", late:
     return stream.withWatermark(time, late).groupBy(F.window(time, width), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
 
+def collected(arrived: DataFrame, folder: str, keys: tuple[str, ...] = ("event_id",), time: str = "ts") -> DataFrame:
+    """What an intake of rows keeps, as a table in folder: they land as files and are read as a stream, each key once within the watermark."""
+    spark = arrived.sparkSession
+    arrived.withColumn(time, F.col(time).cast("timestamp")).write.parquet(f"{folder}/landed")
+    stream = spark.readStream.schema(spark.read.parquet(f"{folder}/landed").schema).parquet(f"{folder}/landed")
+    run = deduplicated(stream, list(keys), time).writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/log").outputMode("append").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.parquet(f"{folder}/rows")
+
+
 def keep_queue(stream: DataFrame, queue_path: str, store: DataFrame, cutoff_ms: int, most: int, checkpoint: str) -> StreamingQuery:
     """Merge each micro-batch into a bounded, freshest-first queue table (one version for each batch; the newest is current)."""
 
