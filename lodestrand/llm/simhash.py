@@ -234,10 +234,13 @@ def deduplicate(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFram
     by = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
     first = groups.groupBy("component").agg(F.min(by).alias("b")).select(F.col("b.doc_id").alias("id"), F.col("b.text_key").alias("key"))
     repeated = groups.groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).agg(F.count("*").alias("n"))
-    stay = first.join(repeated, F.col("id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key"))).select("id", "key", "n")
+    stay = staged(first.join(repeated, F.col("id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key"))).select("id", "key", "n"))
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))  # whole rows: their names can't clash
     rows = rows.withColumn("_key", near_copies.text_key(F.col("row.text")))
-    kept = rows.join(stay, F.col("row.doc_id").eqNullSafe(F.col("id")) & (F.col("_key") == F.col("key")))
+    met = F.col("row.doc_id").eqNullSafe(F.col("id")) & (F.col("_key") == F.col("key"))
+    kept = rows.join(stay.where("n = 1"), met, "left_semi").select("row.*")
+    more = stay.where("n > 1")
+    if more.isEmpty():
+        return kept
     place = F.row_number().over(Window.partitionBy("id", "key").orderBy(F.to_json("row")))
-    more = kept.where("n > 1").withColumn("place", place).where("place = 1")
-    return kept.where("n = 1").select("row.*").unionByName(more.select("row.*"))
+    return kept.unionByName(rows.join(more, met).withColumn("place", place).where("place = 1").select("row.*"))
