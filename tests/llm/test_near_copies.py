@@ -82,3 +82,26 @@ def test_rows_of_one_document(spark):
     kept = simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string, _n string"))
     assert kept.columns == ["doc_id", "text", "_n"]
     assert sorted(kept.collect(), key=repr) == sorted([(1, a, "w"), (1, b, "y"), (None, "one of its own", "m"), (3, None, "e")], key=repr)
+
+
+def test_prefixes_rule_out_no_pair_that_has_the_similarity():
+    rng = np.random.default_rng(11)
+    kept = {True: 0, False: 0}
+    for _ in range(3000):
+        n = int(rng.integers(1, 80))
+        base = rng.choice(2**40, n + 40, replace=False).astype(np.uint64)
+        a, b = base[:n], np.concatenate([base[: int(n * rng.uniform(0.3, 1))], base[n : n + int(rng.integers(0, max(1, n // 4) + 1))]])
+        if not len(b):
+            continue
+        known = np.sort(rng.choice(base, int(rng.integers(0, 30)), replace=False))
+
+        def prefix(x):
+            x = x[np.lexsort((x, np.isin(x, known)))]
+            return x[: len(x) - int(np.ceil(0.8 * len(x) - 1e-9)) + 1]
+
+        shared = len(np.intersect1d(a, b))
+        near = shared >= 0.8 * (len(a) + len(b) - shared) - 1e-9
+        may = near_copies.reachable(prefix(a), prefix(b), len(a), len(b), known, 0.8)
+        assert may or not near
+        kept[bool(near)] += may
+    assert kept[True] > 300 and kept[False] < 1200
