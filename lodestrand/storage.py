@@ -25,10 +25,10 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
-def staged(df: DataFrame) -> DataFrame:
+def staged(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: a lost executor costs no recomputation beyond this."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/staged-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", compression).parquet(path)
     made = df.sparkSession.read.schema(df.schema).parquet(path)
     made._staged_path = path
     return made
