@@ -91,7 +91,7 @@ def op9_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two batches of edits: the second reads the trees that the first left, and encodes only what it touches."""
     ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     trees = edits.build_trees(table(spark, sf_dir, "documents"), ranks, pattern)
-    once = staged(edits.apply_edits(edited(trees, 0), ranks, pattern))
+    once = staged(edits.apply_edits(edited(trees, 0), ranks, pattern), "zstd")  # whole texts
     return edits.apply_edits(edited(once, 1), ranks, pattern).drop("leaves", "counts")
 
 
