@@ -20,6 +20,9 @@ from lodestrand.llm.byte_bpe import encode_texts, tokenizers_codec
 from lodestrand.storage import staged, with_rank
 
 
+HELD = 1 << 18
+
+
 class CapacityTree:
     """A segment tree over the capacities 0..top that marks those with open windows."""
 
@@ -98,10 +101,17 @@ def tokenized(docs: DataFrame, vocabulary: str, window: int = 2048, end_id: int
     ddl = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * keep_ids
     end = np.array([end_id], dtype="<u4").tobytes()
 
+    def told(docs_: pa.Array, owner: list, start: list, length: list, crc: list, total: list, ids: list) -> pa.RecordBatch:
+        columns = [docs_.take(pa.array(owner, pa.int64())), *(pa.array(x, pa.int64()) for x in (start, length, crc, total))]
+        if keep_ids:
+            ends = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
+            columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), dtype="<i4"))))
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * keep_ids)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = tokenizers_codec(vocabulary)
         for batch in batches:
-            owner, start, length, crc, total, ids = [], [], [], [], [], []
+            owner, start, length, crc, total, ids, held = [], [], [], [], [], [], 0
             for row, found in enumerate(encode_texts(batch.column(1), codec)):
                 raw = memoryview(found.astype("<u4").tobytes() + end)
                 n = len(raw) // 4
@@ -113,9 +123,13 @@ def tokenized(docs: DataFrame, vocabulary: str, window: int = 2048, end_id: int
                     crc.append(zlib.crc32(piece))
                     total.append(n)
                     if keep_ids:
-                        ids.append(np.frombuffer(piece, dtype="<i4"))
-            columns = [batch.column(0).take(pa.array(owner, pa.int64())), *(pa.array(x, pa.int64()) for x in (start, length, crc, total))]
-            yield pa.RecordBatch.from_arrays(columns + [pa.array(ids, pa.list_(pa.int32()))] * keep_ids, ["doc_id", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * keep_ids)
+                        ids.append(piece)
+                held += n
+                if held >= HELD:  # tokens that a task holds before it passes them on
+                    yield told(batch.column(0), owner, start, length, crc, total, ids)
+                    owner, start, length, crc, total, ids, held = [], [], [], [], [], [], 0
+            if held:
+                yield told(batch.column(0), owner, start, length, crc, total, ids)
 
     return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, ddl)
 
