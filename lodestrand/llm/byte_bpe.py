@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import os
 import re
 from collections.abc import Iterator
 from functools import cache
@@ -67,6 +68,7 @@ class TokenizersCodec:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core; each thread of the library would keep memory of its own
         self.tokenizer = Tokenizer.from_file(path)
         special = "|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values())
         self.safe = re.compile(rf" (?=\S)(?!(?:{special}))" if special else SAFE_CUT.pattern)  # white space before a special token ends a text of its own
