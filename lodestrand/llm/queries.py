@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrand.llm import byte_bpe, collisions, edits, packing, pivots, quality, revisits, sharding, simhash, toxicity
+from lodestrand.llm import byte_bpe, collisions, divergence, edits, main_text, packing, pivots, quality, revisits, sharding, simhash, toxicity, turns
 from lodestrand.llm.samples import remainder
 from lodestrand.storage import staged
 
@@ -102,6 +102,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (remainder(3) == 1).alias("held_out"), F.col("toxicity_score").alias("score"), (F.col("toxicity_score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
+def op12_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.repair_conversations(turns.damaged(table(spark, sf_dir, "conversations")))
+
+
+def op13_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.extract_main_text(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_revisits": op1_revisits,
     "op2_packing": op2_packing,
@@ -113,6 +125,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharding": op8_sharding,
     "op9_edits": op9_edits,
     "op10_toxicity": op10_toxicity,
+    "op11_divergence": op11_divergence,
+    "op12_turns": op12_turns,
+    "op13_main_text": op13_main_text,
 }
 
 _URL = "regexp_replace(trim(url), '#.*$', '')"
@@ -136,4 +151,13 @@ ORACLE: dict[str, str] = {
     "op3_pivots": """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
     s AS (SELECT q.vec_id AS query_id, v.vec_id, list_dot_product(q.v, v.v)::BIGINT AS score FROM v q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0)
     SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s QUALIFY rank <= 5""",
+    "op11_divergence": r"""WITH d AS (SELECT row_number() OVER () AS n, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+    t AS (SELECT lang, source, term, count(*) AS c, count(DISTINCT n) AS docs FROM (SELECT n, lang, source, unnest(terms) AS term FROM d) GROUP BY ALL),
+    k AS (SELECT lang, term, sum(c)::HUGEINT AS c FROM t GROUP BY ALL HAVING sum(docs) >= 30), l AS (SELECT lang, count(*)::HUGEINT AS v, sum(c) AS n FROM k GROUP BY lang),
+    g AS (SELECT lang, source, coalesce(n, 0)::HUGEINT AS n FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN (SELECT lang, source, sum(t.c) AS n FROM t SEMI JOIN k USING (lang, term) GROUP BY ALL) USING (lang, source)),
+    p AS (SELECT g.lang, g.source, k.term, coalesce(t.c, 0) AS c, 1 + 1000000000 * (coalesce(t.c, 0) + 5) // (g.n + 5 * l.v) AS p, 1 + 1000000000 * (k.c + 5) // (l.n + 5 * l.v) AS q FROM g JOIN k USING (lang) JOIN l USING (lang) LEFT JOIN t ON t.lang = g.lang AND t.source = g.source AND t.term = k.term),
+    f AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+    r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+    UNION ALL SELECT lang, source, 'term', term, (p - q)::BIGINT FROM p WHERE c > 0 AND p > q)
+    SELECT lang, source, part, item, value, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM r QUALIFY part = 'pair' OR rank <= 50""",
 }
