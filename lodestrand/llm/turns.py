@@ -58,7 +58,7 @@ ENDED = f"SELECT g, min({{'cost': cost, 'audit': audit}}) AS best FROM (SELECT g
 FAULTS = """CREATE OR REPLACE TEMP TABLE faults AS SELECT g, pos, turn, initial, (row_number() OVER (PARTITION BY g ORDER BY pos) - 1)::INTEGER AS i,
     CASE WHEN blank THEN 'blank' WHEN row_number() OVER (PARTITION BY g, role, text ORDER BY pos) > 1 THEN 'duplicate' WHEN truncated THEN 'truncated' ELSE '' END AS fault FROM turns"""
 STEPS = "CREATE OR REPLACE TEMP TABLE steps AS SELECT g, i, b, e, cost, audit FROM faults JOIN moves ON moves.kind = CASE WHEN initial IN ('s', 'u', 'a') THEN initial ELSE '?' END || CASE fault WHEN '' THEN '-' WHEN 'truncated' THEN 't' ELSE 'd' END"
-SUMMARY = """SELECT g, coalesce(least(max(turn)::HUGEINT - min(turn) + 1 - count(DISTINCT turn), 9223372036854775807), 0)::BIGINT AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+SUMMARY = """SELECT g, CASE WHEN count(turn) = 0 THEN 0 ELSE least(max(turn)::HUGEINT - min(turn) + 1 - count(DISTINCT turn), 9223372036854775807)::BIGINT END AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
     count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM (SELECT *, lag(initial) OVER (PARTITION BY g ORDER BY pos) AS before FROM faults) GROUP BY g"""
 
 
@@ -214,7 +214,8 @@ def _long(rows: DataFrame, run: int) -> DataFrame:
     before = F.concat(F.lag("closes").over(Window.partitionBy("conv_id").orderBy("run")), "opens")
     runs = runs.withColumn("illegal", F.size(pairs) + F.coalesce((~before.isin("su", "ua", "au")).cast("int"), F.lit(0)))
     faults = runs.groupBy("conv_id").agg(*(F.sum(c).cast("long").alias(c) for c in ("blank", "duplicate", "truncated", "illegal")))
-    gaps = light.select("conv_id", "turn").distinct().groupBy("conv_id").agg(F.coalesce(F.max("turn") - F.min("turn") + 1 - F.count("turn"), F.lit(0)).cast("long").alias("gaps"))
+    wide = F.col("turn").cast("decimal(38, 0)")
+    gaps = light.select("conv_id", "turn").distinct().groupBy("conv_id").agg(F.coalesce(F.least(F.max(wide) - F.min(wide) + 1 - F.count("turn"), F.lit(2**63 - 1)), F.lit(0)).cast("long").alias("gaps"))
 
     initial = F.when(F.col("initial").isin("s", "u", "a"), F.col("initial")).otherwise("?")
     letter = F.when(F.col("fault") == "", "-").when(F.col("fault") == "truncated", "t").otherwise("d")
