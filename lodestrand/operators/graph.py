@@ -85,15 +85,18 @@ def _settled(edges: DataFrame) -> bool:
     return told.where("up > 1 or (up = 1 and n > 1)").isEmpty()
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, rounds: int = 60, at_once: int = 0) -> DataFrame:
     """The smallest node that each linked node reaches.
 
     links: u, v of one orderable type; either direction, repeats and self-links are allowed, rows with a null are
     not links. Returns node, root for every node that has a link to another one. No links give no rows. The
-    number of rounds is logarithmic in the size of the largest component.
+    number of rounds is logarithmic in the size of the largest component. at_once: as soon as no more links are left, one task contracts them.
     """
     edges = staged(_contracted(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()))
     for _ in range(rounds):
+        if edges.limit(at_once + 1).count() <= at_once:  # what one task holds
+            edges = staged(_contracted(edges.coalesce(1)))
+            break
         if _settled(edges):
             break
         large, a = _large_star(edges)
