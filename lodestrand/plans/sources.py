@@ -188,7 +188,12 @@ def answer_places(spark, sf):
     return told.select("conv_id", "turn", F.md5("a.synopsis").alias("synopsis"), F.to_json("a.places").alias("places"))
 
 
-@query()
+@query(
+    """WITH t AS (SELECT conv_id, turn, list_filter(list_transform(string_split(replace(text, chr(10), chr(10) || '- ') || chr(10) || 'Outlook: more of it', chr(10)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS l FROM conversations WHERE role = 'assistant'),
+    p AS (SELECT conv_id, turn, list_filter(l, lambda x: NOT regexp_matches(x, '(?i)^outlook\\s*:') AND NOT regexp_matches(x, '^[-*•]\\s')) AS plain, list_transform(list_filter(l, lambda x: NOT regexp_matches(x, '(?i)^outlook\\s*:') AND regexp_matches(x, '^[-*•]\\s')), lambda x: regexp_replace(x, '^[-*•]\\s+', '')) AS b,
+    list_filter(l, lambda x: regexp_matches(x, '(?i)^outlook\\s*:'))[-1] AS o FROM t)
+    SELECT conv_id, turn, md5(coalesce(plain[1], '')) AS mood, to_json(list_transform(b, lambda x: CASE WHEN instr(x, ':') BETWEEN 2 AND 61 THEN {'title': trim(x[:instr(x, ':') - 1]), 'detail': trim(x[instr(x, ':') + 1:])} ELSE {'title': '', 'detail': x} END)[:5])::VARCHAR AS threads, trim(regexp_replace(o, '(?i)^outlook\\s*:', '')) AS outlook FROM p"""
+)
 def briefing_parts(spark, sf):
     """Assistants' turns read as briefings: mood, threads, outlook."""
     said = F.concat(F.regexp_replace("text", "\n", "\n- "), F.lit("\nOutlook: more of it"))

@@ -18,34 +18,44 @@ def one(spark, column):
     return spark.range(1).select(column.alias("x")).first()["x"]
 
 
-def test_answers_with_a_list():
-    told = answers.read_ask("```text\nTwo things happen.\n\n- **Kyiv** (UA): strikes go on\n2) Berlin [de] - a vote\n* Kyiv (UA): again\n- Nowhere\n```")
+def read(spark, reader, text, *more):
+    said = F.lit(text).cast("string")
+    found = one(spark, reader(said, *more))
+    return found.asDict(recursive=True) if found is not None else None
+
+
+def test_answers_with_a_list(spark):
+    told = read(spark, answers.ask, "```text\nTwo things happen.\n\n- **Kyiv** (UA): strikes go on\n2) Berlin [de] - a vote\n* Kyiv (UA): again\n- Nowhere\nafter the list\n```")
     assert told == {"synopsis": "Two things happen.", "places": [
         {"label": "Kyiv", "iso2": "ua", "blurb": "strikes go on"}, {"label": "Berlin", "iso2": "de", "blurb": "a vote"}, {"label": "Nowhere", "iso2": "", "blurb": ""},
     ]}
-    assert len(answers.read_ask("\n".join(f"- Place{i} (FR): x" for i in range(20)))["places"]) == 8
+    assert len(read(spark, answers.ask, "\n".join(f"- Place{i} (FR): x" for i in range(20)))["places"]) == 8
 
 
-def test_answers_in_running_text():
-    told = answers.read_ask("Es wird ernst. Alemania (DE): una votación. Turquía (TR): un discurso.")
-    assert told["synopsis"] == "Es wird ernst." and [(p["label"], p["iso2"], p["blurb"]) for p in told["places"]] == [("Alemania", "de", "una votación."), ("Turquía", "tr", "un discurso.")]
-    assert answers.read_ask(None) == {"synopsis": "", "places": []} and answers.read_ask("plain")["places"] == []
+def test_answers_in_running_text(spark):
+    places = lambda text: [(p["label"], p["iso2"], p["blurb"]) for p in read(spark, answers.ask, text)["places"]]
+    text = "Es wird ernst. Alemania (DE): una votación. Turquía (TR): un discurso."
+    assert read(spark, answers.ask, text)["synopsis"] == "Es wird ernst." and places(text) == [("Alemania", "de", "una votación."), ("Turquía", "tr", "un discurso.")]
+    assert places("Сегодня, в Киеве (UA): обстрел.") == [("Киеве", "ua", "обстрел.")]  # a label begins with a capital of any script
+    assert places("Although the situation remains unclear for everyone in Kyiv (UA): calm.") == [("Kyiv", "ua", "calm.")]  # and has 41 characters at most
+    assert read(spark, answers.ask, None) == {"synopsis": "", "places": []} and places("plain") == []
 
 
-def test_briefings():
-    told = answers.read_briefing("It is calm.\n\n- Markets: they rise\n- no label here\nOUTLOOK: more of it\n")
+def test_briefings(spark):
+    told = read(spark, answers.briefing, "It is calm.\n\n- Markets: they rise\n- no label here\nOUTLOOK: more of it\n")
     assert told == {"mood": "It is calm.", "threads": [{"title": "Markets", "detail": "they rise"}, {"title": "", "detail": "no label here"}], "outlook": "more of it"}
-    assert answers.read_briefing("One.\nTwo.") == {"mood": "One.", "threads": [], "outlook": "Two."}
-    assert len(answers.read_briefing("\n".join(f"- a: {i}" for i in range(9)))["threads"]) == 5 and answers.read_briefing(None)["mood"] == ""
+    assert read(spark, answers.briefing, "One.\nTwo.") == {"mood": "One.", "threads": [], "outlook": "Two."}
+    assert read(spark, answers.briefing, "One.\n- a: b\nTwo.")["outlook"] == "" and read(spark, answers.briefing, "Outlook: x\nOne.\nTwo.")["outlook"] == "x"
+    assert len(read(spark, answers.briefing, "\n".join(f"- a: {i}" for i in range(9)))["threads"]) == 5 and read(spark, answers.briefing, None)["mood"] == ""
 
 
 def test_plain_articles(spark):
     body = "This is a paragraph of over forty letters, which is prose."
-    assert answers.read_article(f'# "A title"\n\n{body}\n\njson [') == {"title": "A title", "paragraphs": [body]}
-    assert answers.read_article(body, "own") == {"title": "own", "paragraphs": [body]} and answers.read_article("short\n\nshort") is None and answers.read_article(" ") is None
-    assert answers.clean_title('```"T"```', "own") == "T" and answers.clean_title("{}", "own") == "own" and answers.clean_title(None, "own") == "own"
-    rows = spark.createDataFrame([(f"T\n\n{body}",), (None,)], "t string").select(answers.article(F.col("t")).alias("a"), answers.ask(F.col("t")).alias("b"), answers.briefing(F.col("t")).alias("c")).collect()
-    assert rows[0]["a"]["title"] == "T" and rows[1]["a"]["title"] is None and rows[1]["b"]["places"] == [] and rows[0]["c"]["mood"] == "T"
+    assert read(spark, answers.article, f'# "A title"\n\n{body}\n\njson [') == {"title": "A title", "paragraphs": [body]}
+    assert read(spark, answers.article, body, F.lit("own")) == {"title": "own", "paragraphs": [body]}
+    assert all(read(spark, answers.article, x) is None for x in ("short\n\nshort", " ", None))
+    title = lambda text: one(spark, answers.clean_title(F.lit(text).cast("string"), F.lit("own")))
+    assert title('```"T"```') == "T" and title("{}") == "own" and title(None) == "own"
 
 
 def test_registered_answers_read_every_turn(spark):

@@ -47,9 +47,11 @@ def test_feeds(spark):
     rss = "<rss><channel><item><title> A </title><link>http://a/1</link><description>d</description><pubDate>Mon, 01 Jan 2024 00:00:00 +0000</pubDate></item><item><title></title><link>http://a/2</link></item></channel></rss>"
     atom = '<feed><entry><title>B</title><link rel="self" href="http://b/0"/><link rel="alternate" href="http://b/1"/><updated>2024-01-01T00:00:00Z</updated></entry><entry><title>C</title><link href="http://b/2"/><link rel="self" href="http://b/3"/></entry></feed>'
     rows = {r["title"]: r for r in feeds.feed_entries(spark.createDataFrame([("s", rss), ("t", atom)], "source_id string, xml string")).collect()}
-    assert set(rows) == {"A", "B", "C"}
+    assert set(rows) == {"A", "", "B", "C"}  # an entry without title is read, but is no item
     assert rows["A"]["published_at"] == rows["B"]["published_at"] == 1704067200000 and rows["C"]["published_at"] == 0
     assert rows["B"]["url"] == "http://b/1"
+    sources = spark.createDataFrame([(x, x, "text", "world", 0.0, 0.5, "zz") for x in "st"], "source_id string, source_title string, kind string, topic string, lean double, confidence double, zone string")
+    assert {r["title"] for r in feeds.feed_items(spark.createDataFrame([("s", rss), ("t", atom)], "source_id string, xml string"), sources).collect()} == {"A", "B", "C"}
 
 
 def test_search_hits(spark):
