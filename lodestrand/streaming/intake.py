@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -49,3 +51,40 @@ def keep_state(stream: DataFrame, state_path: str, key: str, version: str, check
         upsert(before, batch, key, version).write.mode("overwrite").parquet(f"{state_path}/batch={batch_id}")
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def replayed(arrived: DataFrame, batch: str, keep: Callable[[DataFrame], DataFrame], folder: str) -> DataFrame:
+    """What a stream keeps of rows that land batch by batch, as a table in folder.
+
+    The batches (whole numbers, few) land in their order. Each is read by a run that goes on from the checkpoint of the last, so watermarks, state and
+    what is late are those of a stream that is fed as the rows arrive, and a run that fails is repeated from its checkpoint.
+    """
+    spark = arrived.sparkSession
+    rows = arrived.drop(batch)
+    for b in sorted(r[0] for r in arrived.select(batch).distinct().collect()):
+        arrived.where(F.col(batch) == b).drop(batch).write.mode("append").parquet(f"{folder}/landed")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{folder}/landed")
+        run = keep(stream).writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/log").outputMode("append").trigger(availableNow=True).start()
+        run.awaitTermination()
+    return spark.read.parquet(f"{folder}/rows")
+
+
+def lifetimes(events: DataFrame, states: Sequence[str], ttl: str = "5 days", late: str = "24 hours", retry: str = "1 hour") -> DataFrame:
+    """id, began, ended, state, reached_at, failures, retry_at: the lives of items, in a batch or as a stream that gives a life when it has ended.
+
+    events: id, state, at (timestamp). A life goes on while its item's events follow each other within ttl; it ends, and its state is dropped, when the
+    watermark has passed ttl after the last. Its state is the farthest of `states` that an event tells of, reached when first told; states don't go
+    back, whatever order events arrive in. Other states are failures: the item is tried again `retry` after the last one, doubled for each before it (ten times at most), unless it went on after it.
+    """
+    place = F.array_position(F.array(*(F.lit(s) for s in states)), F.col("state"))
+    known = F.when(place > 0, place)
+    life = events.withWatermark("at", late).groupBy("id", F.session_window("at", ttl).alias("life"))
+    told = life.agg(
+        F.max("at").alias("ended"), F.max(F.struct(known.alias("place"), (-F.unix_micros("at")).alias("before"))).alias("far"), F.count_if(place == 0).alias("failures"),
+        F.max(F.when(place == 0, F.col("at"))).alias("failed_at"), F.max(F.when(place > 0, F.col("at"))).alias("went_on"),
+    )
+    reached = F.timestamp_micros(-F.col("far.before"))
+    wait = F.expr(f"interval {retry}") * F.pow(F.lit(2), F.least(F.col("failures") - 1, F.lit(10)))
+    due = F.when(F.col("failed_at").isNotNull() & (F.col("went_on").isNull() | (F.col("failed_at") > F.col("went_on"))), F.col("failed_at") + wait)
+    state = F.when(F.col("far.place") > 0, F.element_at(F.array(*(F.lit(s) for s in states)), F.col("far.place").cast("int")))
+    return told.select("id", F.col("life.start").alias("began"), "ended", state.alias("state"), F.when(F.col("far.place") > 0, reached).alias("reached_at"), "failures", due.alias("retry_at"))
