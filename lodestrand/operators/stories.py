@@ -12,6 +12,7 @@ from lodestrand.functions.text import story_hash
 from lodestrand.operators import aggregate
 from lodestrand.operators.greedy import HOUR_MS, claims
 from lodestrand.operators.ordering import first_per_key, top_per_group
+from lodestrand.operators.retrieve import neighbours
 
 
 def forced_joins(members: DataFrame) -> DataFrame:
@@ -69,12 +70,39 @@ def match_stories(specs: DataFrame, stories: DataFrame, least: float = 0.5) -> D
 
 
 def related(stories: DataFrame, k: int = 4) -> DataFrame:
-    """story, other, score: the k stories of the same world that share most tokens. stories: world, story, tokens (distinct). A plan bounds a world's stories."""
-    exploded = stories.select("world", "story", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
-    other = exploded.select("world", F.col("story").alias("other"), F.col("n").alias("m"), "token")
-    shared = exploded.join(other, ["world", "token"]).where("story <> other").groupBy("world", "story", "other", "n", "m").agg(F.count("*").alias("shared"))
-    scored = shared.select("world", "story", "other", (F.col("shared") / (F.col("n") + F.col("m") - F.col("shared"))).alias("score"))
-    return top_per_group(scored, ["world", "story"], [F.col("score").desc(), F.col("other")], k)
+    """story, other, score: the k nearest stories of the same world with a score over 0, ties by id.
+
+    stories: world, story, tokens (distinct) and, where it has one, vector (its centroid). Two stories with a vector are compared by their cosine, others
+    by the Jaccard of their tokens. Scores are rounded to nine places.
+    """
+    rows = stories.select("world", F.col("story").alias("id"), "tokens", "vector", (F.coalesce(F.size("vector"), F.lit(0)) <= 0).alias("bare"))
+    near = neighbours(rows.where("not bare").select("world", "id", "vector"), "world", k).where("score > 0")
+    exploded = rows.select("world", "id", "bare", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
+    other = exploded.select("world", F.col("id").alias("other"), F.col("bare").alias("_bare"), F.col("n").alias("m"), "token")
+    shared = exploded.join(other, ["world", "token"]).where("id <> other and (bare or _bare)").groupBy("world", "id", "other", "n", "m").agg(F.count("*").alias("shared"))
+    alike = shared.select("world", "id", "other", F.round(F.col("shared") / (F.col("n") + F.col("m") - F.col("shared")), 9).alias("score"))
+    both = near.unionByName(alike).withColumnRenamed("id", "story")
+    return top_per_group(both, ["world", "story"], [F.col("score").desc(), F.col("other")], k)
+
+
+def related_items(rows: DataFrame, asks: Column, k: int = 6) -> DataFrame:
+    """id, other, score: what to show beside each item for which `asks` holds, the k best, ties by id.
+
+    rows: id, keywords, topic, vector. An item with a vector takes the nearest of those with one by cosine. One without takes what shares keywords
+    or its topic: a point for each shared keyword, and one for the topic. Rows that share the topic alone score one, so the first k + 1 of a topic are enough of them.
+    """
+    rows = rows.withColumn("_asks", asks).withColumn("_bare", F.coalesce(F.size("vector"), F.lit(0)) <= 0)
+    near = neighbours(rows.where("not _bare").select(F.lit(0).alias("_all"), "id", "vector", "_asks"), "_all", k, F.col("_asks")).drop("_all")
+    asking = rows.where("_asks and _bare").select("id", F.col("topic").alias("_topic"), F.explode_outer(F.array_distinct(F.transform("keywords", F.lower))).alias("word"))
+    told = rows.select(F.col("id").alias("other"), "topic", F.explode(F.transform("keywords", F.lower)).alias("word"))
+    words = asking.join(told, "word").where("id <> other").select("id", "other", F.lit(1).alias("point"))
+    topics = asking.select("id", "_topic").distinct()
+    met = words.select("id", "other").distinct().join(topics, "id").join(rows.select(F.col("id").alias("other"), "topic"), "other").where("topic = _topic").select("id", "other", F.lit(1).alias("point"))
+    first = top_per_group(rows.select(F.col("id").alias("other"), "topic"), ["topic"], [F.col("other")], k + 1)
+    fill = topics.join(first, F.col("topic") == F.col("_topic")).where("id <> other").select("id", "other", F.lit(1).alias("point"))
+    fill = fill.join(met.select("id", "other"), ["id", "other"], "left_anti")
+    scored = words.unionByName(met).unionByName(fill).groupBy("id", "other").agg(F.sum("point").cast("double").alias("score"))
+    return top_per_group(near.unionByName(scored), ["id"], [F.col("score").desc(), F.col("other")], k)
 
 
 def _strongest_first(*columns: Column) -> Column:

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from lodestrand.functions import reading as R
 from lodestrand.functions import text as T
 from lodestrand.functions.replies import ENTITIES
-from lodestrand.operators import ordering
+from lodestrand.operators import ordering, stories
 from lodestrand.plans.adapters import NOW_MS, items, table
-from lodestrand.plans.queries import SQL_ITEMS, r6
+from lodestrand.plans.queries import SQL_ITEMS, r6, with_vectors
 from lodestrand.plans.registry import query
 
 STOP = ", ".join(f"'{w}'" for w in R.INTEREST_STOP)
@@ -124,13 +124,12 @@ def markdown_pages(spark, sf):
 
 
 @query(
-    f"""WITH {SQL_ITEMS}, c AS (SELECT id, topic, list_sort(list_distinct(list_filter(string_split_regex(lower(title), '[^a-z0-9]+'), lambda t: length(t) >= 2))) AS w FROM items), q AS (SELECT * FROM c WHERE id = 2)
-    SELECT c.id, round(len(list_intersect(c.w, q.w)) + CASE WHEN c.topic = q.topic THEN 0.5 ELSE 0 END, 6) AS score FROM c, q WHERE c.id <> q.id AND len(list_intersect(c.w, q.w)) > 0 ORDER BY score DESC, c.id LIMIT 20"""
+    f"""WITH {SQL_ITEMS}, c AS (SELECT id, topic, list_distinct(list_filter(string_split_regex(lower(title), '[^a-z0-9]+'), lambda t: length(t) >= 2)) AS w, embedding::DOUBLE[] AS v FROM items LEFT JOIN embeddings ON id % 4 <> 0 AND vec_id = id // 5 * 5), q AS (SELECT * FROM c WHERE id % 20 = 3 OR id % 20 = 8),
+    p AS (SELECT q.id, c.id AS other, CASE WHEN q.v IS NOT NULL THEN round(list_cosine_similarity(q.v, c.v), 9) ELSE len(list_intersect(q.w, c.w)) + (q.topic = c.topic)::INTEGER END AS score FROM q JOIN c ON q.id <> c.id WHERE CASE WHEN q.v IS NOT NULL THEN c.v IS NOT NULL ELSE len(list_intersect(q.w, c.w)) > 0 OR q.topic = c.topic END)
+    SELECT id, other, round(score, 6) AS score FROM p QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, other) <= 6"""
 )
 def related_items(spark, sf):
-    """Items that share words with one item, its topic counting half a word."""
-    rows = items(spark, sf).select("id", "topic", F.array_distinct(T.ascii_tokens(F.col("title"), 2)).alias("w"))
-    one = rows.where("id = 2").limit(1).select(F.col("id").alias("_id"), F.col("topic").alias("_topic"), F.col("w").alias("_w"))
-    shared = F.size(F.array_intersect("w", "_w"))
-    told = rows.join(F.broadcast(one), F.col("id") != F.col("_id")).where(shared > 0)  # one row
-    return told.select("id", r6(shared + F.when(F.col("topic") == F.col("_topic"), 0.5).otherwise(0.0)).alias("score")).orderBy(F.col("score").desc(), "id").limit(20)
+    """What is shown beside some items (one in ten, half of them without a vector): the nearest by vector, or by words and topic."""
+    rows = with_vectors(spark, sf, items(spark, sf)).select("id", "topic", F.array_distinct(T.ascii_tokens(F.col("title"), 2)).alias("keywords"), F.col("embedding").alias("vector"))
+    found = stories.related_items(rows, (F.col("id") % 20).isin(3, 8))
+    return found.select("id", "other", r6(F.col("score")).alias("score"))

@@ -126,27 +126,35 @@ def dealt_batch(spark, sf):
     return told.agg(F.count("*").alias("n"), F.count_if("fresh").alias("fresh"), F.max("seen").alias("latest"))
 
 
+SQL_TITLE = "list_sort(list_distinct(list_filter(string_split_regex(lower(split_part(text, chr(10), 1)), '[^a-z0-9]+'), lambda t: length(t) >= 4)))"
+
+
 @query(
-    """WITH c AS (SELECT label AS country, vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings), s AS (SELECT *, row_number() OVER (PARTITION BY country ORDER BY id) AS position FROM c QUALIFY position <= 5)
-    SELECT c.country, c.id, s.id AS seed, round(2 * list_cosine_similarity(c.v, s.v), 6) AS score FROM c JOIN s USING (country) WHERE list_cosine_similarity(c.v, s.v) >= 0.1
-    QUALIFY row_number() OVER (PARTITION BY c.country, c.id ORDER BY round(2 * list_cosine_similarity(c.v, s.v), 9) DESC, position) = 1"""
+    f"""WITH c AS (SELECT label AS country, vec_id AS id, CASE WHEN vec_id % 4 <> 0 THEN embedding::DOUBLE[] END AS v, {SQL_TITLE} AS w FROM embeddings JOIN documents ON doc_id = vec_id), s AS (SELECT *, row_number() OVER (PARTITION BY country ORDER BY id) AS position FROM c QUALIFY position <= 5),
+    p AS (SELECT c.country, c.id, s.id AS seed, position, len(list_intersect(c.w, s.w)) AS shared, coalesce(list_cosine_similarity(c.v, s.v), 0) AS near FROM c JOIN s USING (country))
+    SELECT country, id, seed, round(2 * near + 0.1 * shared, 6) AS score FROM p WHERE shared >= 2 OR near >= 0.5 QUALIFY row_number() OVER (PARTITION BY country, id ORDER BY round(2 * near + 0.1 * shared, 9) DESC, position) = 1"""
 )
 def assigned_seeds(spark, sf):
-    rows = table(spark, sf, "embeddings").select(F.col("label").alias("country"), F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vector"), F.array().cast("array<string>").alias("tokens"))
+    """Documents with their vectors (every fourth has none): the seed of its group that each shares most with, by words of titles or by vector."""
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.array_distinct(T.ascii_tokens(F.split("text", "\n")[0], 4)).alias("tokens"))
+    rows = table(spark, sf, "embeddings").select(F.col("label").alias("country"), F.col("vec_id").alias("id"), F.when(F.col("vec_id") % 4 != 0, F.col("embedding").cast("array<double>")).alias("vector")).join(docs, "id")
     seeds = ordering.top_per_group(rows, ["country"], [F.col("id")], 5).select("country", F.col("id").alias("seed"), F.col("rank").alias("position"), "tokens", "vector")
-    return stories.assign_seeds(rows, seeds, least_cosine=0.1).select("country", "id", "seed", r6(F.col("score")).alias("score"))
+    return stories.assign_seeds(rows, seeds).select("country", "id", "seed", r6(F.col("score")).alias("score"))
 
 
 SQL_WORDS = "list_sort(list_distinct(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda t: length(t) >= 6)))"
 
 
 @query(
-    f"""WITH s AS (SELECT doc_id // 12 AS world, doc_id AS story, {SQL_WORDS} AS w FROM documents), p AS (SELECT a.story, b.story AS other, len(list_intersect(a.w, b.w)) AS i, len(a.w) AS n, len(b.w) AS m FROM s a JOIN s b ON a.world = b.world AND a.story <> b.story)
-    SELECT story, other, round(i / (n + m - i), 6) AS score FROM p WHERE i > 0 QUALIFY row_number() OVER (PARTITION BY story ORDER BY i / (n + m - i) DESC, other) <= 4"""
+    f"""WITH s AS (SELECT doc_id // 12 AS world, doc_id AS story, {SQL_WORDS} AS w, embedding::DOUBLE[] AS v FROM documents LEFT JOIN embeddings ON doc_id % 4 <> 0 AND vec_id = doc_id // 5 * 5), p AS (SELECT a.story, b.story AS other, len(list_intersect(a.w, b.w)) AS i, len(a.w) AS n, len(b.w) AS m, a.v AS v, b.v AS u FROM s a JOIN s b ON a.world = b.world AND a.story <> b.story),
+    r AS (SELECT story, other, round(CASE WHEN v IS NOT NULL AND u IS NOT NULL THEN list_cosine_similarity(v, u) WHEN i > 0 THEN i / (n + m - i) ELSE 0 END, 9) AS score FROM p)
+    SELECT story, other, round(score, 6) AS score FROM r WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY story ORDER BY score DESC, other) <= 4"""
 )
 def related_stories(spark, sf):
-    docs = table(spark, sf, "documents").select(F.expr("doc_id div 12").alias("world"), F.col("doc_id").alias("story"), F.array_distinct(T.ascii_tokens(F.col("text"), 6)).alias("tokens"))
-    return stories.related(docs).select("story", "other", r6(F.col("score")).alias("score"))
+    """Stories of a world with theirs nearest: by vectors where both have one, else by words."""
+    docs = with_vectors(spark, sf, table(spark, sf, "documents").withColumn("id", F.col("doc_id"))).withColumnRenamed("embedding", "vector")
+    rows = docs.select(F.expr("doc_id div 12").alias("world"), F.col("doc_id").alias("story"), F.array_distinct(T.ascii_tokens(F.col("text"), 6)).alias("tokens"), "vector")
+    return stories.related(rows).select("story", "other", r6(F.col("score")).alias("score"))
 
 
 def issue_inputs(spark, sf):
