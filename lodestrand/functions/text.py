@@ -24,7 +24,7 @@ EVENT_KEYWORDS = {
     "economy": ["inflation", "recession", "stock market", "tariff", "trade war", "gdp", "currency", "interest rate", "bankrupt", "oil price", "economic"],
 }
 #: Letters with accents and what they are without, from the character tables.
-_FOLDED = {chr(c): unicodedata.normalize("NFD", chr(c))[0] for c in range(0xC0, 0x250) if len(unicodedata.normalize("NFD", chr(c))) > 1 and unicodedata.normalize("NFD", chr(c))[0].isascii()}
+_FOLDED = {chr(c): unicodedata.normalize("NFD", chr(c))[0] for c in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00), 0x212A, 0x212B) if unicodedata.normalize("NFD", chr(c)) != chr(c) and unicodedata.normalize("NFD", chr(c))[0].isascii()}
 #: Fixed value: words that begin the excluded part of a query.
 NEGATION = r"(?i)\b(?:not|no|without|except|excluding|minus|sans|avoid)\b"
 

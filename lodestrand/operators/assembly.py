@@ -10,7 +10,7 @@ from lodestrand.functions.numbers import DAY_MS, HOUR_MS, base_score, cosine
 from lodestrand.functions.reading import relevance
 from lodestrand.functions.replies import decode_entities
 from lodestrand.operators.greedy import near_clones, rank_items
-from lodestrand.operators.ordering import first_per_key, interleave_by_provider, recency_bucket
+from lodestrand.operators.ordering import first_per_key, interleave_by_provider, recency_bucket, top_per_group
 from lodestrand.operators.retrieve import lexical_rank
 
 FRONT = "front"
@@ -159,3 +159,53 @@ def pick_video(hits: DataFrame, sources: DataFrame, least_cosine: float = 0.5, l
     by_vector = F.coalesce(F.size("_v"), F.lit(0)) > 0
     told = met.withColumns({"score": F.when(by_vector, near).otherwise(shared), "least": F.when(by_vector, least_cosine).otherwise(float(least_shared))})
     return first_per_key(told.where("score is not null"), ["source"], [F.col("score").desc(), F.col("position")]).where("score >= least").select("source", "video", "score")
+
+
+def pool_sources(pools: DataFrame, nodes: DataFrame, outlets: DataFrame, curated: DataFrame, default: str = "frontpage", most: int = 6) -> DataFrame:
+    """pool, source: what each pool draws on.
+
+    A geographic pool takes the outlets of its node: of a country, of a country's region, or of a continent's countries (the first `most` of each). A regional
+    pool takes those of its country, any other the curated sources of the world of its name, or of the default one. Unknown nodes have none.
+    pools: pool; nodes: node, parent, level, cc, region; outlets: cc, region, source, position; curated: world, source.
+    """
+    told = pools.select("pool", is_geo(F.col("pool")).alias("geo"), F.when(is_geo(F.col("pool")), F.substring("pool", F.lit(5), F.length("pool"))).alias("node"), F.when(F.startswith("pool", F.lit("place-")), F.substring("pool", F.lit(7), F.length("pool"))).alias("of"))
+    here = nodes.where("level <> 'continent'").select("node", "cc", F.col("region").alias("_region"))
+    by_node = told.where("geo").join(here, "node").join(outlets, "cc").where("_region is null or region = _region").select("pool", "source")
+    first = top_per_group(outlets, ["cc"], [F.col("position")], most).select("cc", "source")
+    countries = nodes.where("level = 'country'").select(F.col("parent").alias("node"), "cc")
+    by_continent = told.where("geo").join(nodes.where("level = 'continent'").select("node"), "node").join(countries, "node").join(first, "cc").select("pool", "source")
+    known = outlets.select(F.col("cc").alias("of")).unionByName(nodes.where("cc is not null").select(F.col("cc").alias("of"))).distinct()
+    regional = told.where("not geo").join(known, "of", "left_semi")
+    by_country = regional.join(outlets.withColumnRenamed("cc", "of"), "of").select("pool", "source")
+    topical = told.where("not geo").select("pool").join(regional.select("pool"), "pool", "left_anti")
+    worlds = curated.select(F.col("world").alias("_world")).distinct()
+    named = topical.join(worlds, F.col("pool") == F.col("_world"), "left").select("pool", F.coalesce("_world", F.lit(default)).alias("world"))
+    return by_node.unionByName(by_continent).unionByName(by_country).unionByName(named.join(curated, "world").select("pool", "source"))
+
+
+#: A topic's name and colour, in the order in which topics are shown; what an unknown one looks like.
+TOPIC_LOOKS = {
+    "world": ("World", "#6EA8FE"), "politics": ("Politics", "#E0A94B"), "economics": ("Economics", "#5BD6A6"), "technology": ("Technology", "#56C2D6"),
+    "science": ("Science", "#9B8CFF"), "health": ("Health", "#E08AA8"), "history": ("History", "#C9A06B"), "culture": ("Culture", "#D98C5F"),
+}
+UNKNOWN_COLOR = "#9AA4B2"
+
+
+def topic_shelf(items: DataFrame) -> DataFrame:
+    """topic, label, color, n, position: the topics that items have, in the order in which they are shown, unknown ones last by name. items: topic."""
+    look = lambda i: F.element_at(F.create_map(*(F.lit(x) for k, v in TOPIC_LOOKS.items() for x in (k, v[i]))), F.col("topic"))
+    place = F.array_position(F.array(*(F.lit(k) for k in TOPIC_LOOKS)), F.col("topic"))
+    counted = items.groupBy("topic").agg(F.count("*").alias("n"))
+    order = Window.orderBy(F.when(place > 0, place).asc_nulls_last(), "topic")  # a row for each topic
+    return counted.select("topic", F.coalesce(look(0), "topic").alias("label"), F.coalesce(look(1), F.lit(UNKNOWN_COLOR)).alias("color"), "n", F.row_number().over(order).cast("long").alias("position"))
+
+
+def marked_global(stored: DataFrame, named: DataFrame, now_ms: int, window_ms: int = 7 * DAY_MS) -> DataFrame:
+    """stored with `global` filled in where it was asked for: analysed rows of regional pools, no clickbait, within the window, that have no mark yet.
+
+    named: pool, id of the rows that were judged global; what was asked about and isn't named is local. asked tells which rows changed.
+    """
+    asked = is_place(F.col("pool")) & F.col("analyzed") & ~F.col("clickbait") & F.col("global").isNull() & (F.col("published_at") >= now_ms - window_ms)
+    told = named.select("pool", "id").distinct().withColumn("_named", F.lit(True))
+    rows = stored.join(told, ["pool", "id"], "left").withColumn("asked", asked)
+    return rows.withColumn("global", F.when(F.col("asked"), F.coalesce("_named", F.lit(False))).otherwise(F.col("global"))).drop("_named")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lodestrand.functions import numbers as N
 from lodestrand.functions import reading as R
 from lodestrand.functions import text as T
+from lodestrand.functions.replies import TOPICS
 from lodestrand.operators import assembly as A
 from lodestrand.plans.adapters import NOW_MS, items, stored, table
 from lodestrand.plans.queries import SQL_BUCKET, SQL_ITEMS, SQL_TOKENS, r6, with_vectors
@@ -113,19 +114,18 @@ def side_countries(spark, sf):
 
 
 @query(
-    f"""WITH {SQL_ITEMS}, s AS (SELECT id AS source, {SQL_TOKENS} AS t FROM items WHERE id % 4 = 0), h AS (SELECT id AS video, id // 4 * 4 AS source, id % 4 AS position, {SQL_TOKENS} AS t FROM items WHERE id % 4 <> 0),
-    w AS (SELECT h.source, video, position, len(list_filter(h.t, lambda x: list_contains(s.t, x)))::DOUBLE AS score FROM h JOIN s USING (source) WHERE h.source % 8 = 0), q AS (SELECT h.source, video, position, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS score
-    FROM h JOIN s USING (source) JOIN embeddings a ON a.vec_id = video JOIN embeddings b ON b.vec_id = h.source WHERE h.source % 8 = 4), m AS (SELECT *, 2.0 AS least FROM w UNION ALL SELECT *, 0.1 FROM q),
-    k AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY source ORDER BY score DESC, position) = 1) SELECT source, video, round(score, 6) AS score FROM k WHERE score >= least"""
+    f"""WITH {SQL_ITEMS}, i AS (SELECT id, {SQL_TOKENS} AS t, embedding::DOUBLE[] AS v FROM items LEFT JOIN embeddings ON vec_id = id // 5 * 5), p AS (SELECT s.id AS source, h.id AS video, h.id % 4 AS position, s.id % 8 = 4 AND s.v IS NOT NULL AS near, len(list_filter(h.t, lambda x: list_contains(s.t, x)))::DOUBLE AS shared, round(list_cosine_similarity(s.v, h.v), 9) AS cosine
+    FROM i s JOIN i h ON h.id // 4 * 4 = s.id AND h.id <> s.id), m AS (SELECT source, video, position, near, CASE WHEN near THEN cosine ELSE shared END AS score FROM p), k AS (SELECT * FROM m WHERE score IS NOT NULL QUALIFY row_number() OVER (PARTITION BY source ORDER BY score DESC, position) = 1)
+    SELECT source, video, round(score, 6) AS score FROM k WHERE score >= CASE WHEN near THEN 0.5 ELSE 2 END"""
 )
 def fitting_videos(spark, sf):
-    """Of the three items after every fourth, the one that fits it: by words for every other, by vectors for the rest (those that have one)."""
-    rows = items(spark, sf).withColumn("tokens", T.title_tokens(F.col("title"))).select("id", "tokens")
-    vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vector"))
-    rows = rows.join(vectors, "id", "left").where(F.col("vector").isNotNull() | (F.expr("id div 4 * 4") % 8 == 0))
+    """Of the three items after every fourth, the one that fits it: by words for every other, by vectors for the rest where they have one."""
+    rows = items(spark, sf).withColumns({"tokens": T.title_tokens(F.col("title")), "_k": F.expr("id div 5 * 5")}).select("id", "tokens", "_k")
+    vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("_k"), F.col("embedding").cast("array<double>").alias("vector"))
+    rows = rows.join(vectors, "_k", "left")
     sources = rows.where("id % 4 = 0").select(F.col("id").alias("source"), "tokens", F.when(F.col("id") % 8 == 4, F.col("vector")).alias("vector"))
     hits = rows.where("id % 4 <> 0").select(F.expr("id div 4 * 4").alias("source"), F.col("id").alias("video"), (F.col("id") % 4).alias("position"), "tokens", "vector")
-    return A.pick_video(hits, sources, least_cosine=0.1).select("source", "video", r6(F.col("score")).alias("score"))
+    return A.pick_video(hits, sources).select("source", "video", r6(F.col("score")).alias("score"))
 
 
 @query(
@@ -184,3 +184,55 @@ def stored_anywhere(spark, sf):
     asked = items(spark, sf).where("id % 11 = 0").select("id")
     rows = stored(spark, sf).join(asked, "id", "left_semi")
     return A.first_per_key(rows, ["id"], [F.col("pool") != "place-de", F.col("pool") != A.FRONT, F.col("pool")]).select("id", "pool")
+
+
+SQL_CC = "substr(n_name, 1, 1) || substr(n_name, length(n_name), 1)"
+
+
+@query(
+    f"""WITH n AS (SELECT n_nationkey AS k, n_regionkey AS r, lower({SQL_CC}) || n_nationkey AS cc FROM nation), o AS (SELECT cc, CASE WHEN s_suppkey % 3 = 0 THEN 'north' WHEN s_suppkey % 3 = 1 THEN 'south' END AS region, 's' || s_suppkey AS source, s_suppkey AS position FROM supplier JOIN n ON k = s_nationkey),
+    c AS (SELECT CASE WHEN p_partkey % 5 = 0 THEN 'frontpage' ELSE lower(p_brand) END AS world, 'p' || p_partkey AS source, p_partkey AS position FROM part),
+    p AS (SELECT 'geo-n' || k AS pool FROM n UNION ALL SELECT 'geo-n' || k || '-north' FROM n UNION ALL SELECT 'place-' || cc FROM n UNION ALL SELECT 'geo-r' || r_regionkey FROM region UNION ALL SELECT DISTINCT world FROM c UNION ALL SELECT unnest(['nowhere', 'geo-unknown', 'geo-'])),
+    d AS (SELECT 'n' || k AS node, cc, NULL AS region FROM n UNION ALL SELECT 'n' || k || '-north', cc, 'north' FROM n)
+    SELECT pool, source FROM p JOIN d ON pool = 'geo-' || node JOIN o ON o.cc = d.cc AND (d.region IS NULL OR o.region = d.region) UNION ALL SELECT pool, source FROM p JOIN o ON pool = 'place-' || o.cc
+    UNION ALL SELECT pool, source FROM (SELECT 'geo-r' || r AS pool, source FROM n JOIN o USING (cc) QUALIFY row_number() OVER (PARTITION BY cc ORDER BY position) <= 6)
+    UNION ALL SELECT pool, source FROM p JOIN c ON c.world = CASE WHEN pool IN (SELECT world FROM c) THEN pool ELSE 'frontpage' END WHERE NOT (starts_with(pool, 'geo-') AND length(pool) > 4) AND pool NOT IN (SELECT 'place-' || cc FROM n)"""
+)
+def pool_sources(spark, sf):
+    """The sources that each pool draws on: outlets of a node, of its continent's countries or of a country, or a world's curated ones (the front page's, if there is no such world)."""
+    nation = table(spark, sf, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_regionkey").alias("r"), F.concat(F.lower(F.concat(F.substring("n_name", 1, 1), F.substring("n_name", -1, 1))), F.col("n_nationkey").cast("string")).alias("cc"))
+    k = F.col("s_suppkey")
+    outlets = table(spark, sf, "supplier").join(nation, F.col("s_nationkey") == F.col("k")).select("cc", F.when(k % 3 == 0, "north").when(k % 3 == 1, "south").alias("region"), F.concat(F.lit("s"), k.cast("string")).alias("source"), k.alias("position"))
+    curated = table(spark, sf, "part").select(F.when(F.col("p_partkey") % 5 == 0, "frontpage").otherwise(F.lower("p_brand")).alias("world"), F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("source"))
+    country = F.concat(F.lit("n"), F.col("k").cast("string"))
+    continent = F.concat(F.lit("r"), F.col("r").cast("string"))
+    nodes = nation.select(country.alias("node"), continent.alias("parent"), F.lit("country").alias("level"), "cc", F.lit(None).cast("string").alias("region"))
+    nodes = nodes.unionByName(nation.select(F.concat(country, F.lit("-north")).alias("node"), country.alias("parent"), F.lit("region").alias("level"), "cc", F.lit("north").alias("region")))
+    nodes = nodes.unionByName(table(spark, sf, "region").select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("node"), F.lit("world").alias("parent"), F.lit("continent").alias("level"), F.lit(None).cast("string").alias("cc"), F.lit(None).cast("string").alias("region")))
+    pools = nodes.select(F.concat(F.lit("geo-"), "node").alias("pool")).unionByName(nation.select(F.concat(F.lit("place-"), "cc").alias("pool"))).unionByName(curated.select(F.col("world").alias("pool")).distinct())
+    pools = pools.unionByName(spark.createDataFrame([("nowhere",), ("geo-unknown",), ("geo-",)], "pool string"))
+    return A.pool_sources(pools, nodes, outlets, curated).select("pool", "source")
+
+
+TOPIC_ROWS = ", ".join(f"({i}, '{n}', '{c}', {o})" for i, n, c, o in [(0, "World", "#6EA8FE", 0), (1, "Politics", "#E0A94B", 1), (2, "Economics", "#5BD6A6", 2), (3, "Science", "#9B8CFF", 4), (4, "Technology", "#56C2D6", 3), (5, "History", "#C9A06B", 6), (6, "Health", "#E08AA8", 5)])
+
+
+@query(
+    f"""WITH {SQL_ITEMS}, t(topic, label, color, place) AS (VALUES {TOPIC_ROWS}), c AS (SELECT topic, count(*) AS n FROM items GROUP BY topic)
+    SELECT coalesce(label, 'weather') AS label, coalesce(color, '#9AA4B2') AS color, n, row_number() OVER (ORDER BY place NULLS LAST) AS position FROM c LEFT JOIN t USING (topic)"""
+)
+def topic_shelf(spark, sf):
+    """How many items each topic has, with its name and colour, in the order in which topics are shown; the eighth is one that no table has."""
+    rows = items(spark, sf).withColumn("topic", F.element_at(F.array(*(F.lit(x) for x in (*TOPICS[:7], "weather"))), (F.col("topic") + 1).cast("int")))
+    return A.topic_shelf(rows).select("label", "color", "n", "position")
+
+
+@query(
+    f"""WITH {SQL_STORED}, d AS (SELECT *, {PLACE} AND analyzed AND NOT clickbait AND global IS NULL AND published_at >= {NOW_MS} - 604800000 AS asked FROM stored)
+    SELECT pool, id, CASE WHEN asked THEN id % 4 = 1 ELSE global END AS global, asked FROM d"""
+)
+def marked_scopes(spark, sf):
+    """Regional pools' items with what a model said of their scope: those it names are global, others that it was asked about are local."""
+    rows = stored(spark, sf)
+    named = rows.where("id % 4 = 1").select("pool", "id")
+    return A.marked_global(rows, named, NOW_MS).select("pool", "id", "global", "asked")

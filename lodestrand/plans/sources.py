@@ -19,13 +19,12 @@ from lodestrand.sources import feeds
 from lodestrand.storage import shared_dir
 from lodestrand.streaming import intake
 
-#: In the form that Spark and DuckDB both read: a text inside XML, and the feed of one document.
-ESCAPED = "replace(replace(replace(regexp_replace({}, '[^\\x20-\\x7E\\u00A1-\\uFFFD]+', ' '{}), '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
-SQL_STRIPPED = "trim(regexp_replace(" + sql_decoded("regexp_replace(regexp_replace({}, '[^\\x20-\\x7E\\x{{A1}}-\\x{{FFFD}}]+', ' ', 'g'), '<[^>]*>', ' ', 'g')") + ", '\\s+', ' ', 'g'))"
+#: What XML can't hold, or would not keep as it is (control characters, among them the second set, and the space that does not break), becomes a space.
+SQL_STRIPPED = "trim(regexp_replace(" + sql_decoded("regexp_replace(regexp_replace({}, '[^\\x20-\\x7E\\x{{A1}}-\\x{{FFFD}}\\x{{10000}}-\\x{{10FFFF}}]+', ' ', 'g'), '<[^>]*>', ' ', 'g')") + ", '\\s+', ' ', 'g'))"
 
 
 def _escaped(name: str):
-    bare = F.regexp_replace(F.col(name), r"[^\x20-\x7E¡-�]+", " ")
+    bare = F.regexp_replace(F.col(name), r"[^\x20-\x7E\x{A1}-\x{FFFD}\x{10000}-\x{10FFFF}]+", " ")
     return F.replace(F.replace(F.replace(bare, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
 
 
@@ -141,10 +140,9 @@ def translations(spark, sf):
     return table(spark, sf, "part").select(k.alias("id"), T.translated(F.lit("part.count"), own, english, {"name": F.col("p_name"), "n": F.col("p_size")}).alias("text"))
 
 
-@query("SELECT doc_id AS id, coalesce(nullif(substr(trim(regexp_replace(lower(strip_accents(split_part(text, chr(10), 1))), '[^a-z0-9]+', '-', 'g'), '-'), 1, 40), ''), 'src') AS slug FROM documents WHERE NOT regexp_matches(text, '[^\\x00-\\x{24F}\\x{300}-\\x{36F}\\x{2000}-\\x{2FFF}]')")
+@query("SELECT doc_id AS id, coalesce(nullif(substr(trim(regexp_replace(lower(strip_accents(regexp_replace(split_part(text, chr(10), 1), '[^\\x00-\\x{24F}\\x{300}-\\x{36F}\\x{1E00}-\\x{1EFF}\\x{212A}\\x{212B}]', ' ', 'g'))), '[^a-z0-9]+', '-', 'g'), '-'), 1, 40), ''), 'src') AS slug FROM documents")
 def headline_slugs(spark, sf):
-    docs = table(spark, sf, "documents").where(r"not rlike(text, '[^\\x{0}-\\x{24F}\\x{300}-\\x{36F}\\x{2000}-\\x{2FFF}]')")
-    return docs.select(F.col("doc_id").alias("id"), T.slug(F.split("text", "\n")[0], 40, "src").alias("slug"))
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("id"), T.slug(F.split("text", "\n")[0], 40, "src").alias("slug"))
 
 
 @query(f"WITH {SQL_ITEMS} SELECT id, array_to_string(list_sort(list_distinct(list_filter(list_transform(string_split(title, ' '), lambda x: lower(trim(x))), lambda x: length(x) >= 3 AND regexp_matches(x, '\\p{{L}}') AND NOT regexp_matches(x, '^https?:')))), ' ') AS aliases FROM items")
