@@ -94,7 +94,7 @@ def components(links: DataFrame, rounds: int = 60, at_once: int = 0) -> DataFram
     """
     edges = staged(_contracted(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()))
     for _ in range(rounds):
-        if edges.limit(at_once + 1).count() <= at_once:  # what one task holds
+        if at_once and edges.limit(at_once + 1).count() <= at_once:  # what one task holds
             edges = staged(_contracted(edges.coalesce(1)))
             break
         if _settled(edges):
