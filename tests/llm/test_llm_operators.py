@@ -1,4 +1,4 @@
-"""The ten operators against brute force, and on nulls, empty and long texts, ties, repeated rows, empty tables and more columns."""
+"""The first ten operators against brute force, and on nulls, empty and long texts, ties, repeated rows, empty tables and more columns."""
 
 import hashlib
 import zlib

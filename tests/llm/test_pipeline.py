@@ -26,7 +26,7 @@ def test_stages(spark, tmp_path):
 
 def test_registered():
     assert "pipeline" in __spark_entry__.queries()
-    assert sorted(int(n[2:].split("_")[0]) for n in __spark_entry__.queries() if n.startswith("op") and n[2].isdigit()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in __spark_entry__.queries() if n.startswith("op") and n[2].isdigit()) == list(range(1, 14))
 
 
 def test_packed_rows_hold_their_token_ids(spark):
