@@ -17,8 +17,7 @@ SCAFFOLDING = (r"""^["'\s,:{}\[\]]*$""", r"""(?i)^["']?(title|paragraphs|content
 
 def _body(reply: Column) -> Column:
     """What is inside the first fence, or all."""
-    reply = F.coalesce(reply, F.lit(""))
-    return F.trim(F.when(reply.rlike(FENCE), F.regexp_extract(reply, FENCE, 1)).otherwise(reply))
+    return bound(F.coalesce(reply, F.lit("")), lambda r: F.trim(F.when(r.rlike(FENCE), F.regexp_extract(r, FENCE, 1)).otherwise(r)))
 
 
 def _between(text: Column, first: str, last: str) -> Column:
@@ -30,15 +29,14 @@ def _between(text: Column, first: str, last: str) -> Column:
 
 def reply_array(reply: Column) -> Column:
     """The array (variant) of a reply: whole, else cut after its last whole object, else whatever the reply is. Null if nothing can be read."""
-    body = _body(reply)
-    whole, cut = _between(body, "[", "]"), F.concat(_between(body, "[", "}"), F.lit("]"))
-    return F.coalesce(F.try_parse_json(whole), F.try_parse_json(cut), F.try_parse_json(body))
+    whole, cut = (lambda body: _between(body, "[", "]")), (lambda body: F.concat(_between(body, "[", "}"), F.lit("]")))
+    return bound(_body(reply), lambda body: F.coalesce(F.try_parse_json(whole(body)), F.try_parse_json(cut(body)), F.try_parse_json(body)))
 
 
 def reply_object(reply: Column) -> Column:
     """The object (variant) of a reply; null if there is none."""
-    found = F.try_parse_json(_between(_body(reply), "{", "}"))
-    return F.when(F.startswith(F.schema_of_variant(found), F.lit("OBJECT")), found)
+    found = bound(_body(reply), lambda body: F.try_parse_json(_between(body, "{", "}")))
+    return bound(found, lambda v: F.when(F.startswith(F.schema_of_variant(v), F.lit("OBJECT")), v))
 
 
 def elements(array: Column, path: str = "$") -> Column:
@@ -66,9 +64,8 @@ def number_of(value: Column, path: str, low: float, high: float, otherwise: Colu
 
 def clean(text: Column) -> Column:
     """Prose of a reply on one line; empty if it is degenerate or no text."""
-    bare = F.trim(F.coalesce(text, F.lit("")))
-    told = F.regexp_replace(F.regexp_replace(bare, r"(?i)```+\s*json\b", ""), r"```+", "")
-    return F.when((bare == "") | degenerate(bare), "").otherwise(F.trim(F.regexp_replace(told, r"\s+", " ")))
+    told = lambda bare: F.regexp_replace(F.regexp_replace(bare, r"(?i)```+\s*json\b", ""), r"```+", "")
+    return bound(F.trim(F.coalesce(text, F.lit(""))), lambda bare: F.when((bare == "") | degenerate(bare), "").otherwise(F.trim(F.regexp_replace(told(bare), r"\s+", " "))))
 
 
 def kind(text: Column) -> Column:
@@ -99,10 +96,13 @@ def analysis(reply: Column, topic: Column, lean: Column) -> Column:
 
 
 def _first_of_each(rows: Column, same, most: int) -> Column:
-    """The first rows with a key of their own."""
-    keys = F.transform(rows, same)
-    at = F.transform(rows, lambda r, i: F.struct(r.alias("row"), (F.array_position(keys, same(r)) == i + 1).alias("new")))
-    return F.slice(F.transform(F.filter(at, lambda x: x["new"]), lambda x: x["row"]), 1, most)
+    """The first rows with a key of their own; rows and keys are made once, not once for each row."""
+
+    def distinct(rs: Column, keys: Column) -> Column:
+        at = F.transform(rs, lambda r, i: F.struct(r.alias("row"), (F.array_position(keys, same(r)) == i + 1).alias("new")))
+        return F.slice(F.transform(F.filter(at, lambda x: x["new"]), lambda x: x["row"]), 1, most)
+
+    return bound(rows, lambda rs: bound(F.transform(rs, same), lambda keys: distinct(rs, keys)))
 
 
 def links(array: Column, most: int = 4) -> Column:
@@ -135,7 +135,7 @@ def gatherings(array: Column, most: int = 3) -> Column:
 
 def _pieces(array: Column) -> Column:
     """The texts among an array's elements, clean; those that aren't prose are dropped."""
-    told = F.transform(F.filter(array, lambda x: F.schema_of_variant(x) == "STRING"), lambda x: clean(F.try_variant_get(x, "$", "string")))
+    told = F.transform(array, lambda x: clean(text_of(x)))
     return F.filter(told, lambda x: x != "")
 
 
@@ -184,11 +184,12 @@ def sides(array: Column, outlets: Column, most: int = 5) -> Column:
 
     def side(r: Column) -> Column:
         named = F.transform(_pieces(elements(r, "$.outlets")), lambda name: F.struct(name.alias("name"), member(name).alias("member")))
-        zones = F.transform(F.filter(named, lambda x: x["member"].isNotNull()), lambda x: F.coalesce(x["member"]["zone"], F.lit("international")))
-        return F.struct(
+        zones = lambda n: F.transform(F.filter(n, lambda x: x["member"].isNotNull()), lambda x: F.coalesce(x["member"]["zone"], F.lit("international")))
+        whole = lambda n: F.struct(
             clean(text_of(r, "$.label")).alias("label"), clean(text_of(r, "$.framing")).alias("framing"),
-            F.array_distinct(F.transform(named, lambda x: F.coalesce(x["member"]["title"], x["name"]))).alias("outlets"), F.array_distinct(zones).alias("zones"),
+            F.array_distinct(F.transform(n, lambda x: F.coalesce(x["member"]["title"], x["name"]))).alias("outlets"), F.array_distinct(zones(n)).alias("zones"),
         )
+        return bound(named, whole)
 
     kept = F.slice(F.filter(F.transform(elements(array), side), lambda s: (s["label"] != "") & (s["framing"] != "") & (F.size(s["outlets"]) > 0)), 1, most)
     return bound(kept, lambda k: F.when(F.exists(outlets, lambda o: o["zone"].isNotNull()) & (F.size(k) >= 2), k))
@@ -219,8 +220,8 @@ def paragraphs(reply: Column, title: Column) -> Column:
     told = F.transform(F.filter(elements(reply, "$.paragraphs"), lambda x: F.schema_of_variant(x) == "STRING"), lambda x: F.trim(F.regexp_replace(F.try_variant_get(x, "$", "string"), r"(?i)```(?:json)?", "")))
     heading = F.lower(F.trim(F.coalesce(title, F.lit(""))))
     told = F.filter(told, lambda p: ~scaffolding(p) & ((heading == "") | (F.lower(p) != heading)))
-    once = F.filter(F.transform(told, lambda p, i: F.when((i == 0) | (F.get(told, i - 1) != p), p)), lambda p: p.isNotNull())
-    return F.when(F.exists(once, lambda p: (F.length(p) >= 40) & p.rlike(r"\s")), once).otherwise(F.array().cast("array<string>"))
+    once = bound(told, lambda ps: F.filter(F.transform(ps, lambda p, i: F.when((i == 0) | (F.get(ps, i - 1) != p), p)), lambda p: p.isNotNull()))
+    return bound(once, lambda ps: F.when(F.exists(ps, lambda p: (F.length(p) >= 40) & p.rlike(r"\s")), ps).otherwise(F.array().cast("array<string>")))
 
 
 #: The named entities that are decoded; others are left as they are.

@@ -232,6 +232,5 @@ def vtt_text(vtt: Column) -> Column:
 
 def degenerate(text: Column) -> Column:
     """Whether a text is blank, a run of one sign, or hardly any letters. The patterns are fixed values."""
-    bare = F.regexp_replace(text, r"\s", "")
-    letters = F.length(F.regexp_replace(bare, r"[^\p{L}]", ""))
-    return text.rlike(r"([^\p{L}\p{N}\s])\1{3,}") | text.rlike(r"[^\p{L}\p{N}\s]{6,}") | (F.length(bare) == 0) | (letters / F.greatest(F.length(bare), F.lit(1)) < 0.4)
+    letters, signs = F.length(F.regexp_replace(text, r"[^\p{L}]+", "")), F.length(F.regexp_replace(text, r"\s+", ""))
+    return text.rlike(r"([^\p{L}\p{N}\s])\1{3,}") | text.rlike(r"[^\p{L}\p{N}\s]{6,}") | (signs == 0) | (letters / F.greatest(signs, F.lit(1)) < 0.4)

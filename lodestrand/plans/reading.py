@@ -115,12 +115,17 @@ def page_regions(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.md5(R.main_region(F.col("html"))).alias("digest"))
 
 
-@query("SELECT doc_id AS id, 'A paragraph with a link and more than forty letters, ' || doc_id || chr(10) || chr(10) || 'Another line that is told in bold, and goes on for long.' AS text FROM documents")
+@query(
+    """WITH l AS (SELECT doc_id, unnest(s) AS p, generate_subscripts(s, 1) AS i FROM (SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '[^\\p{L}\\p{N} .,\\n]', '', 'g'), chr(10)) AS s FROM documents)),
+    k AS (SELECT doc_id, i, trim(regexp_replace(p, ' +', ' ', 'g')) AS p FROM l), g AS (SELECT doc_id, count(*) AS n, md5(string_agg(p, chr(10) || chr(10) ORDER BY i)) AS text FROM k WHERE length(p) >= 40 GROUP BY doc_id)
+    SELECT doc_id AS id, coalesce(g.text, md5('')) AS text FROM documents LEFT JOIN g USING (doc_id)"""
+)
 def markdown_pages(spark, sf):
-    told = F.concat(
-        F.lit("Title: x\nMarkdown Content:\n# A paragraph with a [link](http://x) and more\nthan forty letters, "), F.col("doc_id").cast("string"), F.lit("\n\n![image](y)\n\nshort\n\n- Another line that is told in **bold**,  and goes on for long.")
-    )
-    return table(spark, sf, "documents").select(F.col("doc_id").alias("id"), R.markdown_text(told).alias("text"))
+    """Whole documents told as Markdown, their lines as headings, lists in bold, links and lines with an image."""
+    lines = F.split(F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\p{L}\p{N} .,\n]", ""), "\n")
+    told = lambda x, i: F.when(i % 4 == 0, F.concat(F.lit("## "), x)).when(i % 4 == 1, F.concat(F.lit("- **"), x, F.lit("**"))).when(i % 4 == 2, F.concat(F.lit("["), x, F.lit("](http://x)"))).otherwise(F.concat(F.lit("![a picture](y)\n"), x))
+    page = F.concat(F.lit("Title: x\nMarkdown Content:\n"), F.array_join(F.transform(lines, told), "\n\n"))
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.md5(R.markdown_text(page)).alias("text"))
 
 
 @query(

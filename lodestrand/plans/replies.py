@@ -1,4 +1,4 @@
-"""Queries on model replies. The replies are made from documents by a fixed rule, so SQL can tell what must come out."""
+"""Queries on model replies. The replies are made from the lines of whole documents by a fixed rule, so SQL can tell what must come out."""
 
 from __future__ import annotations
 
@@ -8,78 +8,122 @@ from lodestrand.functions import replies as R
 from lodestrand.plans.adapters import table
 from lodestrand.plans.registry import query
 
+#: Signs that mean something in JSON or around it; lines are told without them.
+SIGNS = '[]{}`"\\'
 LANG = "coalesce(lang, 'zz')"
-#: In the form that Spark and DuckDB both read. Every fifth reply is cut in an object.
-LINKS = (
-    f"""'Sure: ```json [{{"from":"' || {LANG} || '","to":"US","kind":"Naval Blockade ' || (doc_id % 3) || '!"}},{{"from":"fr","to":"' || CASE WHEN doc_id % 4 = 0 THEN 'FR' ELSE ' De' END """
-    """|| '","kind":"trade"},{"from":"x1","to":"us","kind":"trade"},7,{"from":"fr","to":"de","kind":"again"},{"from":"it","to":"us"}' || CASE WHEN doc_id % 5 = 0 THEN ',{"from":"es' ELSE '] ``` done' END"""
-)
-GATHERINGS = (
-    f"""'[{{"kind":"Peace Talks","place":" Town ' || (doc_id % 9) || '","iso2":"CH","parties":["' || {LANG} || '","us","US"],"coords":"' || (doc_id % 200 - 100) || ', 6.5"}},"""
-    """{"place":"Alone","iso2":"ch","parties":["us"]},{"kind":"","place":"Rome","iso2":"it","parties":["it","fr","x"],"coords":"0.001,0"},{"kind":"forum","place":"rome","iso2":"it","parties":["it","de"]}]'"""
-)
-ANALYSIS = (
-    f"""'{{"topic":"' || CASE doc_id % 3 WHEN 0 THEN 'World' WHEN 1 THEN 'sports' ELSE 'gossip' END || '","lean":' || CASE WHEN doc_id % 4 = 0 THEN 'null' ELSE '' || (doc_id % 5 - 2) END || ',"importance":' || (doc_id % 7) || ',"""
-    f""""summary":"' || CASE WHEN doc_id % 6 = 0 THEN '????????' ELSE 'It   is a fine day.' END || '","keywords":[" Alpha ",3,"!!!!!!","beta' || (doc_id % 10) || '"],"countries":["' || {LANG} || '","US","us","usa"]}}'"""
-)
-IDS = """'[' || (doc_id % 50) || ',"' || (doc_id % 7) || 'th",99,3,"x",3]'"""
-ARTICLE = (
-    """'{"title":"t","paragraphs":["' || CASE WHEN doc_id % 3 = 0 THEN 'short' ELSE 'A paragraph that is long enough to be prose, number ' || doc_id END """
-    """|| '","The Title","paragraphs:","same","same",5,"json [","' || (doc_id % 4) || ' end"]}'"""
-)
-ENTITIES = """'&lt;b&gt; &amp;amp; &#65;&#x42;' || (doc_id % 10) || ' &unknown; &amp;#039; caf&eacute; &#8230;'"""
+SQL_LINES = f"""d AS (SELECT doc_id, {LANG} AS lang, coalesce(source, '') AS source, string_split(translate(coalesce(text, ''), '{SIGNS}', ''), chr(10)) AS s FROM documents),
+    l AS (SELECT doc_id, lang, source, unnest(s) AS line, generate_subscripts(s, 1) AS i FROM d)"""
+SQL_KIND = "substr(trim(regexp_replace(lower(trim({})), '[^a-z0-9]+', '-', 'g'), '-'), 1, 24)"
+
+
+def document_lines(spark, sf):
+    """doc_id, lang, source, lines: every line of a document, without SIGNS."""
+    docs = table(spark, sf, "documents")
+    text = F.translate(F.coalesce("text", F.lit("")), SIGNS, "")
+    return docs.select("doc_id", F.expr(LANG).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), F.split(text, "\n").alias("lines"))
+
 
+def _fenced(said):
+    return F.concat(F.lit("Sure:\n```json\n"), said, F.lit("\n``` done"))
 
-def _told(spark, sf, reply):
-    return table(spark, sf, "documents").select("doc_id", F.expr(reply).alias("reply"))
+
+def _word(line, n=0):
+    return F.coalesce(F.get(F.split(line, " "), F.lit(n)), F.lit(""))
 
 
 @query(
-    f"""SELECT doc_id, (CASE WHEN {LANG} <> 'us' AND regexp_full_match({LANG}, '[a-z]{{2}}') THEN {LANG} || '>us:naval-blockade-' || (doc_id % 3) || ' ' ELSE '' END)
-    || CASE WHEN doc_id % 4 = 0 THEN 'fr>de:again' ELSE 'fr>de:trade' END AS links FROM documents"""
+    f"""WITH {SQL_LINES}, r AS (SELECT doc_id, i, lang AS f, ['us', 'fr', 'de', 'it'][length(line) % 4 + 1] AS t, {SQL_KIND.format("split_part(line, ' ', 1)")} AS kind FROM l),
+    k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, t ORDER BY i) AS again FROM r WHERE regexp_full_match(f, '[a-z]{{2}}') AND f <> t AND kind <> ''),
+    g AS (SELECT doc_id, string_agg(f || '>' || t || ':' || kind, ' ' ORDER BY i) AS links FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS n FROM k WHERE again = 1) WHERE n <= 4 GROUP BY doc_id)
+    SELECT doc_id, coalesce(links, '') AS links FROM documents LEFT JOIN g USING (doc_id)"""
 )
 def reply_links(spark, sf):
-    told = R.links(R.reply_array(F.col("reply")))
-    return _told(spark, sf, LINKS).select("doc_id", F.array_join(F.transform(told, lambda r: F.concat(r["from"], F.lit(">"), r["to"], F.lit(":"), r["kind"])), " ").alias("links"))
+    """Every line as a link from the document's language to a country, of the kind that its first word names."""
+    to = lambda x: F.get(F.array(*(F.lit(c) for c in ("us", "fr", "de", "it"))), F.length(x) % 4)
+    rows = document_lines(spark, sf).select("doc_id", F.transform("lines", lambda x: F.struct(F.upper("lang").alias("from"), to(x).alias("to"), _word(x).alias("kind"))).alias("said"))
+    told = R.links(R.reply_array(_fenced(F.to_json("said"))))
+    return rows.select("doc_id", F.array_join(F.transform(told, lambda r: F.concat(r["from"], F.lit(">"), r["to"], F.lit(":"), r["kind"])), " ").alias("links"))
 
 
-@query("SELECT doc_id, 6::BIGINT AS n FROM documents")
+@query(
+    f"""WITH {SQL_LINES}, c AS (SELECT doc_id, CASE WHEN length(s[-1]) % 2 = 1 THEN s[:-2] ELSE s END AS s FROM d) SELECT doc_id, len(s)::BIGINT AS n, md5(array_to_string(s, '|')) AS digest FROM c"""
+)
 def reply_salvage(spark, sf):
-    return _told(spark, sf, LINKS).select("doc_id", F.size(R.elements(R.reply_array(F.col("reply")))).cast("long").alias("n"))
+    """An object for each line; where the last line's length is odd the reply ends within its object, which is lost alone."""
+    last = F.element_at("lines", -1)
+    said = F.concat(F.lit("Sure: "), F.to_json(F.transform("lines", lambda x: F.struct(x.alias("text")))))
+    reply = F.when(F.length(last) % 2 == 1, F.expr("left(said, length(said) - length(last) div 2 - 4)")).otherwise(F.col("said"))
+    rows = document_lines(spark, sf).withColumns({"said": said, "last": last}).select("doc_id", reply.alias("reply"))
+    found = rows.select("doc_id", F.transform(R.elements(R.reply_array(F.col("reply"))), lambda x: R.text_of(x, "$.text")).alias("found"))
+    return found.select("doc_id", F.size("found").cast("long").alias("n"), F.md5(F.array_join("found", "|")).alias("digest"))
 
 
 @query(
-    f"""WITH g AS (SELECT doc_id, 1 AS i, 'peace-talks' AS kind, 'Town ' || (doc_id % 9) AS place, 'ch' AS iso2, {LANG} || ',us' AS parties, CASE WHEN abs(doc_id % 200 - 100) <= 90 THEN (doc_id % 200 - 100)::DOUBLE END AS lat
-    FROM documents WHERE {LANG} <> 'us' AND regexp_full_match({LANG}, '[a-z]{{2}}') UNION ALL SELECT doc_id, 2, 'other', 'Rome', 'it', 'it,fr', NULL FROM documents) SELECT doc_id, kind, place, iso2, parties, lat FROM g"""
+    f"""WITH {SQL_LINES}, r AS (SELECT doc_id, i, {SQL_KIND.format("split_part(line, ' ', 1)")} AS kind, substr(trim(line), 1, 80) AS place, lang AS iso2, length(line) AS n,
+    list_filter([lang, CASE WHEN lang <> 'us' THEN 'us' END, CASE WHEN lower(trim(split_part(line, ' ', 2))) NOT IN (lang, 'us') THEN lower(trim(split_part(line, ' ', 2))) END], lambda c: regexp_full_match(c, '[a-z]{{2}}')) AS parties FROM l),
+    k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, lower(place) ORDER BY i) AS again FROM r WHERE place <> '' AND regexp_full_match(iso2, '[a-z]{{2}}') AND len(parties) >= 2)
+    SELECT doc_id, CASE WHEN kind = '' THEN 'other' ELSE kind END AS kind, md5(place) AS place, iso2, array_to_string(parties, ',') AS parties, CASE WHEN n % 200 <= 90 THEN (n % 200)::DOUBLE END AS lat FROM k WHERE again = 1 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY i) <= 3"""
 )
 def reply_gatherings(spark, sf):
-    told = _told(spark, sf, GATHERINGS).select("doc_id", F.explode(R.gatherings(R.reply_array(F.col("reply")))).alias("g"))
-    return told.select("doc_id", "g.kind", "g.place", "g.iso2", F.array_join("g.parties", ",").alias("parties"), F.col("g.at.lat").alias("lat"))
+    """Every line as an event: its kind, place and parties from its words, its latitude from its length."""
+    event = lambda x: F.struct(
+        _word(x).alias("kind"), x.alias("place"), F.upper("lang").alias("iso2"), F.array(F.col("lang"), F.lit("US"), _word(x, 1)).alias("parties"), F.concat((F.length(x) % 200).cast("string"), F.lit(", 6.5")).alias("coords")
+    )
+    rows = document_lines(spark, sf).select("doc_id", F.transform("lines", event).alias("said"))
+    told = rows.select("doc_id", F.explode(R.gatherings(R.reply_array(_fenced(F.to_json("said"))))).alias("g"))
+    return told.select("doc_id", "g.kind", F.md5("g.place").alias("place"), "g.iso2", F.array_join("g.parties", ",").alias("parties"), F.col("g.at.lat").alias("lat"))
 
 
 @query(
-    f"""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'world' ELSE 'culture' END AS topic, CASE WHEN doc_id % 4 = 0 THEN 0.25 ELSE greatest(-1, least(1, doc_id % 5 - 2)) END::DOUBLE AS lean, doc_id % 4 <> 0 AS refined,
-    least(1, doc_id % 7)::DOUBLE AS importance, CASE WHEN doc_id % 6 = 0 THEN '' ELSE 'It is a fine day.' END AS summary, 'alpha,beta' || (doc_id % 10) AS keywords,
-    CASE WHEN {LANG} <> 'us' AND regexp_full_match({LANG}, '[a-z]{{2}}') THEN {LANG} || ',us' ELSE 'us' END AS countries FROM documents"""
+    f"""WITH {SQL_LINES}, w AS (SELECT doc_id, lang, source, s, length(s[1]) AS n, list_transform(string_split(s[1], ' '), lambda x: lower(trim(x))) AS k FROM d),
+    g AS (SELECT doc_id, n, lang, list_filter(k, lambda x: regexp_matches(x, '^[a-z]+$')) AS k, coalesce(s[2], '') AS said FROM w)
+    SELECT doc_id, CASE n % 3 WHEN 0 THEN 'world' ELSE 'culture' END AS topic, CASE WHEN n % 4 = 0 THEN 0.25 ELSE greatest(-1, least(1, n % 5 - 2)) END::DOUBLE AS lean, n % 4 <> 0 AS refined, least(1, len(k) / 4)::DOUBLE AS importance,
+    md5(trim(regexp_replace(regexp_replace(said, '[^\\p{{L}} ]', '', 'g'), '\\s+', ' ', 'g'))) AS summary, array_to_string(k[:10], ',') AS keywords,
+    array_to_string(list_filter([CASE WHEN regexp_full_match(lang, '[a-z]{{2}}') THEN lang END, CASE WHEN lang <> 'us' THEN 'us' END], lambda c: c IS NOT NULL), ',') AS countries FROM g"""
 )
 def reply_analysis(spark, sf):
-    told = _told(spark, sf, ANALYSIS).select("doc_id", R.analysis(R.reply_object(F.col("reply")), F.lit("culture"), F.lit(0.25)).alias("a"))
-    return told.select("doc_id", "a.topic", "a.lean", F.col("a.lean_refined").alias("refined"), "a.importance", "a.summary", F.array_join("a.keywords", ",").alias("keywords"), F.array_join("a.countries", ",").alias("countries"))
+    """An analysis whose keywords are the plain words of the first line, whose summary is the letters of the second."""
+    n, words = F.length(F.get("lines", F.lit(0))), F.filter(F.split(F.get("lines", F.lit(0)), " "), lambda x: F.lower(F.trim(x)).rlike("^[a-z]+$"))
+    told = F.struct(
+        F.when(n % 3 == 0, "World").when(n % 3 == 1, "gossip").otherwise("sport").alias("topic"), F.when(n % 4 != 0, n % 5 - 2).alias("lean"), (F.size(words) / 4).alias("importance"),
+        F.regexp_replace(F.coalesce(F.get("lines", F.lit(1)), F.lit("")), r"[^\p{L} ]", "").alias("summary"), F.concat(F.array(F.lit("!!!!!!")), words).alias("keywords"), F.array(F.col("lang"), F.lit("US"), F.lit("us"), F.lit("usa")).alias("countries"),
+    )
+    rows = document_lines(spark, sf).select("doc_id", F.to_json(told).alias("reply")).select("doc_id", R.analysis(R.reply_object(F.col("reply")), F.lit("culture"), F.lit(0.25)).alias("a"))
+    return rows.select("doc_id", "a.topic", "a.lean", F.col("a.lean_refined").alias("refined"), "a.importance", F.md5("a.summary").alias("summary"), F.array_join("a.keywords", ",").alias("keywords"), F.array_join("a.countries", ",").alias("countries"))
 
 
-@query("SELECT doc_id, array_to_string(list_filter([doc_id % 50, CASE WHEN doc_id % 7 <> doc_id % 50 THEN doc_id % 7 END, CASE WHEN doc_id % 50 <> 3 AND doc_id % 7 <> 3 THEN 3 END], lambda n: n >= 1 AND n <= 40), ',') AS ids FROM documents")
+@query(
+    f"""WITH {SQL_LINES}, f AS (SELECT doc_id, length(line) % 60 AS n, min(i) AS i FROM l WHERE n BETWEEN 1 AND 40 GROUP BY ALL),
+    g AS (SELECT doc_id, string_agg(n::VARCHAR, ',' ORDER BY i) AS ids FROM (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY i) <= 30) GROUP BY doc_id) SELECT doc_id, coalesce(ids, '') AS ids FROM documents LEFT JOIN g USING (doc_id)"""
+)
 def reply_ids(spark, sf):
-    return _told(spark, sf, IDS).select("doc_id", F.array_join(F.transform(R.ids(R.reply_array(F.col("reply")), 40, 30), lambda n: n.cast("string")), ",").alias("ids"))
+    """A number for each line, every other one as a text with letters behind it."""
+    told = F.transform("lines", lambda x, i: F.when(i % 2 == 0, (F.length(x) % 60).cast("string")).otherwise(F.concat(F.lit('" '), (F.length(x) % 60).cast("string"), F.lit('th"'))))
+    rows = document_lines(spark, sf).select("doc_id", _fenced(F.concat(F.lit("["), F.array_join(told, ","), F.lit(',"x"]'))).alias("reply"))
+    return rows.select("doc_id", F.array_join(F.transform(R.ids(R.reply_array(F.col("reply")), 40, 30), lambda n: n.cast("string")), ",").alias("ids"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '' ELSE 'A paragraph that is long enough to be prose, number ' || doc_id || '|same|' || (doc_id % 4) || ' end' END AS body FROM documents")
+@query(
+    f"""WITH {SQL_LINES}, t AS (SELECT doc_id, i, trim(line) AS p FROM l), h AS (SELECT doc_id, p AS heading FROM t WHERE i = 1),
+    k AS (SELECT doc_id, i, p FROM t JOIN h USING (doc_id) WHERE NOT regexp_matches(p, '^["''\\s,:]*$') AND NOT regexp_matches(p, '(?i)^[''"]?(title|paragraphs|content)[''"]?\\s*:?\\s*$') AND NOT regexp_matches(p, '(?i)^json\\b[\\s,]*$') AND (heading = '' OR lower(p) <> lower(heading))),
+    o AS (SELECT *, lag(p) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM k), g AS (SELECT doc_id, count(*) AS n, md5(string_agg(p, '|' ORDER BY i)) AS body FROM o WHERE before IS DISTINCT FROM p GROUP BY doc_id HAVING bool_or(length(p) >= 40 AND regexp_matches(p, '\\s')))
+    SELECT doc_id, coalesce(n, 0)::BIGINT AS n, coalesce(body, md5('')) AS body FROM documents LEFT JOIN g USING (doc_id)"""
+)
 def reply_paragraphs(spark, sf):
-    return _told(spark, sf, ARTICLE).select("doc_id", F.array_join(R.paragraphs(R.reply_object(F.col("reply")), F.lit("the title ")), "|").alias("body"))
+    """Every line twice as a paragraph, between what is left of JSON; the first line is the title."""
+    said = F.concat(F.array(F.lit("paragraphs:"), F.lit("json [")), F.flatten(F.transform("lines", lambda x: F.array(x, F.concat(x, F.lit(" "))))))
+    rows = document_lines(spark, sf).select("doc_id", F.get("lines", F.lit(0)).alias("title"), F.to_json(F.struct(said.alias("paragraphs"))).alias("reply"))
+    rows = rows.select("doc_id", R.paragraphs(R.reply_object(F.col("reply")), F.col("title")).alias("p"))
+    return rows.select("doc_id", F.size("p").cast("long").alias("n"), F.md5(F.array_join("p", "|")).alias("body"))
 
 
-@query("SELECT doc_id, '<b> & AB' || (doc_id % 10) || ' &unknown; '' café …' AS text FROM documents")
+@query("SELECT doc_id, length(coalesce(text, ''))::BIGINT AS n, md5(coalesce(text, '')) AS digest FROM documents")
 def entity_text(spark, sf):
-    return _told(spark, sf, ENTITIES).select("doc_id", R.decode_entities(F.col("reply")).alias("text"))
+    """Whole documents with signs and letters as entities, some of them encoded twice: decoded, they are the documents."""
+    text = F.coalesce("text", F.lit(""))
+    for sign, told in (("&", "&amp;amp;"), ("é", "&eacute;"), ("ü", "&#252;"), ("ñ", "&#xF1;"), ("ß", "&amp;#xdf;"), ("<", "&lt;"), ('"', "&quot;"), ("a", "&#97;")):
+        text = F.replace(text, F.lit(sign), F.lit(told))
+    return table(spark, sf, "documents").select("doc_id", R.decode_entities(text).alias("text")).select("doc_id", F.length("text").cast("long").alias("n"), F.md5("text").alias("digest"))
 
 
 @query()

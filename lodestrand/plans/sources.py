@@ -15,6 +15,7 @@ from lodestrand.plans.adapters import NOW_MS, items, table
 from lodestrand.plans.queries import SQL_BUCKET, SQL_ITEMS, _sql_paragraphs
 from lodestrand.plans.reading import sql_decoded
 from lodestrand.plans.registry import query
+from lodestrand.plans.replies import SQL_LINES, document_lines
 from lodestrand.sources import feeds
 from lodestrand.storage import shared_dir
 from lodestrand.streaming import intake
@@ -231,10 +232,26 @@ def reply_stories(spark, sf):
     return parts.select("conv_id", "turn", F.md5("p.name").alias("protagonist"), "p.iso2", F.md5("s.left").alias("left_view"), F.md5("s.right").alias("right_view"), "c.category", "c.icon", F.col("threads").cast("long").alias("threads"), F.col("angles").cast("long").alias("angles"))
 
 
-@query("SELECT doc_id AS id, 'Atlas,Bello' AS first, 'Chronicle' AS second, 'ua,international' AS zones FROM documents WHERE doc_id % 2 = 0")
+_OUTLETS = {"a": "'SRC' || (length(line) % 10) || ' News'", "b": "'SRC' || (len(string_split(line, ' ')) % 10) || ' News'"}
+_IS_SOURCE = "contains(lower({0}), lower(source)) OR contains(lower(source), lower({0}))"
+_TITLE = f"CASE WHEN {_IS_SOURCE} THEN source WHEN contains({{0}}, 'SRC1 ') THEN 'src1' ELSE {{0}} END"
+_ZONE = f"CASE WHEN {_IS_SOURCE} THEN lang WHEN contains({{0}}, 'SRC1 ') THEN 'international' END"
+_DISTINCT = "array_to_string(CASE WHEN {0} = {1} THEN [{0}] ELSE list_filter([{0}, {1}], lambda x: x IS NOT NULL) END, ',')"
+
+
+@query(
+    f"""WITH {SQL_LINES}, r AS (SELECT doc_id, i, lang, source, {SQL_CLEANED.format("split_part(line, ' ', 1)")} AS label, {SQL_CLEANED.format("line")} AS framing, {_OUTLETS["a"]} AS a, {_OUTLETS["b"]} AS b FROM l WHERE lang <> 'en'),
+    t AS (SELECT doc_id, i, label, framing, {_TITLE.format("a")} AS a, {_TITLE.format("b")} AS b, {_ZONE.format("a")} AS za, {_ZONE.format("b")} AS zb FROM r WHERE label <> '' AND framing <> '' QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY i) <= 5)
+    SELECT doc_id AS id, md5(string_agg(label || ':' || framing, '|' ORDER BY i)) AS told, string_agg({_DISTINCT.format("a", "b")}, '|' ORDER BY i) AS outlets, string_agg({_DISTINCT.format("za", "zb")}, '|' ORDER BY i) AS zones FROM t GROUP BY doc_id HAVING count(*) >= 2"""
+)
 def reply_sides(spark, sf):
-    """The sides of a dispute that a reply tells of, for every document whose members have a zone."""
-    said = """{"sides":[{"label":"One side","framing":"It says that it is right.","outlets":["atlas","Bello News","!!!!!!"]},{"label":"The other side","framing":"It says the same of itself.","outlets":["Chronicle"]},{"label":"Nobody","framing":"Without outlets.","outlets":[]}]}"""
-    members = F.array(F.struct(F.lit("Atlas").alias("title"), F.when(F.col("doc_id") % 2 == 0, "ua").alias("zone")), F.struct(F.lit("Bello").alias("title"), F.lit(None).cast("string").alias("zone")))
-    told = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), replies.sides(F.try_variant_get(replies.reply_object(F.lit(said)), "$.sides", "variant"), members).alias("s")).where("s is not null")
-    return told.select("id", F.array_join(F.get("s", F.lit(0))["outlets"], ",").alias("first"), F.array_join(F.get("s", F.lit(1))["outlets"], ",").alias("second"), F.array_join(F.get("s", F.lit(0))["zones"], ",").alias("zones"))
+    """Every line as a side of a dispute with two outlets, held against a story of the document's source (with a zone unless it is English) and one more."""
+    outlet = lambda n: F.concat(F.lit("SRC"), (n % 10).cast("string"), F.lit(" News"))
+    side = lambda x: F.struct(F.get(F.split(x, " "), F.lit(0)).alias("label"), x.alias("framing"), F.array(outlet(F.length(x)), outlet(F.size(F.split(x, " "))), F.lit("!!!!!!")).alias("outlets"))
+    nobody = F.struct(F.lit("Nobody").alias("label"), F.lit("Without outlets.").alias("framing"), F.array().cast("array<string>").alias("outlets"))
+    members = F.array(F.struct(F.col("source").alias("title"), F.when(F.col("lang") != "en", F.col("lang")).alias("zone")), F.struct(F.lit("src1").alias("title"), F.lit(None).cast("string").alias("zone")))
+    said = F.to_json(F.struct(F.concat(F.array(nobody), F.transform("lines", side)).alias("sides")))
+    rows = document_lines(spark, sf).select(F.col("doc_id").alias("id"), members.alias("members"), said.alias("reply"))
+    told = rows.select("id", replies.sides(F.try_variant_get(replies.reply_object(F.col("reply")), "$.sides", "variant"), F.col("members")).alias("s")).where("s is not null")
+    joined = lambda f: F.array_join(F.transform("s", f), "|")
+    return told.select("id", F.md5(joined(lambda x: F.concat(x["label"], F.lit(":"), x["framing"]))).alias("told"), joined(lambda x: F.array_join(x["outlets"], ",")).alias("outlets"), joined(lambda x: F.array_join(x["zones"], ",")).alias("zones"))
