@@ -1,10 +1,11 @@
 """Groups of texts by the exact Jaccard similarity of their shingle sets, without comparing all pairs.
 
-Two sets with a similarity of t share one of their first n - ceil(t * n) + 1 members in any one order of all members,
+SimHash fingerprints that meet by the pigeonring filter (see simhash) link texts first; each such link is confirmed on the whole sets. Sets may have the
+similarity while their fingerprints are further apart, so what is still in different components then meets in an exact way, by prefixes. Two sets with a similarity of t share one of their first n - ceil(t * n) + 1 members in any one order of all members,
 so that prefix is all that is sent to find candidates, and none is lost. Members known from a sample to be frequent
 come last in the order, so buckets stay small; what the sample misses is only slower. Up to where both prefixes reach, two prefixes
 tell what the sets share and what not, which bounds the whole overlap and rules out most candidates, again without loss. Every link that is
-left is confirmed on the whole sets (64-bit hashes of shingles), which are made only for its ends. Equal sets are one node. Nodes first meet a centre of their
+left is confirmed on the whole sets (64-bit hashes of shingles), which are made only for its ends. Equal sets are one node. Nodes meet a centre of their
 bucket, which is done with the bucket then; after that only nodes that links don't join yet meet each other. The centre is a node that has the bucket's member
 earliest in its prefix: of copies that were each changed elsewhere, the one with the fewest members of its own, which is near to most others.
 """
@@ -20,6 +21,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestrand.llm import simhash
+from lodestrand.llm.memory import giving_back
 from lodestrand.llm.shingles import shingle_hashes
 from lodestrand.operators.graph import components
 from lodestrand.storage import discard, staged
@@ -72,7 +75,7 @@ def _frequent(docs: DataFrame, words: int, share: int, least: int = 4) -> tuple[
 
 
 def prefixes(docs: DataFrame, words: int, least: float, known: np.ndarray, counts: np.ndarray) -> DataFrame:
-    """doc_id, text_key, digest, n (size of the set), prefix (its first members, 8 bytes each) of every whole text."""
+    """doc_id, text_key, digest, n (size of the set), prefix (its first members, 8 bytes each), fingerprint (as by simhash.fingerprints) of every whole text."""
 
     def first(members: np.ndarray) -> bytes:
         if not len(members):
@@ -84,28 +87,43 @@ def prefixes(docs: DataFrame, words: int, least: float, known: np.ndarray, count
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _small(batches):
-            sets = [shingle_set(text.as_py(), words) for text in batch.column(2)]
+            hashes = [shingle_hashes(text.as_py() or b"", words) for text in batch.column(2)]
+            bits = np.concatenate([simhash.majority_bits(x, np.array([len(x)])) for x in hashes])
+            sets = [np.unique(x) for x in hashes]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([digest(x) for x in sets], pa.binary()), pa.array([len(x) for x in sets], pa.int32()), pa.array([first(x) for x in sets], pa.binary())],
-                ["doc_id", "text_key", "digest", "n", "prefix"],
+                [batch.column(0), batch.column(1), pa.array([digest(x) for x in sets], pa.binary()), pa.array([len(x) for x in sets], pa.int32()), pa.array([first(x) for x in sets], pa.binary()), simhash.packed(bits)],
+                ["doc_id", "text_key", "digest", "n", "prefix", "fingerprint"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return _texts(docs).mapInArrow(run, f"doc_id {kind}, text_key long, digest binary, n int, prefix binary")
+    return _texts(docs).mapInArrow(giving_back(run), f"doc_id {kind}, text_key long, digest binary, n int, prefix binary, fingerprint binary")
 
 
 def _bucket_rows(nodes: DataFrame) -> DataFrame:
-    """key, node, n, at: a row for each member of a node's prefix; at is its place, from 1."""
+    """key, node, n, at, root: a row for each member of a node's prefix; at is its place, from 1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for node, n, prefix in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            for node, n, prefix, root in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 keys = np.frombuffer(prefix, dtype=np.int64)
-                made = [keys, np.full(len(keys), node, np.int64), np.full(len(keys), n, np.int32), np.arange(1, len(keys) + 1, dtype=np.int32)]
+                made = [keys, np.full(len(keys), node, np.int64), np.full(len(keys), n, np.int32), np.arange(1, len(keys) + 1, dtype=np.int32), np.full(len(keys), root, np.int64)]
                 if len(keys):
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in made], ["key", "node", "n", "at"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in made], ["key", "node", "n", "at", "root"])
+
+    return nodes.select("node", "n", "prefix", "root").mapInArrow(run, "key long, node long, n int, at int, root long")
+
 
-    return nodes.select("node", "n", "prefix").mapInArrow(run, "key long, node long, n int, at int")
+def fingerprint_pairs(nodes: DataFrame, most: int) -> DataFrame:
+    """u, v: nodes whose fingerprints differ in at most `most` bits, as stars. nodes: node, fingerprint.
+
+    Nodes of one fingerprint meet the least of them; fingerprints meet as simhash.near_duplicates links them, each as the least of its nodes.
+    """
+    kinds = staged(nodes.groupBy("fingerprint").agg(F.min("node").alias("first"), F.count("*").alias("size")))
+    links = simhash.bucket_links(simhash.chain_keys(kinds, 1, most), 1, most, most, CHUNK).distinct()
+    u, v = (kinds.select(F.col("fingerprint").alias(x), F.col("first").alias(f"f{x}")) for x in ("u", "v"))
+    same = nodes.join(kinds.where("size > 1"), "fingerprint").where("node <> first").select(F.col("first").alias("u"), F.col("node").alias("v"))
+    far = links.join(u, "u").join(v, "v").select(F.least("fu", "fv").alias("u"), F.greatest("fu", "fv").alias("v"))
+    return same.unionByName(far)
 
 
 def _may_reach(n: str, at: str, m: str, where: str, least: float):
@@ -127,7 +145,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep)) for i in (0, 1)], ["u", "v"])
 
     left, right = (sets.select(F.col("node").alias(x), F.col("members").alias(f"m{x}")) for x in ("u", "v"))
-    return pairs.join(left, "u").join(right, "v").select("u", "v", "mu", "mv").mapInArrow(run, "u long, v long")
+    return pairs.join(left, "u").join(right, "v").select("u", "v", "mu", "mv").mapInArrow(giving_back(run), "u long, v long")
 
 
 def reachable(a: np.ndarray, b: np.ndarray, n: int, m: int, known: np.ndarray, least: float) -> bool:
@@ -172,7 +190,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     wanted = staged(wanted.select("node", "digest", "sample"))  # a table, so that its true size decides how it is joined
     sampled = wanted.select(F.col("sample.text_key").alias("_key"), F.col("sample.doc_id").alias("_id"))
     texts = _texts(docs).join(sampled, (F.col("text_key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    found = texts.mapInArrow(run, "digest binary, members binary").join(wanted.select("digest", "node"), "digest")
+    found = texts.mapInArrow(giving_back(run), "digest binary, members binary").join(wanted.select("digest", "node"), "digest")
     return found.groupBy("node").agg(F.first("members").alias("members"))
 
 
@@ -202,25 +220,22 @@ def _open(rows: DataFrame) -> DataFrame:
     return staged(rows.join(told, F.col("key") == F.col("_key")).select("key", "node", "n", "at", "size", "root", "c"))
 
 
-def similar_groups(docs: DataFrame, words: int = 5, least: float = 0.8, direct: int = 256) -> DataFrame:
+def similar_groups(docs: DataFrame, words: int = 5, least: float = 0.8, direct: int = 256, most: int = 3) -> DataFrame:
     """doc_id, text_key, component of every row: a number that the rows which links reach share.
 
     docs: doc_id, text; other columns are ignored. Two texts link if the sets of their shingles have a Jaccard of
-    `least` or more. Texts without a word have the empty set and are one group. The nodes of a bucket first meet one of them, in buckets of
-    more than `direct` nodes up to STAR_ROUNDS of them, and then those of other components: the components are the same as by all pairs.
+    `least` or more. Texts without a word have the empty set and are one group. Nodes whose fingerprints differ in at most `most` bits meet first. Then
+    the nodes of a bucket of a prefix's member meet one of them, in buckets of more than `direct` nodes up to STAR_ROUNDS of them, and then those of
+    other components: the components are the same as by all pairs.
     """
     known, counts = _frequent(docs, words, 16)
     prints = staged(prefixes(docs, words, least, known, counts))
-    nodes = prints.groupBy("digest").agg(F.min(F.struct("text_key", "doc_id")).alias("sample"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    nodes = prints.groupBy("digest").agg(F.min(F.struct("text_key", "doc_id")).alias("sample"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.min("fingerprint").alias("fingerprint"))
     nodes = staged(nodes.withColumn("node", F.monotonically_increasing_id()))
-    members = staged(_bucket_rows(nodes))
-    keyed = members.join(_told(members).select("_key"), F.col("key") == F.col("_key")).drop("_key").withColumn("root", F.col("node"))
-    members, made = staged(keyed), members
-    discard(made)
     held: list[DataFrame] = []  # the sets of nodes that were ends of a pair so far
 
     def links_of(pairs: DataFrame) -> DataFrame:
-        pairs = staged(pruned(pairs.distinct(), nodes, known, least))
+        pairs = staged(pairs)
         ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
         for sets in held:
             ends = ends.join(sets.select("node"), "node", "left_anti")
@@ -232,15 +247,26 @@ def similar_groups(docs: DataFrame, words: int = 5, least: float = 0.8, direct:
         discard(wanted)
         return found
 
+    def near(pairs: DataFrame) -> DataFrame:
+        return links_of(pruned(pairs.distinct(), nodes, known, least))
+
     def stars(rows: DataFrame) -> DataFrame:
         """u, v: each node of a bucket and its centre."""
         met = rows.where("node <> c.node and root <> c.root").where(_may_reach("n", "at", "c.n", "c.at", least))
         return met.select(F.col("node").alias("u"), F.col("c.node").alias("v"))
 
+    links = links_of(fingerprint_pairs(nodes, most))
+    roots = staged(components(links))
+    made = staged(_bucket_rows(nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))))
+    apart = _told(made, low=F.min("root"), high=F.max("root")).where("low < high").select("_key")
+    members = staged(made.join(apart, F.col("key") == F.col("_key")).drop("_key"))
+    discard(made)
     rows = _open(members)
     discard(members)
-    links = links_of(stars(rows))
-    roots = staged(components(links))
+    found = near(stars(rows))
+    if not found.isEmpty():
+        links = staged(links.unionByName(found))
+        roots = staged(components(links))
     left = rows.where("node <> c.node")  # a centre has met all of its bucket
     for round_ in range(STAR_ROUNDS + 1):
         now = left.select("key", "node", "n", "at").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -250,13 +276,13 @@ def similar_groups(docs: DataFrame, words: int = 5, least: float = 0.8, direct:
         large = rows.where(F.col("size") > direct)
         if round_ == STAR_ROUNDS or large.isEmpty():
             break
-        found = links_of(stars(large))
+        found = near(stars(large))
         if not found.isEmpty():
             links = staged(links.unionByName(found))
             roots = staged(components(links))
         left = rows.where((F.col("size") <= direct) | (F.col("node") != F.col("c.node")))
     if not rows.isEmpty():
-        links = staged(links.unionByName(links_of(_pairs(rows, least))))
+        links = staged(links.unionByName(near(_pairs(rows, least))))
         roots = staged(components(links))
     for table in (rows, *held):
         discard(table)

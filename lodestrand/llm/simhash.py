@@ -16,7 +16,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestrand.llm import near_copies
 from lodestrand.llm.shingles import shingle_hashes
 from lodestrand.operators.graph import components, stars
 from lodestrand.storage import staged
@@ -53,6 +52,11 @@ def majority_bits(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
+def packed(bits: np.ndarray) -> pa.Array:
+    """Fingerprints as binary; a row holds its blocks, most significant byte first."""
+    return pa.array([x.tobytes() for x in bits.reshape(len(bits), -1).astype(">u8")], pa.binary())
+
+
 def fingerprints(docs: DataFrame, words: int = 3, blocks: int = 1) -> DataFrame:
     """doc_id and fingerprint (binary, 8 bytes for each block, most significant first) of every whole text.
 
@@ -63,8 +67,7 @@ def fingerprints(docs: DataFrame, words: int = 3, blocks: int = 1) -> DataFrame:
         sizes = np.array([len(x) for x in hashes], dtype=np.int64)
         every = np.concatenate(hashes)
         bits = np.stack([majority_bits(mixed(every, b), sizes) for b in range(blocks)], axis=1)
-        raw = np.ascontiguousarray(bits.astype(">u8")).view(f"V{8 * blocks}")[:, 0]
-        return pa.RecordBatch.from_arrays([pa.concat_arrays(ids), pa.array([x.tobytes() for x in raw], pa.binary())], ["doc_id", "fingerprint"])
+        return pa.RecordBatch.from_arrays([pa.concat_arrays(ids), packed(bits)], ["doc_id", "fingerprint"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -230,6 +233,8 @@ def deduplicate(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFram
     doc_id and text the one whose other columns come first as JSON. Null and empty texts are one group. All columns of docs are kept;
     an empty table gives an empty table.
     """
+    from lodestrand.llm import near_copies  # which builds on this module
+
     groups = staged(near_copies.similar_groups(docs, words, least))
     by = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
     first = groups.groupBy("component").agg(F.min(by).alias("b")).select(F.col("b.doc_id").alias("id"), F.col("b.text_key").alias("key"))

@@ -105,3 +105,25 @@ def test_prefixes_rule_out_no_pair_that_has_the_similarity():
         assert may or not near
         kept[bool(near)] += may
     assert kept[True] > 300 and kept[False] < 1200
+
+
+def test_fingerprints_link_first(spark, monkeypatch):
+    """Without prefixes, texts are grouped as SimHash fingerprints link them; a link of texts that are no near copies isn't one."""
+    rng = np.random.default_rng(8)
+    texts = []
+    for b in range(25):
+        words = [f"b{b}w{i}" for i in range(int(rng.integers(80, 300)))]
+        texts += [" ".join(words)] + [" ".join([*words[:-1], f"end{i}"]) for i in range(3)]
+    texts += ["x x x x x", "x x x x x x x x y"]  # one fingerprint, and one of two shingles is shared
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    by_print = {}
+    for r in simhash.near_duplicates(docs, words=5, most=3).collect():
+        by_print.setdefault(r["component_id"], set()).add(r["doc_id"])
+    assert {100, 101} in by_print.values() and 26 < len(by_print) < 90
+    expected = sorted(sorted(x) for x in by_print.values() if x != {100, 101}) + [[100], [101]]
+    made = near_copies._bucket_rows
+    monkeypatch.setattr(near_copies, "_bucket_rows", lambda nodes: made(nodes).limit(0))
+    found = {}
+    for r in near_copies.similar_groups(docs).collect():
+        found.setdefault(r["component"], set()).add(r["doc_id"])
+    assert sorted(sorted(x) for x in found.values()) == expected
