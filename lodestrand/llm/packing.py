@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestrand.llm.byte_bpe import encode_texts, tokenizers_codec
+from lodestrand.llm.memory import giving_back
 from lodestrand.storage import staged, with_rank
 
 
@@ -131,7 +132,7 @@ def tokenized(docs: DataFrame, vocabulary: str, window: int = 2048, end_id: int
             if held:
                 yield told(batch.column(0), owner, start, length, crc, total, ids)
 
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, ddl)
+    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(giving_back(run), ddl)
 
 
 def pack(pieces: DataFrame, window: int = 2048) -> DataFrame:

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestrand.llm.memory import give_back
 from lodestrand.llm.samples import MOST_ROWS, labelled_sample
 from lodestrand.storage import staged
 
@@ -203,6 +204,8 @@ def score(docs: DataFrame, model: QualityModel, out: str = "quality_score") -> D
         words = Words()
         for column in batches:
             yield pd.Series(shared.value.scores(list(column), words), dtype="float64")
+        words.clear()
+        give_back()
 
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
     return docs.withColumn(out, scores(text))
