@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding with a local vocabulary file.
 
 A text is cut before every space that a non-space follows. The split pattern always starts a new match
-there, so the pieces are encoded apart, and equal pieces of a batch are encoded once.
+there, so the pieces are encoded apart, equal pieces of a batch once, and common ones once in a worker.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 SAFE_CUT = re.compile(r" (?=\S)")
 #: Characters of a long text, and bytes of a batch of texts, that are handled at a time.
 SEGMENT, BATCH_BYTES, JOINED = 1 << 15, 8 << 20, 32
+#: Pieces whose ids a worker keeps (about 40 bytes each).
+KNOWN = 1 << 18
 
 
 def segments(text: str, size: int = SEGMENT, safe: re.Pattern = SAFE_CUT) -> Iterator[str]:
@@ -37,6 +39,12 @@ def segments(text: str, size: int = SEGMENT, safe: re.Pattern = SAFE_CUT) -> Ite
     yield text[start:]
 
 
+def _joined(pieces: pa.Array, each: int) -> list[str]:
+    """Texts of so many pieces, a space before each piece."""
+    ends = np.append(np.arange(0, len(pieces), each), len(pieces)).astype(np.int32)
+    return [" " + x for x in pc.binary_join(pa.ListArray.from_arrays(pa.array(ends), pieces), " ").to_pylist()]
+
+
 class TiktokenCodec:
     """The tiktoken library with a rank file."""
 
@@ -45,6 +53,7 @@ class TiktokenCodec:
 
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+        self.known = KnownPieces()
         self.encoding = tiktoken.Encoding("local", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.token_bytes = np.zeros(max(ranks.values()) + 1, dtype=np.int64)
         for token, rank in ranks.items():
@@ -53,10 +62,9 @@ class TiktokenCodec:
     def encode(self, text: str) -> np.ndarray:
         return np.concatenate([np.asarray(self.encoding.encode_ordinary(x), dtype=np.uint32) for x in segments(text)])
 
-    def encode_joined(self, pieces: list[str]) -> np.ndarray:
+    def encode_joined(self, pieces: pa.Array) -> np.ndarray:
         """The ids of the pieces, a space before each."""
-        groups = [self.encoding.encode_ordinary(" " + " ".join(pieces[i : i + 4096])) for i in range(0, len(pieces), 4096)]
-        return np.concatenate([np.asarray(x, dtype=np.uint32) for x in groups])
+        return np.concatenate([np.asarray(self.encoding.encode_ordinary(x), dtype=np.uint32) for x in _joined(pieces, 4096)])
 
     def decode(self, ids: list[int]) -> bytes:
         return self.encoding.decode_bytes(ids)
@@ -69,6 +77,7 @@ class TokenizersCodec:
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core; each thread of the library would keep memory of its own
+        self.known = KnownPieces()
         self.tokenizer = Tokenizer.from_file(path)
         special = "|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values())
         self.safe = re.compile(rf" (?=\S)(?!(?:{special}))" if special else SAFE_CUT.pattern)  # white space before a special token ends a text of its own
@@ -80,8 +89,8 @@ class TokenizersCodec:
     def encode(self, text: str) -> np.ndarray:
         return np.concatenate([np.asarray(self.tokenizer.encode(x, add_special_tokens=False).ids, dtype=np.uint32) for x in segments(text, safe=self.safe)])
 
-    def encode_joined(self, pieces: list[str]) -> np.ndarray:
-        groups = [" " + " ".join(pieces[i : i + JOINED]) for i in range(0, len(pieces), JOINED)]
+    def encode_joined(self, pieces: pa.Array) -> np.ndarray:
+        groups = _joined(pieces, JOINED)
         found = [self.tokenizer.encode_batch_fast(groups[i : i + 256], add_special_tokens=False) for i in range(0, len(groups), 256)]
         return np.concatenate([np.asarray(x.ids, dtype=np.uint32) for group in found for x in group])
 
@@ -108,28 +117,55 @@ def _slices(column: pa.Array, most: int = BATCH_BYTES) -> Iterator[pa.Array]:
         start = end
 
 
+def _spaced(pieces: pa.Array, codec) -> pa.ListArray:
+    """The ids of each piece (none is empty or starts with white space) with a space before it."""
+    ids = codec.encode_joined(pieces) if len(pieces) else np.zeros(0, np.uint32)
+    byte_ends = np.cumsum(pc.binary_length(pieces).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+    ends = np.searchsorted(np.cumsum(codec.token_bytes[ids]), byte_ends, side="left") + 1  # the token that ends a piece
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(ids))
+
+
+class KnownPieces:
+    """The ids of pieces that a worker has met, in two flat Arrow arrays: the first `most` of them, and short ones only."""
+
+    def __init__(self, most: int = KNOWN, longest: int = 64):
+        self.most, self.longest = most, longest
+        self.pieces, self.ids = pa.array([], pa.string()), pa.array([], pa.list_(pa.uint32()))
+
+    def find(self, pieces: pa.Array, wanted: np.ndarray, codec) -> tuple[pa.ListArray, np.ndarray]:
+        """A table of ids, and the row of each wanted piece there (others: no row that is of use). What isn't known is encoded, and kept while there is room."""
+        at = pc.fill_null(pc.index_in(pieces, value_set=self.pieces), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        new = np.flatnonzero((at < 0) & wanted)
+        fresh = pieces.take(pa.array(new))
+        ids = _spaced(fresh, codec)
+        at[new] = len(self.pieces) + np.arange(len(new))
+        table = pa.concat_arrays([self.ids, ids])
+        room = self.most - len(self.pieces)
+        if room > 0 and len(new):
+            kept = pa.array(np.flatnonzero(pc.binary_length(fresh).to_numpy(zero_copy_only=False) <= self.longest)[:room])
+            self.pieces, self.ids = pa.concat_arrays([self.pieces, fresh.take(kept)]), pa.concat_arrays([self.ids, ids.take(kept)])
+        return table, at
+
+
 def _encode_slice(column: pa.Array, codec) -> Iterator[np.ndarray]:
     split = pc.split_pattern(column, " ")
     starts = split.offsets.to_numpy()
     pieces = split.flatten().dictionary_encode()
-    at = pieces.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    at = pieces.indices.to_numpy(zero_copy_only=False)
     starts = starts - starts[0]
-    unique = pieces.dictionary.to_pylist()
-    unsafe = np.fromiter((not x or x[0].isspace() for x in unique), dtype=bool, count=len(unique))
+    unique = pieces.dictionary
+    unsafe = pc.or_(pc.equal(unique, ""), pc.utf8_is_space(pc.utf8_slice_codeunits(unique, 0, 1))).to_numpy(zero_copy_only=False)
     first = np.zeros(len(at), dtype=bool)
     first[starts[:-1]] = True
-    odd = np.add.reduceat(unsafe[at] & ~first, starts[:-1]) > 0  # here a space is followed by white space or the end
-    ids = codec.encode_joined(["x" if bad else x for x, bad in zip(unique, unsafe, strict=True)]) if unique else np.zeros(0, np.uint32)
-    byte_ends = np.cumsum([len(x.encode()) + 1 if not bad else 2 for x, bad in zip(unique, unsafe, strict=True)])
-    ends = np.searchsorted(np.cumsum(codec.token_bytes[ids]), byte_ends, side="left") + 1  # the token that ends a piece
-    table = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(ids))
+    odd = np.logical_or.reduceat(unsafe[at] & ~first, starts[:-1])  # here a space is followed by white space or the end
+    table, known = codec.known.find(unique, ~unsafe, codec)
     for row in range(len(column)):
         if odd[row]:
             yield codec.encode(column[row].as_py())
             continue
         lo, hi = starts[row], starts[row + 1]
-        head = unique[at[lo]]
-        rest = table.take(pa.array(at[lo + 1 : hi])).flatten().to_numpy() if hi > lo + 1 else np.zeros(0, np.uint32)
+        head = unique[at[lo]].as_py()
+        rest = table.take(pa.array(known[at[lo + 1 : hi]])).flatten().to_numpy() if hi > lo + 1 else np.zeros(0, np.uint32)
         yield np.concatenate([codec.encode(head), rest]) if head else rest
 
 

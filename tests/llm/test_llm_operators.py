@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
@@ -139,6 +140,25 @@ def test_packing(spark, odd, documents):
     assert by[3]["n"] == 2 and by[3]["tokens"] == 2 * by[3]["each"] and by[None]["n"] == 1 and len(every) == 11
 
 
+@pytest.mark.parametrize("kept", [0, 3, 100, 1 << 18])
+def test_pieces_are_encoded_once_in_a_worker(kept):
+    tokenizer = Tokenizer.from_file(VOCABULARY)
+    tiktoken_ids = byte_bpe.tiktoken_codec(RANKS, PATTERN).encoding.encode_ordinary
+    texts = [t or "" for t in TEXTS] + [" lead", "trail ", "a  b", "a \x1cb", "a \u2003b", "é\u00a0ü ß", "it's don't 12 a12 ...", "y" * 100 + " " + "y" * 100]
+    rng = np.random.default_rng(3)
+    texts += [" ".join(rng.choice([f"Wört{i}," for i in range(300)], 40)) for _ in range(30)]
+    for codec, encode in ((byte_bpe.TokenizersCodec(VOCABULARY), lambda t: tokenizer.encode(t, add_special_tokens=False).ids), (byte_bpe.TiktokenCodec(RANKS, PATTERN), tiktoken_ids)):
+        codec.known = byte_bpe.KnownPieces(kept)
+        encoded, plain = [], codec.encode_joined
+        codec.encode_joined = lambda pieces, encoded=encoded, plain=plain: encoded.extend(pieces.to_pylist()) or plain(pieces)
+        for part in (texts[:20], texts[20:], texts):
+            encoded.clear()
+            assert [x.tolist() for x in byte_bpe.encode_texts(pa.array(part), codec)] == [encode(t) for t in part]
+        assert len(codec.known.pieces) == len(codec.known.ids) <= kept and all(len(x) <= 64 for x in codec.known.pieces.to_pylist())
+        if kept == 1 << 18:
+            assert set(encoded) == {t for t in ("x" * 3000, "y" * 100)}  # long ones aren't kept
+
+
 def test_best_fit_decreasing():
     rng = np.random.default_rng(0)
     for _ in range(20):
