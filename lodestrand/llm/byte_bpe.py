@@ -91,8 +91,10 @@ class TokenizersCodec:
 
     def encode_joined(self, pieces: pa.Array) -> np.ndarray:
         groups = _joined(pieces, JOINED)
-        found = [self.tokenizer.encode_batch_fast(groups[i : i + 256], add_special_tokens=False) for i in range(0, len(groups), 256)]
-        return np.concatenate([np.asarray(x.ids, dtype=np.uint32) for group in found for x in group])
+        found: list[np.ndarray] = []
+        for i in range(0, len(groups), 256):  # the library's results are far larger than the ids, so those of one part are held
+            found += [np.asarray(x.ids, dtype=np.uint32) for x in self.tokenizer.encode_batch_fast(groups[i : i + 256], add_special_tokens=False)]
+        return np.concatenate(found)
 
 
 @cache

@@ -1,4 +1,4 @@
-"""What a Python worker gives back at the end of a partition."""
+"""What a Python worker gives back at the end of a partition or a batch."""
 
 from __future__ import annotations
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestrand.llm.byte_bpe import encode_texts, tokenizers_codec
-from lodestrand.llm.memory import giving_back
+from lodestrand.llm.memory import give_back
 from lodestrand.storage import staged, with_rank
 
 
@@ -131,8 +131,9 @@ def tokenized(docs: DataFrame, vocabulary: str, window: int = 2048, end_id: int
                     owner, start, length, crc, total, ids, held = [], [], [], [], [], [], 0
             if held:
                 yield told(batch.column(0), owner, start, length, crc, total, ids)
+            give_back()  # what a batch needed for a moment, before the next one needs it elsewhere
 
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(giving_back(run), ddl)
+    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, ddl)
 
 
 def pack(pieces: DataFrame, window: int = 2048) -> DataFrame:

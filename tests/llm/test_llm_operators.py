@@ -1,6 +1,7 @@
 """The first ten operators against brute force, and on nulls, empty and long texts, ties, repeated rows, empty tables and more columns."""
 
 import hashlib
+import weakref
 import zlib
 
 import numpy as np
@@ -140,6 +141,27 @@ def test_packing(spark, odd, documents):
     assert by[3]["n"] == 2 and by[3]["tokens"] == 2 * by[3]["each"] and by[None]["n"] == 1 and len(every) == 11
 
 
+def test_packing_holds_few_results_of_the_tokenizer(monkeypatch):
+    """The library's results are some hundred bytes a token: only those of a part of a batch's words may be alive at a time."""
+    alive, most = weakref.WeakSet(), []
+
+    class Result:
+        ids = [5]
+
+    class Stub:
+        def encode_batch_fast(self, groups, add_special_tokens):
+            made = [Result() for _ in groups]
+            alive.update(made)
+            most.append(len(alive))
+            return made
+
+    codec = byte_bpe.TokenizersCodec(VOCABULARY)
+    monkeypatch.setattr(codec, "tokenizer", Stub())
+    groups = 4096
+    assert len(codec.encode_joined(pa.array([f"w{i}" for i in range(groups * byte_bpe.JOINED)]))) == groups
+    assert max(most) <= 512
+
+
 @pytest.mark.parametrize("kept", [0, 3, 100, 1 << 18])
 def test_pieces_are_encoded_once_in_a_worker(kept):
     tokenizer = Tokenizer.from_file(VOCABULARY)
