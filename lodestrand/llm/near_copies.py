@@ -32,6 +32,8 @@ SLACK = 1e-9
 FREQUENT, STAR_ROUNDS = 200_000, 4
 #: Nodes of a bucket that meet in one task.
 CHUNK = 2000
+#: Nodes that are sent to every task, so that a larger table that is joined with them isn't shuffled.
+FEW = 1 << 17
 
 
 def shingle_set(text: bytes | None, words: int) -> np.ndarray:
@@ -126,6 +128,16 @@ def fingerprint_pairs(nodes: DataFrame, most: int) -> DataFrame:
     return same.unionByName(far)
 
 
+def _few(table: DataFrame) -> DataFrame:
+    """A staged table of a few narrow columns, sent to every task if it is small."""
+    return F.broadcast(table) if table.limit(FEW + 1).count() <= FEW else table
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    """node: the ends of the pairs."""
+    return pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+
+
 def _may_reach(n: str, at: str, m: str, where: str, least: float):
     """Whether sizes and the places of the first shared member allow the similarity. No pair that has it is refused at that member."""
     needed = F.lit(least / (1 + least)) * (F.col(n) + F.col(m))
@@ -180,17 +192,16 @@ def pruned(pairs: DataFrame, nodes: DataFrame, known: np.ndarray, least: float)
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """node, members of the wanted nodes (node, digest, sample: the text_key and doc_id of a row that has it). Only whole texts that are wanted are hashed, where they are read."""
+    """node, members of the wanted nodes (a table of node, digest, sample: the text_key and doc_id of a row that has it). Only whole texts that are wanted are hashed, where they are read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _small(batches):
             sets = [shingle_set(text.as_py(), words) for text in batch.column(2)]
             yield pa.RecordBatch.from_arrays([pa.array([digest(x) for x in sets], pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())], ["digest", "members"])
 
-    wanted = staged(wanted.select("node", "digest", "sample"))  # a table, so that its true size decides how it is joined
     sampled = wanted.select(F.col("sample.text_key").alias("_key"), F.col("sample.doc_id").alias("_id"))
-    texts = _texts(docs).join(sampled, (F.col("text_key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    found = texts.mapInArrow(giving_back(run), "digest binary, members binary").join(wanted.select("digest", "node"), "digest")
+    texts = _texts(docs).join(_few(sampled), (F.col("text_key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    found = texts.mapInArrow(giving_back(run), "digest binary, members binary").join(_few(wanted.select("digest", "node")), "digest")
     return found.groupBy("node").agg(F.first("members").alias("members"))
 
 
@@ -225,8 +236,8 @@ def similar_groups(docs: DataFrame, words: int = 5, least: float = 0.8, direct:
 
     docs: doc_id, text; other columns are ignored. Two texts link if the sets of their shingles have a Jaccard of
     `least` or more. Texts without a word have the empty set and are one group. Nodes whose fingerprints differ in at most `most` bits meet first. Then
-    the nodes of a bucket of a prefix's member meet one of them, in buckets of more than `direct` nodes up to STAR_ROUNDS of them, and then those of
-    other components: the components are the same as by all pairs.
+    the nodes of a bucket of a prefix's member meet one of them, in buckets of more than `direct` nodes up to STAR_ROUNDS more of them (smaller ones wait
+    meanwhile), and then those of other components: the components are the same as by all pairs. The result is a table of its own.
     """
     known, counts = _frequent(docs, words, 16)
     prints = staged(prefixes(docs, words, least, known, counts))
@@ -236,19 +247,24 @@ def similar_groups(docs: DataFrame, words: int = 5, least: float = 0.8, direct:
 
     def links_of(pairs: DataFrame) -> DataFrame:
         pairs = staged(pairs)
-        ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-        for sets in held:
-            ends = ends.join(sets.select("node"), "node", "left_anti")
-        wanted = staged(nodes.join(ends, "node", "left_semi"))
+        ends = staged(_ends(pairs))
+        new = staged(reduce(lambda x, sets: x.join(sets.select("node"), "node", "left_anti"), held, ends))
+        wanted = staged(nodes.select("node", "digest", "sample").join(_few(new), "node", "left_semi"))
         if not wanted.isEmpty():
             held.append(staged(_sets(docs, wanted, words)))
-        found = staged(confirmed(pairs, reduce(DataFrame.unionByName, held), least) if held else pairs)  # without sets there are no pairs
-        discard(pairs)
-        discard(wanted)
+        sets = reduce(DataFrame.unionByName, held).join(_few(ends), "node", "left_semi") if held else None
+        found = staged(confirmed(pairs, sets, least) if held else pairs)  # without sets there are no pairs
+        for table in (pairs, ends, new, wanted):
+            discard(table)
         return found
 
     def near(pairs: DataFrame) -> DataFrame:
-        return links_of(pruned(pairs.distinct(), nodes, known, least))
+        pairs = staged(pairs.distinct())
+        ends = staged(_ends(pairs))
+        found = links_of(pruned(pairs, nodes.join(_few(ends), "node", "left_semi"), known, least))
+        discard(pairs)
+        discard(ends)
+        return found
 
     def stars(rows: DataFrame) -> DataFrame:
         """u, v: each node of a bucket and its centre."""
@@ -257,34 +273,51 @@ def similar_groups(docs: DataFrame, words: int = 5, least: float = 0.8, direct:
 
     links = links_of(fingerprint_pairs(nodes, most))
     roots = staged(components(links))
-    made = staged(_bucket_rows(nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))))
-    apart = _told(made, low=F.min("root"), high=F.max("root")).where("low < high").select("_key")
+
+    def joined(found: DataFrame) -> bool:
+        """Take the links that were found in; whether there are any."""
+        nonlocal links, roots
+        before = [found]
+        if some := not found.isEmpty():
+            before += [links, roots]
+            links = staged(links.unionByName(found))
+            roots = staged(components(links))
+        for table in before:
+            discard(table)
+        return some
+
+    def rooted(table: DataFrame) -> DataFrame:
+        return table.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+    def still_open(rows: DataFrame) -> DataFrame:
+        now = staged(rooted(rows.select("key", "node", "n", "at")))  # _open reads it twice
+        found = _open(now)
+        discard(now)
+        return found
+
+    made = staged(_bucket_rows(rooted(nodes.select("node", "n", "prefix"))))
+    apart = made.groupBy(F.col("key").alias("_key")).agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("_key")
     members = staged(made.join(apart, F.col("key") == F.col("_key")).drop("_key"))
     discard(made)
     rows = _open(members)
     discard(members)
-    found = near(stars(rows))
-    if not found.isEmpty():
-        links = staged(links.unionByName(found))
-        roots = staged(components(links))
-    left = rows.where("node <> c.node")  # a centre has met all of its bucket
-    for round_ in range(STAR_ROUNDS + 1):
-        now = left.select("key", "node", "n", "at").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        now = _open(now)
-        discard(rows)
-        rows = now
-        large = rows.where(F.col("size") > direct)
-        if round_ == STAR_ROUNDS or large.isEmpty():
+    joined(near(stars(rows)))
+    kept = [still_open(rows.where("node <> c.node"))]  # a centre has met all of its bucket
+    discard(rows)
+    moved = False
+    for _ in range(STAR_ROUNDS):  # of large buckets only: the others wait for the last step
+        large = kept[-1].where(F.col("size") > direct)
+        if large.isEmpty():
             break
-        found = near(stars(large))
-        if not found.isEmpty():
-            links = staged(links.unionByName(found))
-            roots = staged(components(links))
-        left = rows.where((F.col("size") <= direct) | (F.col("node") != F.col("c.node")))
+        moved |= joined(near(stars(large)))
+        kept.append(still_open(large.where("node <> c.node")))
+    rows = reduce(DataFrame.unionByName, [x.where(F.col("size") <= direct) for x in kept[:-1]], kept[-1])
+    if moved:
+        kept.append(rows := still_open(rows))
     if not rows.isEmpty():
-        links = staged(links.unionByName(near(_pairs(rows, least))))
-        roots = staged(components(links))
-    for table in (rows, *held):
+        joined(near(_pairs(rows, least)))
+    groups = rooted(nodes.select("digest", "node")).select("digest", F.col("root").alias("component"))
+    groups = staged(prints.select("doc_id", "text_key", "digest").join(groups, "digest").drop("digest"))
+    for table in (*kept, *held, links, roots, nodes, prints):
         discard(table)
-    rooted = nodes.select("digest", "node").join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("component"))
-    return prints.select("doc_id", "text_key", "digest").join(rooted, "digest").drop("digest")
+    return groups

@@ -18,7 +18,7 @@ from pyspark.sql.window import Window
 
 from lodestrand.llm.shingles import shingle_hashes
 from lodestrand.operators.graph import components, stars
-from lodestrand.storage import staged
+from lodestrand.storage import discard, staged
 
 SEGMENTS, SEGMENT_BITS = 8, 8
 LANES = np.uint64(0x0101010101010101)
@@ -235,11 +235,12 @@ def deduplicate(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFram
     """
     from lodestrand.llm import near_copies  # which builds on this module
 
-    groups = staged(near_copies.similar_groups(docs, words, least))
+    groups = near_copies.similar_groups(docs, words, least)
     by = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
     first = groups.groupBy("component").agg(F.min(by).alias("b")).select(F.col("b.doc_id").alias("id"), F.col("b.text_key").alias("key"))
     repeated = groups.groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).agg(F.count("*").alias("n"))
     stay = staged(first.join(repeated, F.col("id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key"))).select("id", "key", "n"))
+    discard(groups)
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))  # whole rows: their names can't clash
     rows = rows.withColumn("_key", near_copies.text_key(F.col("row.text")))
     met = F.col("row.doc_id").eqNullSafe(F.col("id")) & (F.col("_key") == F.col("key"))

@@ -127,3 +127,49 @@ def test_fingerprints_link_first(spark, monkeypatch):
     for r in near_copies.similar_groups(docs).collect():
         found.setdefault(r["component"], set()).add(r["doc_id"])
     assert sorted(sorted(x) for x in found.values()) == expected
+
+
+def test_small_buckets_wait_while_large_ones_meet_more_centres(spark, monkeypatch):
+    """Texts that share a passage and no more: one large bucket for its shingles, and many of three. The latter are joined with their roots once, not once a round."""
+    texts = [" ".join([f"c{j}" for j in range(12)] + [f"u{i}x{j}" for j in range(2)]) + f" o{i}" for i in range(40)]
+    texts += [" ".join([f"k{i // 3}x{j}" for j in range(8)] + [f"s{i}x{j}" for j in range(40)]) for i in range(90)]
+    docs, seen, made = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), [], near_copies._open
+
+    def watched(rows):
+        seen.append(rows.count())
+        return made(rows)
+
+    monkeypatch.setattr(near_copies, "_open", watched)
+    monkeypatch.setattr(near_copies, "_frequent", lambda docs, words, share: (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
+    groups = {}
+    for r in near_copies.similar_groups(docs, direct=5).collect():
+        groups.setdefault(r["component"], set()).add(r["doc_id"])
+    assert {min(x) for x in groups.values()} == kept_by_brute_force(texts)
+    assert len(seen) >= 4 and sum(seen[2:]) < seen[1] * (len(seen) - 2) * 0.8, seen
+    assert all(x < 0.8 * seen[1] for x in seen[2:]), seen
+
+
+def test_few_ends_are_sent_to_the_tasks(spark, monkeypatch):
+    """Ends of pairs, few or many, give the same groups."""
+    rng = np.random.default_rng(9)
+    texts = [t for target in (0.75, 0.85) for _ in range(6) for t in planted(rng, 80, target)]
+    expected = kept(spark, texts)
+    assert expected == kept_by_brute_force(texts)
+    monkeypatch.setattr(near_copies, "FEW", 1)
+    assert kept(spark, texts) == expected
+
+
+def test_what_near_dedup_leaves_in_the_shared_folder(spark, monkeypatch):
+    """Prefixes, sets and buckets go when the groups are known."""
+    made, tables = near_copies.staged, []
+
+    def watched(df):
+        tables.append(made(df))
+        return tables[-1]
+
+    monkeypatch.setattr(near_copies, "staged", watched)
+    rng = np.random.default_rng(10)
+    kept(spark, [t for target in (0.75, 0.85) for _ in range(6) for t in planted(rng, 80, target)])
+    path = lambda df: spark._jvm.org.apache.hadoop.fs.Path(df._staged_path)
+    left = [df.columns for df in tables if path(df).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(path(df))]
+    assert len(tables) > 8 and left == [["fingerprint", "first", "size"]], left
