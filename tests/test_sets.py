@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestrand.functions.text import title_tokens
-from lodestrand.operators import greedy, sets
+from lodestrand.operators import greedy, planning, sets
 from lodestrand.operators.graph import components
 from lodestrand.plans.adapters import NOW_MS
 
@@ -72,3 +72,9 @@ def test_wide_titles_travel_whole_and_seldom(spark):
     held = sum(len(r[3]) for r in wordy()) / 1e6
     events = lambda: greedy.event_clusters(tokens, "world").collect()
     assert shuffled(spark, events) < 30 * held
+
+
+def test_wide_titles_of_a_plan(spark):
+    held = sum(len(r[3]) for r in wordy()) / 1e6
+    rows = spark.createDataFrame(wordy(), FACTS)
+    assert shuffled(spark, lambda: planning.planned_stories(rows, NOW_MS).collect()) < 40 * held
