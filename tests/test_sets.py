@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestrand.functions.text import title_tokens
-from lodestrand.operators import greedy, planning, sets
+from lodestrand.operators import greedy, planning, sets, stories
 from lodestrand.operators.graph import components
 from lodestrand.plans.adapters import NOW_MS
 
@@ -66,6 +66,18 @@ def test_word_links(spark, block, fresh):
     assert [found.get(i, i) for i in range(len(words))] == roots(pairs, len(words))
 
 
+def test_related_items_in_blocks(spark, block):
+    rng = np.random.default_rng(3)
+    rows = [(i, None if i % 10 == 9 else [str(w) for w in rng.choice(list("abcdeABC"), rng.integers(0, 5))], None if i % 7 == 0 else int(rng.integers(0, 3))) for i in range(150)]
+    df = spark.createDataFrame(rows, "id int, keywords array<string>, topic int").withColumn("vector", F.lit(None).cast("array<double>"))
+    expected = {}
+    for i, words, topic in rows[:80]:
+        mine = {w.lower() for w in words or []}
+        scored = sorted((-(sum(w.lower() in mine for w in other or []) + (topic is not None and topic == t)), j) for j, other, t in rows if j != i)
+        expected |= {(i, j): -s for s, j in scored[:6] if s}
+    assert {(r["id"], r["other"]): r["score"] for r in stories.related_items(df, F.col("id") < 80).collect()} == expected
+
+
 def test_wide_titles_travel_whole_and_seldom(spark):
     rows = spark.createDataFrame(wordy(), FACTS)
     tokens = rows.withColumn("tokens", title_tokens(F.col("title")))
@@ -78,3 +90,11 @@ def test_wide_titles_of_a_plan(spark):
     held = sum(len(r[3]) for r in wordy()) / 1e6
     rows = spark.createDataFrame(wordy(), FACTS)
     assert shuffled(spark, lambda: planning.planned_stories(rows, NOW_MS).collect()) < 40 * held
+
+
+def test_related_items_do_not_meet_for_each_word(spark):
+    rng = np.random.default_rng(7)
+    held = [(i, [f"word{w}" for w in rng.choice(60, 30, replace=False)], 0) for i in range(1500)]
+    rows = spark.createDataFrame(held, "id long, keywords array<string>, topic int").withColumn("vector", F.lit(None).cast("array<double>"))
+    size = sum(len(w) for _, words, _ in held for w in words) / 1e6
+    assert shuffled(spark, lambda: stories.related_items(rows, F.lit(True)).collect()) < 10 * size
