@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestrand.functions.text import title_tokens
-from lodestrand.operators import greedy, planning, sets, stories
+from lodestrand.operators import greedy, planning, retrieve, sets, stories
 from lodestrand.operators.graph import components
 from lodestrand.plans.adapters import NOW_MS
 
@@ -66,6 +66,15 @@ def test_word_links(spark, block, fresh):
     assert [found.get(i, i) for i in range(len(words))] == roots(pairs, len(words))
 
 
+def test_gated_pairs_in_blocks(spark, block):
+    words, rng = drawn(2)
+    at = [None if i % 20 == 0 else int(rng.integers(-40, 60)) for i in range(len(words))]
+    df = spark.createDataFrame([(i, [str(x) for x in w], t) for i, (w, t) in enumerate(zip(words, at, strict=True))], "id long, tokens array<string>, at long")
+    expected = {(j, i): alike(a, b) for i, a in enumerate(words) for j, b in enumerate(words[:i]) if at[i] is not None and at[j] is not None and abs(at[i] - at[j]) <= 10 and alike(a, b) >= 0.6}
+    found = retrieve.gated_pairs(df, "tokens", 0.6, "at", 10).collect()
+    assert {(r["a"], r["b"]): r["similarity"] for r in found} == expected and len(found) == len(expected)
+
+
 def test_related_items_in_blocks(spark, block):
     rng = np.random.default_rng(3)
     rows = [(i, None if i % 10 == 9 else [str(w) for w in rng.choice(list("abcdeABC"), rng.integers(0, 5))], None if i % 7 == 0 else int(rng.integers(0, 3))) for i in range(150)]
@@ -92,6 +101,12 @@ def test_wide_titles_of_a_plan(spark):
     assert shuffled(spark, lambda: planning.planned_stories(rows, NOW_MS).collect()) < 40 * held
 
 
+def test_wide_titles_in_pairs(spark):
+    held = sum(len(r[3]) for r in wordy()) / 1e6
+    tokens = spark.createDataFrame(wordy(), FACTS).withColumn("tokens", title_tokens(F.col("title")))
+    assert shuffled(spark, lambda: retrieve.gated_pairs(tokens, "tokens", 0.5, "published_at", 86_400_000).collect()) < 10 * held
+
+
 def test_related_items_do_not_meet_for_each_word(spark):
     rng = np.random.default_rng(7)
     held = [(i, [f"word{w}" for w in rng.choice(60, 30, replace=False)], 0) for i in range(1500)]
