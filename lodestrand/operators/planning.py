@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from lodestrand.functions.text import title_tokens
 from lodestrand.operators import greedy, stories
 from lodestrand.operators.graph import AT_ONCE, components
-from lodestrand.operators.retrieve import token_matches, vector_links
+from lodestrand.operators.retrieve import vector_links
+from lodestrand.operators.sets import hashed, word_links
 from lodestrand.storage import staged
 
 #: What of an item the folds need.
@@ -73,12 +74,8 @@ def _nodes(rows: DataFrame) -> DataFrame:
 def _new_links(rows: DataFrame, cosine: float, text: float) -> DataFrame:
     """u, v: the links of greedy.event_groups with a row that is _fresh, over all time."""
     vectors = rows.where("not _bare").groupBy("world", F.col("_node").alias("id")).agg(F.first("embedding").alias("vector"), F.max("_fresh").alias("_fresh"))
-    worded = rows.where("size(tokens) > 0").groupBy("world", "_node", "_bare", F.array_join("tokens", " ").alias("_key")).agg(F.first("tokens").alias("_words"), F.max("_fresh").alias("_fresh"))
-    keyed = F.transform("_words", lambda t: F.concat(F.xxhash64("world").cast("string"), F.lit("|"), t))
-    worded = worded.select(F.struct("_node", "_bare").alias("id"), keyed.alias("tokens"), "_fresh")
-    pairs = token_matches(worded.where("_fresh"), worded, "tokens", text)
-    told = pairs.where("a._node <> b._node and (a._bare or b._bare)").select(F.col("a._node").alias("u"), F.col("b._node").alias("v"))
-    return vector_links(vectors, "world", cosine * cosine, F.col("_fresh")).unionByName(told)
+    worded = rows.where("size(tokens) > 0").groupBy("world", F.col("_node").alias("id"), F.col("_bare").alias("bare"), F.xxhash64("tokens").alias("_key")).agg(F.first(hashed("tokens")).alias("words"), F.max("_fresh").alias("_fresh"))
+    return vector_links(vectors, "world", cosine * cosine, F.col("_fresh")).unionByName(word_links(worded, "world", text, F.col("_fresh")))
 
 
 def refreshed(known: DataFrame | None, delta: DataFrame, cosine: float = 0.82, text: float = 0.3, window_ms: int = 3 * greedy.DAY_MS) -> tuple[DataFrame, int]:

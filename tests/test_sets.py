@@ -107,6 +107,12 @@ def test_wide_titles_in_pairs(spark):
     assert shuffled(spark, lambda: retrieve.gated_pairs(tokens, "tokens", 0.5, "published_at", 86_400_000).collect()) < 10 * held
 
 
+def test_wide_titles_of_deltas(spark):
+    held = sum(len(r[3]) for r in wordy()) / 1e6
+    tokens = spark.createDataFrame(wordy(), FACTS).withColumn("tokens", title_tokens(F.col("title")))
+    assert shuffled(spark, lambda: planning.refreshed(None, tokens)[0].collect()) < 30 * held
+
+
 def test_related_items_do_not_meet_for_each_word(spark):
     rng = np.random.default_rng(7)
     held = [(i, [f"word{w}" for w in rng.choice(60, 30, replace=False)], 0) for i in range(1500)]
